@@ -106,13 +106,13 @@ WORDS = r"regexp_extract_all(lower(review_text), '[\p{L}\p{N}_]{2,}')"
 
 def term_ctes(stop: bool, source: str = "reviews", extra: str = "") -> str:
     """CTEs n, postings(review_id, term, tf) of 1-2-grams."""
-    words = f"list_filter({WORDS}, x -> x not in ({', '.join(map(text_literal, STOP_WORDS))}))" if stop else WORDS
+    words = f"list_filter({WORDS}, lambda x: x not in ({', '.join(map(text_literal, STOP_WORDS))}))" if stop else WORDS
     return f"""
 words as (select review_id{extra}, {words} as w from {source}),
 grams as (
   select review_id{extra}, unnest(w) as term from words
   union all
-  select review_id{extra}, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) as term
+  select review_id{extra}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term
   from words where len(w) > 1),
 postings as (select review_id{extra}, term, count(*) as tf from grams group by all),
 n as (select count(*) as n from {source})"""
@@ -190,7 +190,7 @@ tested as (
     failed or report = '' as nothing
   from checked),
 covered as (
-  select *, list_filter([0, 1, 2], i -> found[i + 1]) as hit, list_filter([0, 1, 2], i -> not found[i + 1]) as miss
+  select *, list_filter([0, 1, 2], lambda i: found[i + 1]) as hit, list_filter([0, 1, 2], lambda i: not found[i + 1]) as miss
   from tested)"""
 FIRST_TWO = "[" + ", ".join(text_literal(" ".join(w[:2])) for w in DOMAIN_KEYWORDS.values()) + "]"
 
@@ -221,12 +221,12 @@ select grp, concat(
   'Themes found in these reviews, each of which the report must cover:', chr(10), {lines}, chr(10),
   {text_literal('Retry 1/2: the last report left out ' + retry + '. Cover them in all three sections.')}, chr(10),
   'Sort the complaints by aspect, such as:', chr(10),
-  array_to_string(list_transform({ASPECTS}, a -> '  - ' || a), chr(10)), chr(10),
+  array_to_string(list_transform({ASPECTS}, lambda a: '  - ' || a), chr(10)), chr(10),
   'Name only aspects that the reviews show, and quote them briefly.', chr(10),
   'Answer in Markdown under exactly these headings:', chr(10),
   {', chr(10), '.join(text_literal(s) for s in REPORT_SECTIONS)}, chr(10),
   'with 2-3 sentences, `###` sub-headings with bullets, and 3-5 numbered actions.', chr(10),
-  'Reviews:', chr(10), array_to_string(list_transform(texts, x -> '- ' || x), chr(10)), chr(10)) as prompt
+  'Reviews:', chr(10), array_to_string(list_transform(texts, lambda x: '- ' || x), chr(10)), chr(10)) as prompt
 from groups"""
 
 
@@ -396,9 +396,9 @@ ORACLE: dict[str, str] = {
         select review_id, {r6('1 / (1 + exp(-(coalesce(m, 0) + 0.1::double)))')} as probability
         from reviews left join margins using (review_id)""",
     "l2_normalise": f"""with scaled as (select vec_id,
-          list_transform(cast(embedding as double[]), x -> x * label) as v from embeddings),
+          list_transform(cast(embedding as double[]), lambda x: x * label) as v from embeddings),
         norms as (select *, sqrt(list_dot_product(v, v)) as norm from scaled),
-        units as (select *, list_transform(v, x -> x / case when norm < 1e-12 then 1 else norm end) as u from norms)
+        units as (select *, list_transform(v, lambda x: x / case when norm < 1e-12 then 1 else norm end) as u from norms)
         select vec_id, {r6('norm')} as norm, {r6('sqrt(list_dot_product(u, u))')} as unit_norm,
           {r6('u[1]')} as first_value from units""",
     "clamp_score": f"""select vec_id, {r6('greatest(0, least(1, embedding[1]::double * 8))')} as score
@@ -462,7 +462,7 @@ ORACLE: dict[str, str] = {
         select report_id, trim(case when nothing or len(miss) = 0
           then concat(coalesce(category, ''), ' {GENERIC_QUERY}')
           else concat_ws(' ', coalesce(category, ''),
-            array_to_string(list_transform(miss, i -> {FIRST_TWO}[i + 1]), ' '), '{REFINE_SUFFIX}') end) as query
+            array_to_string(list_transform(miss, lambda i: {FIRST_TWO}[i + 1]), ' '), '{REFINE_SUFFIX}') end) as query
         from covered""",
     "keep_looping": f"""with reviews as ({REVIEWS}), {COVERAGE}
         select report_id, cast(report_id % 4 as integer) as round,

@@ -26,6 +26,9 @@ FILE = "_file"
 EXTRA = "_extra"
 MARK = "\x01end"
 
+EMPTY = "File appears to be empty."
+NO_ROWS = "No usable rows/columns after parsing."
+
 
 @dataclass(frozen=True)
 class CsvScan:
@@ -43,7 +46,7 @@ def profile_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_size").alias("_size"),
         F.col("_metadata.file_block_start").alias("_start"), "value",
         F.monotonically_increasing_id().alias("_order"))
-    latin = F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     valid = F.is_valid_utf8("value")
     text = F.when(valid, F.col("value")).otherwise(latin)
     text = F.regexp_replace(text, "^\\x{FEFF}", "")
@@ -99,6 +102,8 @@ def _header_names(spark: SparkSession, header: str, separator: str) -> list[str]
 def _read_group(spark: SparkSession, files: list[str], encoding: str, delimiter: str,
                 header: str, multi_line: bool) -> DataFrame:
     separator = next(mark for mark, name in DELIMITERS.items() if name == delimiter)
+    if encoding == "cp1252":
+        header = header.translate(str.maketrans(CP1252_FROM, CP1252_TO))
     names = _header_names(spark, header, separator)
     plain = [f"c{i}" for i in range(len(names))]
     schema = StructType([StructField(n, StringType()) for n in [*plain, BAD_ROW]])
@@ -106,6 +111,8 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, delimiter:
     read = (
         spark.read.schema(schema).options(**options)
         .option("encoding", "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
+        # with pruning a row is only checked as far as the wanted columns reach
+        .option("columnPruning", False)
         .option("header", True).option("multiLine", multi_line)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW)
         .csv(files).withColumn(FILE, F.col("_metadata.file_path"))
@@ -115,7 +122,9 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, delimiter:
     padded = F.concat(F.col(BAD_ROW), *[F.lit(separator + MARK)] * (len(names) + 1))
     wide = ",".join(f"{n} string" for n in [*plain, EXTRA])
     extra = F.from_csv(padded, wide, options)[EXTRA]
-    too_long = F.col(BAD_ROW).isNotNull() & ~F.coalesce(extra == MARK, F.lit(False))
+    # the reader wants a data column to be read along with the bad row
+    first = F.length(F.coalesce(F.col(plain[0]), F.lit(""))) >= 0
+    too_long = first & F.col(BAD_ROW).isNotNull() & ~F.coalesce(extra == MARK, F.lit(False))
     cells = []
     for column, name in zip(plain, names):
         cell = F.col(column)
@@ -142,13 +151,11 @@ def scan_csv(spark: SparkSession, paths: str | list[str]) -> CsvScan:
             groups.setdefault(key, []).append(row[FILE])
     parts = [_read_group(spark, sorted(files), *key) for key, files in sorted(groups.items())]
     found = spark.createDataFrame(
-        [(r[FILE], r["encoding"], r["delimiter"]) for r in profile],
-        f"{FILE} string, encoding string, delimiter string")
-    empty = "File appears to be empty."
+        [(r[FILE], r["encoding"], r["delimiter"], r["header"] is None) for r in profile],
+        f"{FILE} string, encoding string, delimiter string, _blank boolean")
     if not parts:
-        info = found.select(FILE, "encoding", F.lit(None).cast("string").alias("delimiter"),
-                            F.lit(0).cast("long").alias("rows"),
-                            F.lit(0).cast("long").alias("rows_skipped"), F.lit(empty).alias("error"))
+        info = found.select(FILE, "encoding", "delimiter", F.lit(0).cast("long").alias("rows"),
+                            F.lit(0).cast("long").alias("rows_skipped"), F.lit(EMPTY).alias("error"))
         return CsvScan(None, info)
     everything = parts[0]
     for part in parts[1:]:
@@ -160,11 +167,7 @@ def scan_csv(spark: SparkSession, paths: str | list[str]) -> CsvScan:
         FILE, "encoding",
         "delimiter", F.coalesce("rows", F.lit(0)).alias("rows"),
         F.coalesce("rows_skipped", F.lit(0)).alias("rows_skipped"),
-        F.when(read, F.lit(None)).when(F.col("rows").isNull(), "No usable rows/columns after parsing.")
-        .otherwise("No usable rows/columns after parsing.").alias("error"))
-    blank = [r[FILE] for r in profile if r["header"] is None]
-    if blank:
-        info = info.withColumn("error", F.when(F.col(FILE).isin(blank), empty).otherwise(F.col("error")))
+        F.when(F.col("_blank"), EMPTY).when(~F.coalesce(read, F.lit(False)), NO_ROWS).alias("error"))
     usable = everything.where(~F.col("_too_long")).drop("_too_long")
     return CsvScan(drop_empty_columns(usable, keep=[FILE]), info)
 
