@@ -107,7 +107,9 @@ def cluster_table(labelled: DataFrame, id_col: str, text_col: str, cluster_col:
     collected into arrays.
     """
     terms, _ = cluster_terms(labelled, id_col, text_col, stop_words)
-    weighted = cluster_weights(labelled, id_col, text_col, cluster_col, terms, stop_words)
+    # numbers of at most 500 terms per text, read twice: cheaper kept than counted again
+    weighted = materialise(
+        cluster_weights(labelled, id_col, text_col, cluster_col, terms, stop_words), "cluster-weights")
     sizes = cluster_sizes(labelled, cluster_col)
     center = materialise(centroids(weighted, sizes), "centroids")
     keywords = cluster_keywords(center).groupBy("cluster_id").agg(

@@ -579,7 +579,8 @@ def _clustered(spark, sf_dir) -> DataFrame:
 def _cluster_weights(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = _clustered(spark, sf_dir)
     terms, _ = aspects.cluster_terms(rows, "review_id", "review_text")
-    weighted = aspects.cluster_weights(rows, "review_id", "review_text", "cluster", terms)
+    weighted = materialise(aspects.cluster_weights(
+        rows, "review_id", "review_text", "cluster", terms), "cluster-weights")
     center = aspects.centroids(weighted, aspects.cluster_sizes(rows, "cluster"))
     return weighted, materialise(center, "centroids")
 

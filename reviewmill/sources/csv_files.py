@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reviewmill.functions.lexicon import MISSING_CELLS
+from reviewmill.functions.text import strip
 
 # Delimiters and their names, in order of preference.
 DELIMITERS = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
@@ -124,7 +125,10 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, delimiter:
     extra = F.from_csv(padded, wide, options)[EXTRA]
     # the reader wants a data column to be read along with the bad row
     first = F.length(F.coalesce(F.col(plain[0]), F.lit(""))) >= 0
-    too_long = first & F.col(BAD_ROW).isNotNull() & ~F.coalesce(extra == MARK, F.lit(False))
+    too_long = F.col(BAD_ROW).isNotNull() & ~F.coalesce(extra == MARK, F.lit(False))
+    # a line of white space is no row; it shows as one cell where fields may span lines
+    line = F.col(BAD_ROW) if len(plain) > 1 else F.col(plain[0])
+    is_row = ~F.coalesce(strip(line) == "", F.lit(False))
     cells = []
     for column, name in zip(plain, names):
         cell = F.col(column)
@@ -132,7 +136,7 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, delimiter:
             cell = F.translate(cell, CP1252_FROM, CP1252_TO)
         # null reads as missing, like the texts that stand for it
         cells.append(F.when(~cell.isin(MISSING_CELLS), cell).alias(name))
-    return read.select(FILE, too_long.alias("_too_long"), *cells)
+    return read.where(first & is_row).select(FILE, too_long.alias("_too_long"), *cells)
 
 
 def scan_csv(spark: SparkSession, paths: str | list[str]) -> CsvScan:
