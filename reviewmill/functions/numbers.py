@@ -13,15 +13,13 @@ def to_number(col: Column) -> Column:
     """Text as double, null where it is not a plain number.
 
     The pattern keeps out texts that a cast accepts but a reader would not call
-    numbers (`4d`, `nan`); a number too large for a double is null as well.
+    numbers (`4d`, `nan`); a number too large for a double is null as well. A text
+    that does not match is extracted as '' and casts to null.
     """
     text = strip(col.cast("string"))
-    value = F.expr("double('inf')")
-    number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    return (
-        F.when(F.abs(number) < value, number)
-        .when(text.rlike(INFINITY_PATTERN), text.try_cast("double"))
-    )
+    number = F.regexp_extract(text, NUMBER_PATTERN, 0).try_cast("double")
+    finite = F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+    return F.coalesce(finite, F.regexp_extract(text, INFINITY_PATTERN, 0).try_cast("double"))
 
 
 def label_from_rating(rating: Column) -> Column:

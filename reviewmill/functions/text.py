@@ -71,15 +71,17 @@ def with_terms(docs: DataFrame, text_col: str, stop_words: Iterable[str] = (),
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words: Iterable[str] = (),
-                keep: Iterable[str] = ()) -> DataFrame:
+                keep: Iterable[str] = (), only: list[str] | None = None) -> DataFrame:
     """Rows (id, term, tf), one per distinct term of a text.
 
     A text lies in one row, so its terms are counted inside the row: sort them, find
-    where each run starts, and take run lengths. No shuffle is needed.
+    where each run starts, and take run lengths. No shuffle is needed. A short
+    vocabulary given as `only` drops the other terms before they are sorted.
     """
+    wanted = F.col("_terms") if only is None else F.filter("_terms", lambda t: t.isin(only))
     runs = (
         with_terms(docs.select(id_col, *keep, text_col), text_col, stop_words, "_terms")
-        .select(id_col, *keep, F.sort_array("_terms").alias("_terms"))
+        .select(id_col, *keep, F.sort_array(wanted).alias("_terms"))
         .withColumn("_starts", F.filter(
             F.transform("_terms", lambda t, i: F.when(
                 (i == 0) | (t != F.get(F.col("_terms"), i - 1)), i)),

@@ -27,14 +27,13 @@ def correct_by_rating(df: DataFrame, rating_col: str | None) -> DataFrame:
     """
     if rating_col is None or not {"Predicted_IND", "Predicted_Sentiment"} <= set(df.columns):
         return df
-    rated = df.withColumn("_label", label_from_rating(to_number(F.col(rating_col))))
+    label = label_from_rating(to_number(F.col(rating_col)))
     flip = F.coalesce(F.col("_label") != F.col("Predicted_IND"), F.lit(False))
+    name = F.when(F.col("Rule_Corrected"), label_name(F.col("_label"))).otherwise(
+        F.col("Predicted_Sentiment"))
     return (
-        rated.withColumn("Rule_Corrected", flip)
-        .withColumn("Predicted_IND", F.when(F.col("Rule_Corrected"), F.col("_label"))
-                    .otherwise(F.col("Predicted_IND")))
-        .withColumn("Predicted_Sentiment",
-                    F.when(F.col("Rule_Corrected"), label_name(F.col("Predicted_IND")))
-                    .otherwise(F.col("Predicted_Sentiment")))
+        df.withColumn("_label", label).withColumn("Rule_Corrected", flip)
+        .withColumns({"Predicted_IND": F.coalesce("_label", "Predicted_IND"),
+                      "Predicted_Sentiment": name})
         .drop("_label")
     )

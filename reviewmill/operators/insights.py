@@ -8,12 +8,10 @@ from reviewmill.functions.text import contains_keyword, is_not_blank
 
 def counts_with_share(df: DataFrame, key: Column, name: str) -> DataFrame:
     """Rows per key and their share. The total is a scalar subquery over the same
-    rows; no window gathers the keys in one task."""
-    total = df.agg(F.count("*")).scalar()
-    return (
-        df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
-        .withColumn("share", F.col("n").cast("double") / total.cast("double"))
-    )
+    counts, whose shuffle is run once; no window gathers the keys in one task."""
+    counts = df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("share", F.col("n").cast("double") / total.cast("double"))
 
 
 def sentiment_distribution(df: DataFrame) -> DataFrame:
@@ -92,23 +90,25 @@ def hash_order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
+SMALL_SAMPLE = 1000
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows drawn without replacement, the same rows at every run.
 
-    The sample is the n smallest digests. Digests are uniform, so a cut that some
-    more than n rows fall under is known from the row count, and only those rows
-    are sorted. Should too few fall under it, all rows are sorted instead.
+    The sample is the n smallest digests. A small one is a top-n that every task cuts
+    to n rows. For a large one that would still leave n rows per task to one task:
+    digests are uniform, so the row count gives a cut that some more than n rows fall
+    under, and only those are sorted. Should too few fall under it, all rows are.
     """
-    total = df.count()
-    if total <= n:
-        return df
     keyed = df.withColumn("_order", hash_order(id_col, seed))
-    wanted = n + 10 + int(8 * n ** 0.5)
-    if wanted < total:
-        cut = f"{int(wanted / total * 2 ** 52):013x}"
-        under = keyed.where(F.col("_order") < cut)
-        if under.count() >= n:
-            keyed = under
+    if n > SMALL_SAMPLE:
+        total = df.count()
+        wanted = n + 10 + int(8 * n ** 0.5)
+        if wanted < total:
+            under = keyed.where(F.col("_order") < f"{int(wanted / total * 2 ** 52):013x}")
+            if under.count() >= n:
+                keyed = under
     return keyed.orderBy("_order", id_col).limit(n).drop("_order")
 
 

@@ -11,6 +11,7 @@ from reviewmill.functions.lexicon import NEGATIVE_TOPIC, WIDEN_PER_ROUND
 from reviewmill.functions.numbers import clamp_score, percent_text
 from reviewmill.functions.text import is_not_blank
 from reviewmill.operators.skew import broadcast_if_small, top_n_per_group
+from reviewmill.session import materialise
 
 # Queries whose vectors one pass over the index holds in each task.
 QUERIES_PER_PASS = 1024
@@ -38,18 +39,12 @@ def widened_k(top_k: Column, round_col: Column) -> Column:
 
 
 def _passes(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """Blocks of at most QUERIES_PER_PASS queries. A driver or task never holds more
-    query vectors than one block."""
-    total = queries.count()
-    blocks = -(-total // QUERIES_PER_PASS)
-    columns = queries.select("query_id", "vector", "k", "effective_filter")
-    if blocks <= 1:
-        if total:
-            yield columns.toPandas()
-        return
-    block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-    for b in range(2 * blocks):
-        part = columns.where(block == b).toPandas()
+    """Blocks of about QUERIES_PER_PASS queries. The driver and the tasks hold the
+    vectors of one block at a time."""
+    columns = materialise(queries.select("query_id", "vector", "k", "effective_filter"), "queries")
+    blocks = -(-columns.count() // QUERIES_PER_PASS)
+    for b in range(blocks):
+        part = columns.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
         if len(part):
             yield part
 
@@ -112,7 +107,8 @@ def topk(index: DataFrame, queries: DataFrame) -> DataFrame:
                  pa.array(np.concatenate([i for _, i in best]).astype(np.int64)),
                  pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "id", "score"])
 
-        hits = rows.mapInArrow(search, HITS)
+        # written per block: later passes do not run earlier ones again
+        hits = materialise(rows.mapInArrow(search, HITS), "hits")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
@@ -129,7 +125,7 @@ def search(index: DataFrame, queries: DataFrame) -> DataFrame:
     pass instead of carrying every text through the ranking.
     """
     asked = queries.where(is_not_blank(F.col("query")))
-    hits = topk(index, asked)
+    hits = materialise(topk(index, asked), "hits")
     details = index.select("id", "text", "sentiment", "rating")
     return details.join(broadcast_if_small(hits), "id").select(
         "query_id", "rank", "id", "text", "sentiment", "rating", "score")

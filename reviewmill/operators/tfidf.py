@@ -6,7 +6,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from reviewmill.functions.text import term_counts
+from reviewmill.functions.text import term_counts, with_terms
 from reviewmill.operators.skew import dense_index, lookup_terms
 from reviewmill.session import materialise
 
@@ -22,6 +22,16 @@ def vocabulary(postings: DataFrame, n_docs: int, min_df: int = 2, max_df: float
     return kept
 
 
+def document_frequencies(docs: DataFrame, text_col: str, n_docs: int,
+                         stop_words: Iterable[str] = (), min_df: int = 2,
+                         max_df: float = 0.95) -> DataFrame:
+    """Rows (term, df) within the limits, from the distinct terms of each text."""
+    distinct = F.explode(F.array_distinct("_terms")).alias("term")
+    counted = with_terms(docs.select(text_col), text_col, stop_words, "_terms").select(
+        distinct).groupBy("term").agg(F.count("*").alias("df"))
+    return counted.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+
+
 def with_idf(terms: DataFrame, n_docs: int) -> DataFrame:
     """Add the smoothed inverse document frequency `ln((1+n)/(1+df)) + 1`."""
     ratio = F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))
@@ -36,26 +46,27 @@ def raw_weight(sublinear: bool):
 def fit_terms(docs: DataFrame, id_col: str, text_col: str, stop_words: Iterable[str] = (),
               min_df: int = 2, max_df: float = 0.95,
               max_features: int | None = None) -> tuple[DataFrame, int]:
-    """The written term table (term, df, total, idf) of a corpus and its row count."""
+    """The written term table (term, df, idf) of a corpus and its row count."""
     n_docs = docs.count()
-    postings = term_counts(docs, id_col, text_col, stop_words)
-    terms = with_idf(vocabulary(postings, n_docs, min_df, max_df, max_features), n_docs)
-    return materialise(terms, "terms"), n_docs
+    if max_features is None:
+        terms = document_frequencies(docs, text_col, n_docs, stop_words, min_df, max_df)
+    else:
+        postings = term_counts(docs, id_col, text_col, stop_words)
+        terms = vocabulary(postings, n_docs, min_df, max_df, max_features).select("term", "df")
+    return materialise(with_idf(terms, n_docs), "terms"), n_docs
 
 
 def weights(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame,
             stop_words: Iterable[str] = (), sublinear: bool = True,
-            keep: Iterable[str] = (), normalise: bool = True) -> DataFrame:
+            keep: Iterable[str] = (), only: list[str] | None = None) -> DataFrame:
     """Rows (id, *keep, term, weight), each text's weights of unit length.
 
     Terms are looked up first, then one shuffle by id brings the weights of a text
     together; a text is one group, so no group can be large.
     """
-    postings = term_counts(docs, id_col, text_col, stop_words, keep)
+    postings = term_counts(docs, id_col, text_col, stop_words, keep, only)
     weighted = lookup_terms(postings, terms.select("term", "df", "idf"))
     weighted = weighted.select(id_col, *keep, "term", raw_weight(sublinear).alias("weight"))
-    if not normalise:
-        return weighted
     gathered = weighted.groupBy(id_col, *keep).agg(
         F.collect_list(F.struct("term", "weight")).alias("_terms"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
@@ -74,7 +85,7 @@ def indexed_terms(terms: DataFrame) -> DataFrame:
 
 def feature_vectors(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, size: int,
                     stop_words: Iterable[str] = (), sublinear: bool = True,
-                    keep: Iterable[str] = ()) -> DataFrame:
+                    keep: Iterable[str] = (), only: list[str] | None = None) -> DataFrame:
     """Rows (id, *keep, features) for MLlib, written to the shared folder.
 
     The vector is built in its storage form by SQL expressions and read back under
@@ -82,7 +93,7 @@ def feature_vectors(docs: DataFrame, id_col: str, text_col: str, terms: DataFram
     Texts without a known term get the empty vector.
     """
     keep = list(keep)
-    postings = term_counts(docs, id_col, text_col, stop_words)
+    postings = term_counts(docs, id_col, text_col, stop_words, only=only)
     found = lookup_terms(postings, terms.select("term", "df", "idf", "idx"))
     rows = found.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("idx", raw_weight(sublinear).alias("w"))))

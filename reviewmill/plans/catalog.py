@@ -9,7 +9,7 @@ from reviewmill.functions.lexicon import DOMAIN_KEYWORDS, ERROR_MARK, STOP_WORDS
 from reviewmill.operators import (aspects, columns, correction, embedding, evaluation, insights,
                                   reports, routing, search, sentiment, skew, tfidf)
 from reviewmill.plans import reporting
-from reviewmill.plans.reviews import corrected, predicted, reviews
+from reviewmill.plans.reviews import corrected, predicted, review_texts, reviews, with_products
 from reviewmill.session import materialise, new_table_path
 from reviewmill.sources import csv_files, index_tables, tables
 
@@ -31,7 +31,7 @@ def rounded(name: str, digits: int = 6) -> Column:
 @query
 def clean_text(spark, sf_dir):
     stripped = text.strip(text.clean_text(F.col("category")))
-    return reviews(spark, sf_dir).select(
+    return review_texts(spark, sf_dir).select(
         "review_id", stripped.alias("category_text"),
         text.is_not_blank(F.col("category")).alias("has_category"),
         F.length(text.strip(F.col("review_text"))).cast("long").alias("n_chars"))
@@ -72,23 +72,23 @@ def prediction_columns(spark, sf_dir):
 
 @query
 def keyword_hits(spark, sf_dir):
-    return routing.with_hits(reviews(spark, sf_dir).select("review_id", "review_text"),
+    return routing.with_hits(review_texts(spark, sf_dir).select("review_id", "review_text"),
                              "review_text").drop("review_text")
 
 
 @query
 def domain_language_row(spark, sf_dir):
-    return routing.route_rows(reviews(spark, sf_dir), "review_text", "review_id")
+    return routing.route_rows(review_texts(spark, sf_dir), "review_text", "review_id")
 
 
 @query
 def domain_language_table(spark, sf_dir):
-    return routing.route_datasets(reviews(spark, sf_dir), "review_id", "review_text")
+    return routing.route_datasets(review_texts(spark, sf_dir), "review_id", "review_text")
 
 
 @query
 def domain_language_dataset(spark, sf_dir):
-    rows = reviews(spark, sf_dir).withColumn("dataset", insights.group_key(F.col("category")))
+    rows = review_texts(spark, sf_dir).withColumn("dataset", insights.group_key(F.col("category")))
     return routing.route_datasets(rows, "review_id", "review_text", "dataset")
 
 
@@ -98,8 +98,12 @@ PROFILED = ["documents", "conversations", "pages", "benchmark", "labels", "revie
 def _profiles(spark, sf_dir) -> dict[str, DataFrame]:
     found = {}
     for name in PROFILED:
-        rows = reviews(spark, sf_dir).drop("confidence") if name == "reviews" else tables.read_table(
-            spark, f"{sf_dir}/{name}.parquet")
+        if name == "reviews":
+            rows = with_products(spark, sf_dir, reviews(spark, sf_dir)).select(
+                "review_id", "review_text", "rating", "product_name", "category", "lang",
+                "recommended", "predicted_ind")
+        else:
+            rows = tables.read_table(spark, f"{sf_dir}/{name}.parquet")
         found[name] = columns.column_profile(rows)
     return found
 
@@ -145,7 +149,7 @@ def correction_count(spark, sf_dir):
 
 @query
 def top_products(spark, sf_dir):
-    return insights.top_products(corrected(spark, sf_dir), "product_name")
+    return insights.top_products(with_products(spark, sf_dir, corrected(spark, sf_dir)), "product_name")
 
 
 @query
@@ -177,7 +181,7 @@ KEYWORDS = ["late", " Fabric ", "battery", "kurang", "the size", "a_b%", "the"]
 
 @query
 def keyword_filter(spark, sf_dir):
-    return insights.keyword_matches(reviews(spark, sf_dir), "review_text", KEYWORDS)
+    return insights.keyword_matches(review_texts(spark, sf_dir), "review_text", KEYWORDS)
 
 
 @query
@@ -237,7 +241,7 @@ def class_weights(spark, sf_dir):
 
 def _terms_of(spark, sf_dir, column: Column) -> DataFrame:
     words = F.explode(F.transform(column, lambda w: w))
-    return reviews(spark, sf_dir).select(words.alias("term")).groupBy("term").agg(
+    return review_texts(spark, sf_dir).select(words.alias("term")).groupBy("term").agg(
         F.count("*").alias("n"))
 
 
@@ -254,27 +258,27 @@ def stop_word_removal(spark, sf_dir):
 
 @query
 def ngrams(spark, sf_dir):
-    counts = text.term_counts(reviews(spark, sf_dir), "review_id", "review_text", STOP_WORDS)
+    counts = text.term_counts(review_texts(spark, sf_dir), "review_id", "review_text", STOP_WORDS)
     return counts.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query
 def vocabulary(spark, sf_dir):
-    rows = reviews(spark, sf_dir)
+    rows = review_texts(spark, sf_dir)
     counts = text.term_counts(rows, "review_id", "review_text", STOP_WORDS)
     return tfidf.vocabulary(counts, rows.count())
 
 
 @query
 def top_vocabulary(spark, sf_dir):
-    rows = reviews(spark, sf_dir)
+    rows = review_texts(spark, sf_dir)
     counts = text.term_counts(rows, "review_id", "review_text", STOP_WORDS)
     return tfidf.vocabulary(counts, rows.count(), min_df=1, max_features=500)
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    rows = reviews(spark, sf_dir).select("review_id", "review_text")
+    rows = review_texts(spark, sf_dir).select("review_id", "review_text")
     terms, _ = tfidf.fit_terms(rows, "review_id", "review_text")
     return tfidf.weights(rows, "review_id", "review_text", terms).select(
         "review_id", "term", rounded("weight"))
@@ -282,7 +286,7 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def feature_vectors(spark, sf_dir):
-    rows = reviews(spark, sf_dir).select("review_id", "review_text")
+    rows = review_texts(spark, sf_dir).select("review_id", "review_text")
     terms, _ = tfidf.fit_terms(rows, "review_id", "review_text", STOP_WORDS)
     indexed = tfidf.indexed_terms(terms)
     vectors = tfidf.feature_vectors(rows, "review_id", "review_text", indexed, indexed.count(),
@@ -301,7 +305,7 @@ def _rule_coefficients(terms: DataFrame) -> DataFrame:
 
 @query
 def linear_score(spark, sf_dir):
-    rows = reviews(spark, sf_dir).select("review_id", "review_text")
+    rows = review_texts(spark, sf_dir).select("review_id", "review_text")
     terms, _ = tfidf.fit_terms(rows, "review_id", "review_text")
     model = sentiment.SentimentModel(_rule_coefficients(terms), 0.1, ())
     return sentiment.score(rows, "review_id", "review_text", model).select(
@@ -441,7 +445,7 @@ def index_table(spark, sf_dir):
 
 @query
 def hashing_embedding(spark, sf_dir):
-    rows = reviews(spark, sf_dir).select("review_id", "review_text")
+    rows = review_texts(spark, sf_dir).select("review_id", "review_text")
     return embedding.embed_by_hashing(rows, "review_text", 64).select("review_id", "embedding")
 
 
@@ -483,7 +487,7 @@ def index_reuse(spark, sf_dir):
 
 @query
 def fingerprint(spark, sf_dir):
-    return index_tables.fingerprint(reviews(spark, sf_dir), "review_id", "review_text")
+    return index_tables.fingerprint(review_texts(spark, sf_dir), "review_id", "review_text")
 
 
 @query
@@ -572,7 +576,7 @@ def prediction_export(spark, sf_dir):
 
 def _clustered(spark, sf_dir) -> DataFrame:
     """Reviews with a fixed cluster of four."""
-    return reviews(spark, sf_dir).select("review_id", "review_text",
+    return review_texts(spark, sf_dir).select("review_id", "review_text",
                                          (F.col("review_id") % 4).cast("int").alias("cluster"))
 
 
@@ -636,7 +640,7 @@ def query_normalise(spark, sf_dir):
 
 def _reports_and_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Every review as a report, checked against one cluster per keyword domain."""
-    rows = reviews(spark, sf_dir)
+    rows = review_texts(spark, sf_dir)
     doc = F.col("review_id")
     body = F.when(doc % 19 == 0, F.concat(F.lit(ERROR_MARK), "review_text")).when(
         doc % 23 == 0, F.lit("")).otherwise(F.col("review_text"))
@@ -663,7 +667,7 @@ def report_coverage(spark, sf_dir):
 @query
 def refine_query(spark, sf_dir):
     checked = reports.coverage(*_reports_and_clusters(spark, sf_dir))
-    topics = reviews(spark, sf_dir).select(F.col("review_id").alias("report_id"),
+    topics = review_texts(spark, sf_dir).select(F.col("review_id").alias("report_id"),
                                            text.clean_text(F.col("category")).alias("topic"))
     return checked.join(topics, "report_id").select("report_id", reports.refined_query(
         F.col("topic"), F.col("missed_clusters")).alias("query"))
@@ -679,7 +683,7 @@ def keep_looping(spark, sf_dir):
 
 @query
 def domain_aspects(spark, sf_dir):
-    routed = routing.route_rows(reviews(spark, sf_dir), "review_text", "review_id")
+    routed = routing.route_rows(review_texts(spark, sf_dir), "review_text", "review_id")
     return routed.select("review_id", F.array_join(reports.aspects(F.col("domain")), "|").alias("aspects"))
 
 

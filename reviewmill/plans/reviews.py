@@ -25,34 +25,41 @@ REMARKS = [
 PRODUCTS = 200
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (review_id, review_text, rating, product_name, category, lang, recommended,
-    predicted_ind, confidence)."""
-    documents = read_table(spark, f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    # part has one row per key, so the keys a review can name are at most PRODUCTS rows
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where(
-        (F.col("p_partkey") >= 0) & (F.col("p_partkey") < PRODUCTS)).select("p_partkey", "p_name")
+def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (review_id, review_text, category, lang): all that text work needs, without
+    a join, so that no text is shuffled for columns nobody reads."""
     doc = F.col("doc_id")
     remark = F.get(F.array(*[F.lit(r) for r in REMARKS]), (doc % 12).cast("int"))
+    return read_table(spark, f"{sf_dir}/documents.parquet").select(
+        doc.alias("review_id"), F.concat("text", F.lit(" "), remark).alias("review_text"),
+        F.when(doc % 29 != 0, F.col("source")).alias("category"), "lang")
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review texts with (rating, recommended, predicted_ind, confidence)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "review_id")
+    doc = F.col("review_id")
     stars = (
         F.when(F.col("quality") == 1, 3 + doc % 3).when(F.col("quality") == 0, 1 + doc % 3)
         .otherwise(1 + doc % 5)
     )
-    return (
-        documents.join(labels, "doc_id", "left")
-        .join(broadcast_if_small(part), F.col("p_partkey") == doc % PRODUCTS, "left")
-        .select(
-            doc.alias("review_id"),
-            F.concat("text", F.lit(" "), remark).alias("review_text"),
-            F.when(doc % 17 == 0, "n/a").when(doc % 23 == 0, F.lit(None))
-            .otherwise(stars.cast("string")).alias("rating"),
-            F.col("p_name").alias("product_name"),
-            F.when(doc % 29 != 0, F.col("source")).alias("category"),
-            "lang", F.col("quality").alias("recommended"),
-            (F.coalesce(F.col("toxic").cast("long"), doc % 3) == 0).cast("int").alias("predicted_ind"),
-            (F.lit(0.5) + (doc % 50).cast("double") / F.lit(100.0)).alias("confidence"))
-    )
+    return review_texts(spark, sf_dir).join(labels, "review_id", "left").select(
+        doc, "review_text",
+        F.when(doc % 17 == 0, "n/a").when(doc % 23 == 0, F.lit(None))
+        .otherwise(stars.cast("string")).alias("rating"),
+        "category", "lang", F.col("quality").alias("recommended"),
+        (F.coalesce(F.col("toxic").cast("long"), doc % 3) == 0).cast("int").alias("predicted_ind"),
+        (F.lit(0.5) + (doc % 50).cast("double") / F.lit(100.0)).alias("confidence"))
+
+
+def with_products(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Add product_name. A review names one of PRODUCTS keys and part has one row per
+    key, so the joined side is small; its size is checked all the same."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where(
+        (F.col("p_partkey") >= 0) & (F.col("p_partkey") < PRODUCTS)).select(
+        F.col("p_partkey").alias("_part"), F.col("p_name").alias("product_name"))
+    return df.join(broadcast_if_small(part), F.col("_part") == F.col("review_id") % PRODUCTS,
+                   "left").drop("_part")
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from reviewmill.functions.lexicon import MISSING_CELLS
 from reviewmill.functions.text import strip
+from reviewmill.session import materialise
 
 # Delimiters and their names, in order of preference.
 DELIMITERS = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
@@ -164,16 +165,21 @@ def scan_csv(spark: SparkSession, paths: str | list[str]) -> CsvScan:
     everything = parts[0]
     for part in parts[1:]:
         everything = everything.unionByName(part, allowMissingColumns=True)
-    counted = everything.groupBy(FILE).agg(
-        F.count_if(~F.col("_too_long")).alias("rows"), F.count_if("_too_long").alias("rows_skipped"))
-    read = F.col("rows") > 0
+    names = [n for n in everything.columns if n not in (FILE, "_too_long")]
+    kept = ~F.col("_too_long")
+    # one more pass gives the row counts and shows which columns hold a value
+    counted = materialise(everything.groupBy(FILE).agg(
+        F.count_if(kept).alias("rows"), F.count_if("_too_long").alias("rows_skipped"),
+        *[F.count(F.when(kept, F.col(f"`{n}`"))).alias(f"_n{i}") for i, n in enumerate(names)]),
+        "csv-counts")
+    filled = counted.agg(*[F.sum(f"_n{i}") for i in range(len(names))]).first()
     info = found.join(counted, FILE, "left").select(
-        FILE, "encoding",
-        "delimiter", F.coalesce("rows", F.lit(0)).alias("rows"),
+        FILE, "encoding", "delimiter", F.coalesce("rows", F.lit(0)).alias("rows"),
         F.coalesce("rows_skipped", F.lit(0)).alias("rows_skipped"),
-        F.when(F.col("_blank"), EMPTY).when(~F.coalesce(read, F.lit(False)), NO_ROWS).alias("error"))
-    usable = everything.where(~F.col("_too_long")).drop("_too_long")
-    return CsvScan(drop_empty_columns(usable, keep=[FILE]), info)
+        F.when(F.col("_blank"), EMPTY).when(F.coalesce("rows", F.lit(0)) == 0, NO_ROWS).alias("error"))
+    rows = everything.where(kept).select(
+        FILE, *[F.col(f"`{n}`") for i, n in enumerate(names) if filled[i]])
+    return CsvScan(rows, info)
 
 
 def drop_empty_columns(df: DataFrame, keep: list[str] = ()) -> DataFrame:
