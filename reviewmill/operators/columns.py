@@ -30,40 +30,40 @@ def column_profile(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def _candidates(names: list[str], role: str) -> Column:
+def _candidates() -> Column:
+    """Rows (role, priority, candidate) to test every column name against."""
+    names = {"text": TEXT_COLUMN_NAMES, "rating": RATING_COLUMN_NAMES,
+             "product": PRODUCT_COLUMN_NAMES, "category": CATEGORY_COLUMN_NAMES, "longest": [""]}
     return F.array(*[F.struct(F.lit(role).alias("role"), F.lit(i).alias("priority"),
-                              F.lit(n).alias("candidate")) for i, n in enumerate(names)])
+                              F.lit(n).alias("candidate"))
+                     for role, listed in names.items() for i, n in enumerate(listed)])
 
 
 def column_roles(profile: DataFrame) -> DataFrame:
     """Rows (role, name) for text, longest, rating, product and category; a role
     without a column is absent.
 
-    A profile has one row per column of a table, so the matches are a short list.
+    A profile has one row per column of a table; it is read once for all roles. A text
+    column is found by equal name, then by a contained name with long enough values,
+    both in the order of the names. The longest column has the greatest mean length.
+    For the others the first column that contains any of the names wins.
     """
-    lowered = F.lower(strip(F.col("name")))
-    pairs = profile.withColumn("_lower", lowered)
-
-    def matched(names: list[str], role: str) -> DataFrame:
-        return pairs.select("*", F.inline(_candidates(names, role))).where(
-            F.contains("_lower", "candidate"))
-
-    text = matched(TEXT_COLUMN_NAMES, "text").withColumn(
-        "step", F.when(F.col("_lower") == F.col("candidate"), 0).otherwise(1)
-    ).where((F.col("step") == 0) | (F.col("mean_len") >= MIN_TEXT_COLUMN_LENGTH))
-    by_name = {"rating": RATING_COLUMN_NAMES, "product": PRODUCT_COLUMN_NAMES,
-               "category": CATEGORY_COLUMN_NAMES}
-    found = text.select("role", "name", F.struct(
-        "step", "priority", "ordinal").alias("_rank"))
-    for role, names in by_name.items():
-        # the first column wins, whichever of the names it contains
-        found = found.unionByName(matched(names, role).select("role", "name", F.struct(
-            F.lit(0).alias("step"), F.lit(0).alias("priority"), "ordinal").alias("_rank")))
-    best = found.groupBy("role").agg(F.min_by("name", "_rank").alias("name"))
-    longest = profile.where(F.col("mean_len") > 0).agg(F.max_by(
-        "name", F.struct("mean_len", -F.col("ordinal"))).alias("name")).select(
-        F.lit("longest").alias("role"), "name").where(F.col("name").isNotNull())
-    return best.unionByName(longest)
+    role, exact = F.col("role"), F.col("_lower") == F.col("candidate")
+    usable = (
+        F.when(role == "text", exact | (F.col("mean_len") >= MIN_TEXT_COLUMN_LENGTH))
+        .when(role == "longest", F.col("mean_len") > 0).otherwise(F.lit(True))
+    )
+    step = (
+        F.when(role == "longest", -F.col("mean_len"))
+        .when((role == "text") & ~exact, F.lit(1.0)).otherwise(F.lit(0.0))
+    )
+    priority = F.when(role == "text", F.col("priority")).otherwise(F.lit(0))
+    return (
+        profile.withColumn("_lower", F.lower(strip(F.col("name"))))
+        .select("name", "ordinal", "mean_len", "_lower", F.inline(_candidates()))
+        .where(F.contains("_lower", "candidate") & usable)
+        .groupBy("role").agg(F.min_by("name", F.struct(step, priority, "ordinal")).alias("name"))
+    )
 
 
 def find_roles(df: DataFrame) -> dict[str, str]:

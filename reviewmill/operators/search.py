@@ -15,6 +15,8 @@ from reviewmill.session import materialise
 
 # Queries whose vectors one pass over the index holds in each task.
 QUERIES_PER_PASS = 1024
+# Index rows that a task multiplies with them at a time.
+ROWS_PER_PRODUCT = 2048
 SCORE_SCALE = 1e6
 HITS = "query_id long, id long, score double"
 
@@ -99,8 +101,8 @@ def topk(index: DataFrame, queries: DataFrame) -> DataFrame:
             empty = (np.empty(0), np.empty(0, dtype=np.int64))
             best = [empty] * len(ks)
             for batch in batches:
-                if batch.num_rows:
-                    _local_top(batch, vectors, ks, wanted, best)
+                for start in range(0, batch.num_rows, ROWS_PER_PRODUCT):
+                    _local_top(batch.slice(start, ROWS_PER_PRODUCT), vectors, ks, wanted, best)
             counts = [len(s) for s, _ in best]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(query_ids, counts)),

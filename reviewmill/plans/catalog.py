@@ -342,12 +342,14 @@ def dataset_model_scorecard(spark, sf_dir):
 
 @query
 def dataset_model_scores(spark, sf_dir):
-    rows = materialise(reviews(spark, sf_dir).withColumn(
-        "dataset", F.coalesce("lang", F.lit("Unknown"))), "reviews")
+    """Languages as datasets: the largest with ratings gets its own model, the others
+    the base model."""
+    rows = materialise(reviews(spark, sf_dir).select(
+        "review_id", "review_text", "rating", "recommended",
+        F.coalesce("lang", F.lit("Unknown")).alias("dataset")), "reviews")
     base, _, _ = sentiment.train_base(tables.base_training_rows(
         rows, "review_text", "recommended", "review_id"), "review_id")
     choice = sentiment.trainable_datasets(rows, "review_id", "review_text", "rating", "dataset")
-    # one model per language at most
     largest = choice.where(F.col("model") == "dataset").orderBy(F.desc("n"), "dataset").first()
     own = {}
     if largest is not None:
