@@ -19,8 +19,13 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITESPACE))
 
 
+def strip_left(col: Column) -> Column:
+    """Text without leading white space; it stops at the first other character."""
+    return F.ltrim(col, F.lit(WHITESPACE))
+
+
 def is_not_blank(col: Column) -> Column:
-    return strip(clean_text(col)) != ""
+    return strip_left(clean_text(col)) != ""
 
 
 def contains_keyword(col: Column, keyword: Column) -> Column:

@@ -6,7 +6,9 @@ from reviewmill.functions.lexicon import (CATEGORY_COLUMN_NAMES, MIN_TEXT_COLUMN
                                           PRODUCT_COLUMN_NAMES, RATING_COLUMN_NAMES,
                                           TEXT_COLUMN_NAMES)
 from reviewmill.functions.numbers import to_number
-from reviewmill.functions.text import strip
+from reviewmill.functions.text import strip, strip_left
+
+NUMBER_STARTS = list("+-.0123456789iI")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -20,8 +22,10 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, (name, kind) in enumerate(df.dtypes):
         col = F.col(f"`{name}`")
         flat = col.cast("string")
+        # long texts are told from numbers by their first character, without a pattern
+        may_be_number = F.substring(strip_left(flat), 1, 1).isin(NUMBER_STARTS)
         aggregates += [F.count(col).alias(f"n{i}"), F.avg(F.length(flat)).alias(f"m{i}"),
-                       F.count(to_number(flat)).alias(f"k{i}")]
+                       F.count(F.when(may_be_number, to_number(flat))).alias(f"k{i}")]
     rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"),
                      F.col(f"n{i}").alias("non_null"), F.col(f"m{i}").alias("mean_len"),
                      (F.col(f"k{i}").cast("double") / F.nullif(F.col(f"n{i}"), F.lit(0)))

@@ -1,7 +1,7 @@
 import pytest
 
 from conftest import rows
-from reviewmill.operators.columns import column_profile, column_roles, find_roles
+from reviewmill.operators.columns import column_profile, find_roles
 from reviewmill.operators.routing import route_datasets, route_rows
 from reviewmill.sources.tables import base_training_rows, require_columns
 
