@@ -24,11 +24,6 @@ def cluster_terms(texts: DataFrame, id_col: str, text_col: str,
                      max_features=CLUSTER_VOCABULARY)
 
 
-def term_names(terms: DataFrame) -> list[str]:
-    """The clustering vocabulary as a list; it has 500 terms at most."""
-    return [r["term"] for r in terms.select("term").collect()]
-
-
 def cluster_reviews(texts: DataFrame, id_col: str, text_col: str, n_clusters: int = CLUSTERS,
                     stop_words: Iterable[str] = STOP_WORDS) -> DataFrame | None:
     """Rows (id, cluster_id) for every text that is not blank, or None where there are
@@ -43,7 +38,7 @@ def cluster_reviews(texts: DataFrame, id_col: str, text_col: str, n_clusters: in
     if size < 2:
         return None
     vectors = feature_vectors(valid, id_col, text_col, indexed_terms(terms), size, stop_words,
-                              sublinear=False, only=term_names(terms))
+                              sublinear=False)
     k = max(2, min(n_clusters, n // 2))
     cached = vectors.persist()
     try:
@@ -59,8 +54,7 @@ def cluster_weights(labelled: DataFrame, id_col: str, text_col: str, cluster_col
                     terms: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """TF-IDF rows (id, cluster_id, term, weight) of labelled texts."""
     docs = labelled.select(id_col, F.col(cluster_col).alias("cluster_id"), text_col)
-    return weights(docs, id_col, text_col, terms, stop_words, sublinear=False, keep=["cluster_id"],
-                   only=term_names(terms))
+    return weights(docs, id_col, text_col, terms, stop_words, sublinear=False, keep=["cluster_id"])
 
 
 def cluster_sizes(labelled: DataFrame, cluster_col: str) -> DataFrame:
