@@ -22,7 +22,7 @@ def test_query_agrees_with_duckdb(spark, db, sf_dir, name):
 
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert __spark_entry__.queries().keys() == QUERIES.keys()
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
     result = __spark_entry__.entry(spark)
     assert result.columns == ["category", "n", "share"]
     assert result.count() > 0
