@@ -86,4 +86,26 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM split LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (host, path)
 """ % LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")
 
-ORACLE = {"op1_mixing": OP1, "op7_decontamination": OP7, "op8_url_filter": OP8}
+OP5 = """
+WITH d AS (SELECT doc_id, sha256(%s) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)
+""" % LOWER.format("coalesce(text, '')")
+
+OP4 = r"""
+WITH lines AS (
+  SELECT doc_id, line, generate_subscripts AS nr, %s AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS generate_subscripts
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+repeated AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT doc_id, nr, line, last IS NOT NULL AND last <> doc_id AS gone FROM lines LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""" % LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+ORACLE = {"op1_mixing": OP1, "op4_line_dedup": OP4, "op5_exact_dedup": OP5, "op7_decontamination": OP7,
+          "op8_url_filter": OP8}
