@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import (decontamination, exact_dedup, line_dedup, mixing, sharding, simhash, token_counts,
-                            url_filter)
+from reviewmill.llm import (decontamination, exact_dedup, language_id, line_dedup, mixing, sharding, simhash,
+                            token_counts, toxicity, url_filter)
 from reviewmill.llm.common import read_table
 
 
@@ -15,6 +15,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped",
@@ -46,9 +51,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train_on_documents(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select(
+        "doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_exact_dedup, op6_token_counts,
-                                   op7_decontamination, op8_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_simhash, op3_language_id, op4_line_dedup, op5_exact_dedup, op6_token_counts,
+    op7_decontamination, op8_url_filter, op9_toxicity, op10_sharding)}
