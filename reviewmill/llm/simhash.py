@@ -19,6 +19,8 @@ ENTRIES, STRIDE = 1 << 16, 12
 #: Rows that a block of the pigeonhole tables should have on average, at most.
 BLOCK_ROWS = 512
 SHINGLES = 1 << 16
+#: How far beyond the expected number of differing bits links are looked for.
+RADIUS_SLACK = 0.35
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -196,8 +198,27 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int) -> np.ndarray:
-    """Row pairs (node, smallest node of its component) over a list of tiles.
+def _forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """The links of a spanning forest that takes the shortest links first: in rounds,
+    every component takes its shortest link that leads out of it."""
+    order = np.argsort(distance, kind="stable")
+    a, b, label, chosen = a[order], b[order], np.arange(n), [np.zeros((2, 0), dtype=np.int64)]
+    while True:
+        out = label[a] != label[b]
+        a, b = a[out], b[out]
+        if not len(a):
+            return np.concatenate(chosen, axis=1)
+        first = np.full(n, len(a))
+        np.minimum.at(first, label[a], np.arange(len(a)))
+        np.minimum.at(first, label[b], np.arange(len(a)))
+        pick = np.unique(first[first < len(a)])
+        chosen.append(np.stack([a[pick], b[pick]]))
+        label = _labels(n, label[a[pick]], label[b[pick]])[label]
+
+
+def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, shortest: bool = False) -> np.ndarray:
+    """Row pairs that link the rows of each component, over a list of tiles: every row
+    with the smallest of its component, or a forest of the shortest links.
 
     A tile is (fingerprints, chunk number); with two chunks, only pairs across them
     are compared, as each chunk has a tile of its own.
@@ -226,19 +247,22 @@ def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int) -> np.n
     (query, word), lanes = _near(np.concatenate(planes, axis=1), query_bits, query[some], word[some], gone[some],
                                  radius)
     at, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    label = _labels(base, query[at], np.concatenate(lane_row)[word[at] * 64 + lane])
+    a, b = query[at], np.concatenate(lane_row)[word[at] * 64 + lane]
+    if shortest:
+        return _forest(base, a, b, np.bitwise_count(every[a] ^ every[b]).sum(axis=1))
+    label = _labels(base, a, b)
     child = np.flatnonzero(label != np.arange(base))
     return np.stack([child, label[child]])
 
 
-def near_links(tiled: DataFrame, radius: int) -> DataFrame:
+def near_links(tiled: DataFrame, radius: int, shortest: bool = False) -> DataFrame:
     """Links (a, b) of fingerprints: the rows of each tile that are near each other are
     linked as a forest, never as all pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             every = [p for prints, _ in groups for p in prints]
             child, root = tile_links([(np.frombuffer(b"".join(p), dtype=np.uint8).reshape(len(p), -1), np.array(s))
-                                      for p, s in groups], radius)
+                                      for p, s in groups], radius, shortest)
             return pa.RecordBatch.from_arrays(
                 [pa.array([every[i] for i in child], pa.binary()), pa.array([every[i] for i in root], pa.binary())],
                 names=["a", "b"])
@@ -266,10 +290,10 @@ def near_links(tiled: DataFrame, radius: int) -> DataFrame:
     return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
 
 
-def components(prints: DataFrame, blocks: DataFrame, radius: int) -> DataFrame:
+def components(prints: DataFrame, links: DataFrame) -> DataFrame:
     """(__fp, __component): the smallest __doc_id among the rows of all fingerprints
-    reachable by links within the radius. prints is a written table."""
-    linked = connected_components(near_links(tiles(blocks), radius))
+    reachable by links (a, b). prints is a written table."""
+    linked = connected_components(links)
     first = prints.groupBy("__fp").agg(F.min("__doc_id").alias("__first")).join(
         linked.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn(
         "__root", F.coalesce("root", "__fp"))
@@ -289,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, 64).select("__doc_id", "__fp"), "simhash")
     nodes = materialise(prints.select("__fp").distinct(), "simhash-nodes")
     blocks = band_keys(nodes, band_scheme(nodes.count(), 64, radius))
-    found = components(prints, blocks, radius)
+    found = components(prints, near_links(tiles(blocks), radius))
     return prints.join(found, "__fp").select(
         F.col("__doc_id").alias(id_col), F.lower(F.hex("__fp")).alias("fingerprint"),
         F.col("__component").alias("component_id"))
@@ -301,6 +325,25 @@ def radius_of(similarity: float, bits: int, slack: float = 0.0) -> int:
     return int(round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits * (1 + slack)))
 
 
+def similar_links(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts share at least so much of their shingles, exactly.
+    texts is (__fp, __body)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, left, right in lists(batches, "a", "b", "__left", "__right", rows=64):
+            keep = []
+            for i, (x, y) in enumerate(zip(left, right)):
+                x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= similarity * (len(x) + len(y) - shared):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()),
+                                              pa.array([b[i] for i in keep], pa.binary())], names=["a", "b"])
+
+    pairs = links.join(texts.select(F.col("__fp").alias("a"), F.col("__body").alias("__left")), "a").join(
+        texts.select(F.col("__fp").alias("b"), F.col("__body").alias("__right")), "b")
+    return pairs.select("a", "b", "__left", "__right").mapInArrow(run, "a binary, b binary")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                          similarity: float = 0.8, bits: int = 256, tables: int = 6) -> DataFrame:
     """The documents with their own columns, one of each near-duplicate group: the one
@@ -308,19 +351,30 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     At a similarity of 0.8 a sixth of all bits differ, which pigeonhole tables cannot
     find without comparing nearly all pairs. So blocks are the texts that share the
-    smallest hash of their shingles in one of several orders (all but 0.2 ** 6 of the pairs of
-    that similarity meet), and wide fingerprints make the estimate sharp. Null and blank
-    texts are copies of each other. Repeated rows of one id and text leave one; null ids
-    come last, and a group without any id keeps one row per text.
+    smallest hash of their shingles in one of several orders (all but 0.2 ** 6 of the
+    pairs of that similarity meet), and fingerprints are wide. Each block is compared
+    bit-sliced within a radius with room for the spread of the estimate; the shortest
+    links that hold its components together are then verified on the whole texts.
+
+    Null and blank texts are copies of each other. Repeated rows of one id and text
+    leave one; null ids come last, and a group without any id keeps one row per text.
     """
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables), "simhash")
     blocks = prints.select("__fp", F.posexplode("__keys").alias("__table", "__key")).distinct()
-    found = components(prints.select("__doc_id", "__fp"), blocks, radius_of(similarity, bits, 0.15))
-    kept = prints.select("__doc_id", "__text", "__fp").join(found, "__fp").where(
-        F.col("__doc_id").eqNullSafe(F.col("__component"))).groupBy("__doc_id", "__text").agg(
-        F.count("*").alias("__n"))
-    renamed = kept.select(F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text"))
-    rows = docs.withColumn("__text", F.xxhash64(text_col)).join(
-        renamed, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__text") == F.col("__kept_text")))
+    radius = radius_of(similarity, bits, RADIUS_SLACK)
+    links = materialise(near_links(tiles(blocks), radius, shortest=True).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    ends = links.select(F.col("a").alias("__fp")).unionByName(links.select(F.col("b").alias("__fp"))).distinct()
+    models = prints.join(ends, "__fp", "left_semi").groupBy("__fp").agg(
+        F.min(F.struct("__doc_id", "__text")).alias("__model"))
+    keyed = docs.withColumn("__text", F.xxhash64(text_col))
+    texts = materialise(keyed.join(models, F.col(id_col).eqNullSafe(F.col("__model.__doc_id")) & (
+        F.col("__text") == F.col("__model.__text"))).select("__fp", F.col(text_col).alias("__body")).dropDuplicates(
+        ["__fp"]), "simhash-texts")
+    found = components(prints, similar_links(links, texts, words, similarity))
+    kept = prints.join(found, "__fp").where(F.col("__doc_id").eqNullSafe(F.col("__component"))).select(
+        F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
+    rows = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (
+        F.col("__text") == F.col("__kept_text")))
     nth = F.row_number().over(Window.partitionBy("__kept_id", "__kept_text").orderBy(F.lit(0)))
     return rows.withColumn("__nth", nth).where(F.col("__nth") == 1).select(docs.columns)
