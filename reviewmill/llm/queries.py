@@ -8,7 +8,8 @@ from reviewmill.llm.common import read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_decisions(read_table(spark, sf_dir, "documents"))
+    return mixing.mix_decisions(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
