@@ -66,8 +66,7 @@ DOMAIN_ASPECTS = {
 REPORT_SECTIONS = ["## 📋 Executive Summary", "## 🔍 Categorized Pain Points",
                    "## 🎯 High-Priority Action Items"]
 ERROR_MARK = "_⚠️"
-NO_REVIEWS_REPORT = ("_No relevant reviews retrieved for this query. "
-                     "Try a different topic or upload more data._")
+NO_REVIEWS_REPORT = "_The search found no review on this topic, so there is nothing to report._"
 GENERIC_QUERY = "negative complaint problem issue bad disappointed kecewa jelek lambat rusak"
 NEGATIVE_TOPIC = "negative complaint problem issue bad disappointed"
 REFINE_SUFFIX = "complaint problem issue"

@@ -23,7 +23,7 @@ def correct_by_rating(df: DataFrame, rating_col: str | None) -> DataFrame:
     """Flip a prediction that a clear rating contradicts and mark the row.
 
     The confidence stays that of the first prediction. A table without predictions
-    or without a rating column comes back as it is.
+    or without a rating column comes back as it is, and so does a row without one.
     """
     if rating_col is None or not {"Predicted_IND", "Predicted_Sentiment"} <= set(df.columns):
         return df
@@ -33,7 +33,8 @@ def correct_by_rating(df: DataFrame, rating_col: str | None) -> DataFrame:
         F.col("Predicted_Sentiment"))
     return (
         df.withColumn("_label", label).withColumn("Rule_Corrected", flip)
-        .withColumns({"Predicted_IND": F.coalesce("_label", "Predicted_IND"),
+        .withColumns({"Predicted_IND": F.when(F.col("Rule_Corrected"), F.col("_label")).otherwise(
+            F.col("Predicted_IND")),
                       "Predicted_Sentiment": name})
         .drop("_label")
     )

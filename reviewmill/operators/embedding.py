@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reviewmill.functions.numbers import to_number
+from reviewmill.functions.numbers import l2_norm, l2_normalise, to_number
 from reviewmill.functions.text import clean_text, is_not_blank, tokens
 
 DIMENSIONS = 384
@@ -25,15 +25,15 @@ def embed_with(docs: DataFrame, text_col: str,
             texts = batch[text_col].fillna("").astype(str).tolist()
             parts = [np.asarray(encoder(texts[i:i + batch_size]), dtype=np.float32)
                      for i in range(0, len(texts), batch_size)]
-            matrix = normalise_rows(np.vstack(parts)) if parts else np.zeros((0, 1), np.float32)
+            matrix = np.vstack(parts) if parts else np.zeros((0, 1), np.float32)
             yield batch.assign(embedding=list(matrix))
 
-    return docs.mapInPandas(encode, schema)
+    return _unit_length(docs.mapInPandas(encode, schema))
 
 
-def normalise_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return (matrix / np.where(norms < 1e-12, 1.0, norms)).astype(np.float32)
+def _unit_length(embedded: DataFrame) -> DataFrame:
+    return embedded.withColumn("embedding", l2_normalise(F.col("embedding"), l2_norm(F.col("embedding"))).cast(
+        "array<float>"))
 
 
 def embed_by_hashing(docs: DataFrame, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -57,15 +57,14 @@ def embed_by_hashing(docs: DataFrame, text_col: str, dimensions: int = DIMENSION
             rows = np.repeat(np.arange(batch.num_rows), lengths)
             sums = np.bincount(rows * dimensions + values // 2, weights=1.0 - 2.0 * (values % 2),
                                minlength=batch.num_rows * dimensions)
-            matrix = normalise_rows(sums.reshape(batch.num_rows, dimensions))
             vectors = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions),
-                pa.array(matrix.reshape(-1)))
+                pa.array(sums.astype(np.float32)))
             kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_codes"]
             names = [n for n in batch.schema.names if n != "_codes"]
             yield pa.RecordBatch.from_arrays([*kept, vectors], [*names, "embedding"])
 
-    return hashed.mapInArrow(count, schema)
+    return _unit_length(hashed.mapInArrow(count, schema))
 
 
 def index_rows(reviews: DataFrame, id_col: str, text_col: str, sentiment_col: str | None = None,

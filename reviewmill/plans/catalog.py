@@ -227,7 +227,7 @@ def class_report(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    return evaluation.with_split(_labelled_predictions(spark, sf_dir), "review_id").select(
+    return evaluation.with_stratified_split(_labelled_predictions(spark, sf_dir), "review_id", "label").select(
         "review_id", "label", "is_test")
 
 
@@ -327,7 +327,7 @@ def base_model_report(spark, sf_dir):
 def base_model_negatives(spark, sf_dir):
     rows = _base_rows(spark, sf_dir)
     model, _, _ = sentiment.train_base(rows, "review_id")
-    held = evaluation.with_split(rows, "review_id").where("is_test")
+    held = evaluation.with_stratified_split(rows, "review_id", "recommended").where("is_test")
     scored = held.join(sentiment.score(held, "review_id", "review_text", model), "review_id")
     scored = scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
     return evaluation.predicted_negatives(scored, "review_id", "review_text")
@@ -342,20 +342,15 @@ def dataset_model_scorecard(spark, sf_dir):
 
 @query
 def dataset_model_scores(spark, sf_dir):
-    """Languages as datasets: the largest with ratings gets its own model, the others
+    """Languages as datasets: each with enough ratings gets its own model, the others
     the base model."""
     rows = materialise(reviews(spark, sf_dir).select(
         "review_id", "review_text", "rating", "recommended",
         F.coalesce("lang", F.lit("Unknown")).alias("dataset")), "reviews")
     base, _, _ = sentiment.train_base(tables.base_training_rows(
         rows, "review_text", "recommended", "review_id"), "review_id")
-    choice = sentiment.trainable_datasets(rows, "review_id", "review_text", "rating", "dataset")
-    largest = choice.where(F.col("model") == "dataset").orderBy(F.desc("n"), "dataset").first()
-    own = {}
-    if largest is not None:
-        part = rows.where(F.col("dataset") == largest["dataset"])
-        own[largest["dataset"]] = sentiment.train_dataset(
-            part, "review_id", "review_text", "rating", "general")[0]
+    own = {name: trained[0] for name, trained in sentiment.train_datasets(
+        rows, "review_id", "review_text", "rating", "dataset").items()}
     return sentiment.score_datasets(rows, "review_id", "review_text", "dataset", own, base)
 
 
@@ -706,7 +701,8 @@ def _report_groups(spark, sf_dir) -> DataFrame:
         F.lit(i).alias("cluster_id"), (F.col("n_reviews") + i).alias("size"),
         F.array(*[F.lit(w) for w in words]).alias("keywords"))
         for i, words in enumerate(DOMAIN_KEYWORDS.values())])
-    return counts.join(chosen, "grp").join(routed, "grp").withColumn("clusters", clusters)
+    return counts.join(chosen, "grp", "left").join(routed, "grp").withColumns({
+        "clusters": clusters, "reviews": F.coalesce("reviews", F.array().cast("array<string>"))})
 
 
 @query

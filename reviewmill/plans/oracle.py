@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries, written apart from the Spark code."""
 
 from reviewmill.functions.lexicon import (DOMAIN_ASPECTS, DOMAIN_KEYWORDS, ERROR_MARK, GENERIC_QUERY,
-                                          CATEGORY_COLUMN_NAMES, INDONESIAN_KEYWORDS,
+                                          CATEGORY_COLUMN_NAMES, INDONESIAN_KEYWORDS, NO_REVIEWS_REPORT,
                                           PRODUCT_COLUMN_NAMES, RATING_COLUMN_NAMES, REFINE_SUFFIX,
                                           REPORT_SECTIONS, STOP_WORDS, TEXT_COLUMN_NAMES, WHITESPACE)
 
@@ -32,7 +32,7 @@ select d.doc_id as review_id,
   cast(0.5 as double) + cast(d.doc_id % 50 as double) / cast(100 as double) as confidence
 from documents d
 left join labels l on l.doc_id = d.doc_id
-left join part p on p.p_partkey = d.doc_id % 200
+left join part p on p.p_partkey = d.doc_id % (select max(p_partkey) + 1 from part)
 """
 
 
@@ -204,7 +204,8 @@ negatives as (select grp, review_text, row_number() over (partition by grp order
 chosen as (select grp, list(review_text order by place) as texts from negatives where place <= 20 group by 1),
 counts as (select grp, count(*) filter (where rule_corrected) as corrections, count(*) as n_reviews
            from predictions group by 1),
-groups as (select * from counts join chosen using (grp) join routed using (grp))"""
+groups as (select * exclude (texts), coalesce(texts, []) as texts
+  from counts left join chosen using (grp) join routed using (grp))"""
 LISTS = [list(w) for w in DOMAIN_KEYWORDS.values()]
 
 
@@ -237,8 +238,9 @@ def _template() -> str:
     actions = ", chr(10), ".join(f"'{i + 1}. Look into {w[0]} and {w[1]}'" for i, w in enumerate(LISTS))
     s = [text_literal(x) for x in REPORT_SECTIONS]
     return f"""{GROUPS}
-select grp, concat({s[0]}, chr(10), len(texts), ' negative reviews in 3 themes.', chr(10),
-  {s[1]}, chr(10), {named}, chr(10), {s[2]}, chr(10), {actions}, chr(10)) as report
+select grp, case when len(texts) = 0 then {text_literal(NO_REVIEWS_REPORT)}
+  else concat({s[0]}, chr(10), len(texts), ' negative reviews in 3 themes.', chr(10),
+  {s[1]}, chr(10), {named}, chr(10), {s[2]}, chr(10), {actions}, chr(10)) end as report
 from groups"""
 
 
@@ -369,7 +371,9 @@ ORACLE: dict[str, str] = {
         select class, {r6('p')} as "precision", {r6('r')} as recall, {r6('f')} as f1,
           cast(support as bigint) as support from report""",
     "stratified_split": f"""with {PREDICTED} select review_id, label,
-        substr({SAMPLE_KEY}, 1, 8) < '33333333' as is_test from labelled where label is not null""",
+        row_number() over same < ceil(0.2 * count(*) over (partition by label)) as is_test
+        from labelled where label is not null
+        window same as (partition by label order by substr({SAMPLE_KEY}, 1, 8))""",
     "class_weights": f"""with {PREDICTED}, counts as (select label, count(*) as n from labelled
           where label is not null group by 1)
         select label, n, {r6('(select sum(n)::double / count(*) from counts) / n')} as weight from counts""",

@@ -22,7 +22,6 @@ REMARKS = [
     "great value for the price",
     "exactly as described",
 ]
-PRODUCTS = 200
 
 
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +52,12 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_products(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
-    """Add product_name. A review names one of PRODUCTS keys and part has one row per
-    key, so the joined side is small; its size is checked all the same."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where(
-        (F.col("p_partkey") >= 0) & (F.col("p_partkey") < PRODUCTS)).select(
+    """Add product_name: reviews are dealt over all keys of part, which is broadcast
+    where its measured size allows it."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("_part"), F.col("p_name").alias("product_name"))
-    return df.join(broadcast_if_small(part), F.col("_part") == F.col("review_id") % PRODUCTS,
+    keys = part.agg(F.max("_part") + 1).first()[0]
+    return df.join(broadcast_if_small(part), F.col("_part") == F.col("review_id") % keys,
                    "left").drop("_part")
 
 

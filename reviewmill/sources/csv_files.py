@@ -28,8 +28,8 @@ FILE = "_file"
 EXTRA = "_extra"
 MARK = "\x01end"
 
-EMPTY = "File appears to be empty."
-NO_ROWS = "No usable rows/columns after parsing."
+EMPTY = "The file holds no text."
+NO_ROWS = "No row of the file could be used."
 
 
 @dataclass(frozen=True)

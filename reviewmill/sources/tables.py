@@ -6,13 +6,15 @@ from reviewmill.functions.lexicon import BASE_TARGET_COLUMN, BASE_TEXT_COLUMN
 from reviewmill.functions.numbers import to_number
 from reviewmill.functions.text import clean_text
 
+SPREAD = 16
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. Input that comes in fewer splits than there are cores is
-    spread over them; at scale a table has many splits and is left alone."""
+    """A Parquet table. A small file that comes in a few splits is spread over up to
+    SPREAD tasks; a table of more splits is read as it lies, however many cores there are."""
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = min(spark.sparkContext.defaultParallelism, SPREAD)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

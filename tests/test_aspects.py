@@ -134,4 +134,4 @@ def test_few_reviews_are_used_as_they_are(spark):
     got = run_reports(requests(spark, ["late"]), review_index(spark, 5), embed).first()
     assert got["clusters"] == [] and len(got["reviews"]) == 5 and got["is_valid"]
     none = run_reports(requests(spark, ["late"]), review_index(spark, 5).limit(0), embed).first()
-    assert none["reviews"] == [] and none["report"].startswith("_No relevant reviews")
+    assert none["reviews"] == [] and none["report"].startswith("_The search found no review")

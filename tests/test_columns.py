@@ -77,3 +77,11 @@ def test_routing_rules(spark):
 def test_only_first_rows_route(spark):
     df = spark.createDataFrame([(i, "shirt" if i < 100 else "battery screen") for i in range(500)], "id int, t string")
     assert route_datasets(df, "id", "t").first()["domain"] == "clothing"
+
+
+def test_correction_leaves_rows_without_a_prediction(spark):
+    from reviewmill.operators.correction import correct_by_rating
+    df = spark.createDataFrame([(None, None, "5"), (0, "Negative", "5")],
+                               "Predicted_IND int, Predicted_Sentiment string, stars string")
+    got = correct_by_rating(df, "stars").select("Predicted_IND", "Predicted_Sentiment", "Rule_Corrected").collect()
+    assert [tuple(r) for r in got] == [(None, None, False), (1, "Positive", True)]

@@ -70,15 +70,15 @@ def test_empty_and_header_only_files(spark, folder):
     (folder / "header.csv").write_text("id,review\n")
     (folder / "good.csv").write_text("id,review\n1,fine\n")
     info = {r[FILE].rsplit("/", 1)[1]: r["error"] for r in scan_csv(spark, str(folder)).info.collect()}
-    assert info == {"blank.csv": "File appears to be empty.", "good.csv": None,
-                    "header.csv": "No usable rows/columns after parsing."}
+    assert info == {"blank.csv": "The file holds no text.", "good.csv": None,
+                    "header.csv": "No row of the file could be used."}
 
 
 def test_only_blank_files(spark, folder):
     (folder / "blank.csv").write_text("\n")
     scan = scan_csv(spark, str(folder))
     assert scan.rows is None
-    assert scan.info.first()["error"] == "File appears to be empty."
+    assert scan.info.first()["error"] == "The file holds no text."
 
 
 def test_headers_united_by_name_and_repeats_told_apart(spark, folder):

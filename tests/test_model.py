@@ -129,7 +129,7 @@ def test_mixed_datasets_use_their_own_model(spark, labelled):
 
 def test_split_is_disjoint_and_stratified(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(4000)], "id int, label int")
-    parts = evaluation.with_split(df, "id")
+    parts = evaluation.with_stratified_split(df, "id", "label")
     assert 700 < parts.where("is_test").count() < 900
     exact = evaluation.with_stratified_split(df, "id", "label").where("is_test").groupBy("label").count()
     assert {r[0]: r[1] for r in exact.collect()} == pytest.approx({0: 600, 1: 200}, abs=3)
@@ -162,3 +162,20 @@ def test_prediction_columns(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.87654), (3, 0.1)], "id int, p double")
     assert rows(with_prediction(df, "p").orderBy("id")) == [
         (1, 0, "Negative", 0.5, "50.0%"), (2, 1, "Positive", 0.8765, "87.7%"), (3, 0, "Negative", 0.9, "90.0%")]
+
+
+def test_small_class_stays_in_the_training_part(spark):
+    for ids in ((0, 1), (5, 6), (17, 29)):
+        df = spark.createDataFrame([(i, "good nice" if i not in ids else "bad broke", "5" if i not in ids else "1")
+                                    for i in range(32)], "id int, t string, stars string")
+        model, _, card = sentiment.train_dataset(df, "id", "t", "stars", "general")
+        assert model.n_train + card.first()["n_test"] == 32
+
+
+def test_every_dataset_with_ratings_is_trained(spark):
+    df = spark.createDataFrame(
+        [(i, f"good nice {i % 3}" if i % 2 else f"bad broke {i % 3}", "5" if i % 2 else "1", "ab"[i // 40] if i < 80 else "c")
+         for i in range(90)], "id int, t string, stars string, ds string")
+    trained = sentiment.train_datasets(df, "id", "t", "stars", "ds", workers=2)
+    assert set(trained) == {"a", "b"}
+    assert all(t[0].n_train == 34 for t in trained.values())
