@@ -103,10 +103,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = materialise(_fingerprints(source, primes), "exact-prints")
     open_rows, rounds = prints.withColumn("__round", F.lit(0)), []
     while True:
-        best = open_rows.groupBy("__fp", "__bytes").agg(
+        # sums are written before they are joined, so that a hot group's partition can be split
+        best = materialise(open_rows.groupBy("__fp", "__bytes").agg(
             F.count("*").alias("__n"), F.max(F.struct(
-                F.col("__doc_id").alias("doc_id"), F.col("__sha").alias("sha"))).alias("__best"))
-        shared = open_rows.join(best.where(F.col("__n") > 1), ["__fp", "__bytes"]).select(
+                F.col("__doc_id").alias("doc_id"), F.col("__sha").alias("sha"))).alias("__best")).where(
+            F.col("__n") > 1), "exact-shared")
+        shared = open_rows.join(best, ["__fp", "__bytes"]).select(
             "__doc_id", "__sha", "__fp", "__bytes", "__best").distinct()
         texts = source.join(shared.withColumnRenamed("__doc_id", "__id"),
                             F.col("__doc_id").eqNullSafe(F.col("__id"))).drop("__id")
@@ -132,7 +134,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for more in rounds[1:]:
         done = done.unionByName(more)
     keys = ["__fp", "__bytes", "__round"]
-    groups = done.groupBy(*keys).agg(F.max("__doc_id").alias("__keep"), F.count("*").alias("__size"))
+    groups = materialise(done.groupBy(*keys).agg(F.max("__doc_id").alias("__keep"), F.count("*").alias("__size")),
+                         "exact-groups")
     return done.join(groups, keys).select(
         F.col("__doc_id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
         F.col("__doc_id").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__sha").alias("text_sha256"))
