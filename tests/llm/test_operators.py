@@ -358,7 +358,7 @@ def test_packing_is_even(spark):
     sizes = got.groupby("shard")["size"].sum()
     assert sizes.max() <= 1.06 * sizes.min()  # a group of equal texts is up to a tenth of a shard here
     groups = got.assign(text=[rows[i][1] for i in got.doc_id]).groupby("text").shard.nunique()
-    assert groups.drop("hot").max() == 1 and groups["hot"] > 1
+    assert groups.drop("hot").max() <= 2 < groups["hot"]  # the largest exceed an eighth of a shard
 
 
 def test_pipeline(spark, sf_dir):
