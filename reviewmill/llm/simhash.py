@@ -287,7 +287,8 @@ def near_links(tiled: DataFrame, radius: int, shortest: bool = False) -> DataFra
             yield flush()
 
     keys = ["__table", "__key", "__x", "__y"]
-    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+    # fingerprints are sorted too, so that ties between links fall alike in every run
+    return tiled.repartition(*keys).sortWithinPartitions(*keys, "__fp").mapInArrow(run, "a binary, b binary")
 
 
 def components(prints: DataFrame, links: DataFrame) -> DataFrame:
