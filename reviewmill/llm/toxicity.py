@@ -26,8 +26,10 @@ BEGINNINGS = range(3, 7)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+def word_counts(text: str | None, heads: frozenset[str] | None = None) -> Counter:
+    """The words of a text, or only those whose first letters are among the heads."""
+    found = WORD.findall((text or "").lower())
+    return Counter(found if heads is None else [w for w in found if w[:BEGINNINGS.start] in heads])
 
 
 def beginnings(words: Counter) -> Counter:
@@ -45,6 +47,7 @@ class Terms:
     def __init__(self, terms: list[str]):
         self.words = {t: n for n, t in enumerate(terms) if not t.endswith("*")}
         self.starts = {t[:-1]: n for n, t in enumerate(terms) if t.endswith("*")}
+        self.heads = frozenset(t.rstrip("*")[:BEGINNINGS.start] for t in terms)
         self.count = len(terms)
 
     def of(self, words: Counter) -> dict[int, int]:
@@ -133,7 +136,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> tuple[float, list]:
         """Calibrated probability, and the ids of the nearest examples."""
-        near, cosine = self.nearest(*self.vector(word_counts(text)), NEIGHBOURS)
+        near, cosine = self.nearest(*self.vector(word_counts(text, self.terms.heads)), NEIGHBOURS)
         return _sigmoid(self.slope * self.vote(near, cosine) + self.offset), [self.ids[i] for i in near[:3]]
 
 
@@ -211,7 +214,7 @@ def _document_frequency(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]
         for (texts,) in lists(batches, "__text"):
             counts[-1] += len(texts)
             for text in texts:
-                counts[list(known.of(word_counts(text)))] += 1
+                counts[list(known.of(word_counts(text, known.heads)))] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["term", "n"])
 
