@@ -66,8 +66,8 @@ class Terms:
 class ToxicityModel:
     """Examples behind a block-max inverted index, all sizes bounded by the sample.
 
-    Postings are sorted by term, then example. A slice is the postings of one term in
-    one block of examples, and has the largest weight among them.
+    Postings are sorted by term, then example; each term has the place of its postings
+    and its largest weight per block.
     """
 
     terms: Terms
@@ -77,10 +77,8 @@ class ToxicityModel:
     mass: np.ndarray         # per example: labelled rows that it stands for
     example: np.ndarray      # per posting
     value: np.ndarray        # per posting: weight in the example's unit vector
-    term_slices: np.ndarray  # per term: its first slice; one more at the end
-    slice_block: np.ndarray
-    slice_start: np.ndarray  # per slice: its first posting; one more at the end
-    slice_max: np.ndarray
+    block_start: np.ndarray  # per term and block: its first posting; one more block at the end
+    block_max: np.ndarray    # per term and block: the largest weight
     slope: float = 0.0
     offset: float = 0.0
 
@@ -93,37 +91,36 @@ class ToxicityModel:
         w = (1 + np.log([found[t] for t in at.tolist()])) * self.weight[at]
         return at, w / math.sqrt(float(w @ w))
 
-    def _scores(self, slices: np.ndarray, w: np.ndarray) -> np.ndarray:
-        first, size = self.slice_start[slices], self.slice_start[slices + 1] - self.slice_start[slices]
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.example[at], self.value[at] * np.repeat(w, size), len(self.ids))
+    def _scores(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in the marked blocks, 0 elsewhere."""
+        starts, marked = self.block_start[at], np.flatnonzero(blocks)
+        first = starts[:, marked]
+        size = (starts[:, marked + 1] - first).ravel()
+        ends = np.cumsum(size)
+        places = np.repeat(first.ravel() - ends + size, size) + np.arange(ends[-1])
+        by_term = np.repeat(w, size.reshape(len(at), -1).sum(axis=1))
+        return np.bincount(self.example[places], self.value[places] * by_term, len(self.ids))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine (above 0), ties by place, and the cosines.
 
-        A block's bound is the sum of its slices' largest weights. The blocks of the
+        A block's bound is the sum of its terms' largest weights. The blocks of the
         highest bounds are scored first; others only if their bound reaches the kth
         cosine found, so that none is missed.
         """
         if not len(at):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        sizes = self.term_slices[at + 1] - self.term_slices[at]
-        slices = np.concatenate([np.arange(a, b) for a, b in zip(self.term_slices[at], self.term_slices[at + 1])])
-        weights = np.repeat(w, sizes)
-        blocks = self.slice_block[slices]
-        bound = np.bincount(blocks, weights * self.slice_max[slices])
-        order = np.argsort(-bound, kind="stable")
+        bound = w @ self.block_max[at]
         first = np.zeros(len(bound), dtype=bool)
-        first[order[:max(2, 2 * k // BLOCK)]] = True
-        mine = first[blocks]
-        scores = self._scores(slices[mine], weights[mine])
+        first[np.argsort(-bound, kind="stable")[:max(2, 2 * k // BLOCK)]] = True
+        scores = self._scores(at, w, first)
         if but >= 0:
             scores[but] = 0
         if len(scores) > k:
             kth = np.partition(scores, len(scores) - k)[-k]
-            rest = (~first & (bound >= kth - 1e-9))[blocks] if kth > 0 else ~mine
+            rest = ~first & (bound > 0) & ((bound >= kth - 1e-9) | (kth <= 0))
             if rest.any():
-                scores += self._scores(slices[rest], weights[rest])
+                scores += self._scores(at, w, rest)
                 if but >= 0:
                     scores[but] = 0
         hit = np.flatnonzero(scores > 0)
@@ -166,7 +163,7 @@ def build_index(ids: list, bags: list[Counter], toxic: np.ndarray, mass: np.ndar
                 weight: np.ndarray) -> ToxicityModel:
     """Order the examples by their heaviest term, so that a block holds like ones, and
     write the postings."""
-    blank = ToxicityModel(terms, weight, ids, toxic, mass, *[np.zeros(0)] * 6)
+    blank = ToxicityModel(terms, weight, ids, toxic, mass, *[np.zeros(0)] * 4)
     vectors = [blank.vector(c) for c in bags]
     heavy = [int(at[w.argmax()]) if len(at) else -1 for at, w in vectors]
     order = sorted(range(len(ids)), key=lambda i: (heavy[i], toxic[i], ids[i]))
@@ -175,12 +172,14 @@ def build_index(ids: list, bags: list[Counter], toxic: np.ndarray, mass: np.ndar
     term = np.array([r[0] for r in rows], dtype=np.int64)
     example = np.array([r[1] for r in rows], dtype=np.int64)
     value = np.array([r[2] for r in rows])
-    key = term * (len(ids) // BLOCK + 1) + example // BLOCK
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    blocks = len(ids) // BLOCK + 1
+    key = term * blocks + example // BLOCK
+    start = np.searchsorted(key, np.arange(terms.count * blocks + 1))
+    block_max = np.zeros(terms.count * blocks)
+    np.maximum.at(block_max, key, value)
     return ToxicityModel(
         terms, weight, [ids[i] for i in order], toxic[order], mass[order], example, value,
-        np.searchsorted(term[start], np.arange(terms.count + 1)), example[start] // BLOCK,
-        np.append(start, len(key)), np.maximum.reduceat(value, start) if len(start) else np.zeros(0))
+        start[np.arange(terms.count)[:, None] * blocks + np.arange(blocks + 1)], block_max.reshape(-1, blocks))
 
 
 def calibrate(model: ToxicityModel, bags: list[Counter], order_ids: list) -> tuple[float, float]:
