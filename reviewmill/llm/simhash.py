@@ -21,6 +21,9 @@ BLOCK_ROWS = 512
 SHINGLES = 1 << 16
 #: How far beyond the expected number of differing bits links are looked for.
 RADIUS_SLACK = 0.35
+#: Forests of the shortest links that a tile gives: so many links between any two parts
+#: of a tile are verified before the parts count as different.
+FORESTS = 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -198,27 +201,37 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """The links of a spanning forest that takes the shortest links first: in rounds,
-    every component takes its shortest link that leads out of it."""
-    order = np.argsort(distance, kind="stable")
-    a, b, label, chosen = a[order], b[order], np.arange(n), [np.zeros((2, 0), dtype=np.int64)]
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest that takes the first links first: in
+    rounds, every component takes its first link that leads out of it."""
+    at, label, chosen = np.arange(len(a)), np.arange(n), [np.zeros(0, dtype=np.int64)]
     while True:
-        out = label[a] != label[b]
-        a, b = a[out], b[out]
-        if not len(a):
-            return np.concatenate(chosen, axis=1)
-        first = np.full(n, len(a))
-        np.minimum.at(first, label[a], np.arange(len(a)))
-        np.minimum.at(first, label[b], np.arange(len(a)))
-        pick = np.unique(first[first < len(a)])
-        chosen.append(np.stack([a[pick], b[pick]]))
-        label = _labels(n, label[a[pick]], label[b[pick]])[label]
-
-
-def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, shortest: bool = False) -> np.ndarray:
-    """Row pairs that link the rows of each component, over a list of tiles: every row
-    with the smallest of its component, or a forest of the shortest links.
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            return np.concatenate(chosen)
+        first = np.full(n, len(at))
+        np.minimum.at(first, label[a[at]], np.arange(len(at)))
+        np.minimum.at(first, label[b[at]], np.arange(len(at)))
+        chosen.append(at[np.unique(first[first < len(at)])])
+        label = _labels(n, label[a[chosen[-1]]], label[b[chosen[-1]]])[label]
+
+
+def _forests(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, count: int) -> np.ndarray:
+    """(a, b, forest) of the links of so many forests of the shortest links. Each takes
+    what the earlier ones left, so that between any two parts every forest has a link as
+    long as there is one."""
+    order = np.argsort(distance, kind="stable")
+    found = [np.zeros((3, 0), dtype=np.int64)]
+    for forest in range(count):
+        picked = _forest(n, a[order], b[order])
+        found.append(np.stack([a[order[picked]], b[order[picked]], np.full(len(picked), forest)]))
+        order = np.delete(order, picked)
+    return np.concatenate(found, axis=1)
+
+
+def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, forests: int = 0) -> np.ndarray:
+    """(row, row, forest) that link the rows of each component, over a list of tiles:
+    every row with the smallest of its component, or forests of the shortest links.
 
     A tile is (fingerprints, chunk number); with two chunks, only pairs across them
     are compared, as each chunk has a tile of its own.
@@ -248,24 +261,25 @@ def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, shortes
                                  radius)
     at, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     a, b = query[at], np.concatenate(lane_row)[word[at] * 64 + lane]
-    if shortest:
-        return _forest(base, a, b, np.bitwise_count(every[a] ^ every[b]).sum(axis=1))
+    if forests:
+        return _forests(base, a, b, np.bitwise_count(every[a] ^ every[b]).sum(axis=1), forests)
     label = _labels(base, a, b)
     child = np.flatnonzero(label != np.arange(base))
-    return np.stack([child, label[child]])
+    return np.stack([child, label[child], np.zeros_like(child)])
 
 
-def near_links(tiled: DataFrame, radius: int, shortest: bool = False) -> DataFrame:
-    """Links (a, b) of fingerprints: the rows of each tile that are near each other are
-    linked as a forest, never as all pairs."""
+def near_links(tiled: DataFrame, radius: int, forests: int = 0) -> DataFrame:
+    """Links (a, b, forest) of fingerprints: the rows of each tile that are near each
+    other are linked as a bounded number of forests, never as all pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             every = [p for prints, _ in groups for p in prints]
-            child, root = tile_links([(np.frombuffer(b"".join(p), dtype=np.uint8).reshape(len(p), -1), np.array(s))
-                                      for p, s in groups], radius, shortest)
+            child, root, forest = tile_links(
+                [(np.frombuffer(b"".join(p), dtype=np.uint8).reshape(len(p), -1), np.array(s)) for p, s in groups],
+                radius, forests)
             return pa.RecordBatch.from_arrays(
-                [pa.array([every[i] for i in child], pa.binary()), pa.array([every[i] for i in root], pa.binary())],
-                names=["a", "b"])
+                [pa.array([every[i] for i in child], pa.binary()), pa.array([every[i] for i in root], pa.binary()),
+                 pa.array(forest, pa.int32())], names=["a", "b", "forest"])
 
         groups: list[tuple[list[bytes], list[int]]] = []
         entries, key, prints, sides = 0, None, [], []
@@ -288,7 +302,7 @@ def near_links(tiled: DataFrame, radius: int, shortest: bool = False) -> DataFra
 
     keys = ["__table", "__key", "__x", "__y"]
     # fingerprints are sorted too, so that ties between links fall alike in every run
-    return tiled.repartition(*keys).sortWithinPartitions(*keys, "__fp").mapInArrow(run, "a binary, b binary")
+    return tiled.repartition(*keys).sortWithinPartitions(*keys, "__fp").mapInArrow(run, "a binary, b binary, forest int")
 
 
 def components(prints: DataFrame, links: DataFrame) -> DataFrame:
@@ -314,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, 64).select("__doc_id", "__fp"), "simhash")
     nodes = materialise(prints.select("__fp").distinct(), "simhash-nodes")
     blocks = band_keys(nodes, band_scheme(nodes.count(), 64, radius))
-    found = components(prints, near_links(tiles(blocks), radius))
+    found = components(prints, near_links(tiles(blocks), radius).select("a", "b"))
     return prints.join(found, "__fp").select(
         F.col("__doc_id").alias(id_col), F.lower(F.hex("__fp")).alias("fingerprint"),
         F.col("__component").alias("component_id"))
@@ -345,6 +359,19 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int, similarity: fl
     return pairs.select("a", "b", "__left", "__right").mapInArrow(run, "a binary, b binary")
 
 
+def verified_links(links: DataFrame, keyed: DataFrame, prints: DataFrame, id_col: str, text_col: str, words: int,
+                   similarity: float) -> DataFrame:
+    """The links (a, b) that hold on the whole texts, as a written table. One document
+    of each linked fingerprint gives its text; keyed has the digests of the texts."""
+    ends = links.select(F.col("a").alias("__fp")).unionByName(links.select(F.col("b").alias("__fp"))).distinct()
+    models = prints.join(ends, "__fp", "left_semi").groupBy("__fp").agg(
+        F.min(F.struct("__doc_id", "__text")).alias("__model"))
+    texts = materialise(keyed.join(models, F.col(id_col).eqNullSafe(F.col("__model.__doc_id")) & (
+        F.col("__text") == F.col("__model.__text"))).select("__fp", F.col(text_col).alias("__body")).dropDuplicates(
+        ["__fp"]), "simhash-texts")
+    return materialise(similar_links(links, texts, words, similarity), "simhash-verified")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                          similarity: float = 0.8, bits: int = 256, tables: int = 6) -> DataFrame:
     """The documents with their own columns, one of each near-duplicate group: the one
@@ -355,24 +382,26 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest hash of their shingles in one of several orders (all but 0.2 ** 6 of the
     pairs of that similarity meet), and fingerprints are wide. Each block is compared
     bit-sliced within a radius with room for the spread of the estimate; the shortest
-    links that hold its components together are then verified on the whole texts.
+    links that hold its components together are then verified on the whole texts. Where
+    they fail, the links of further forests across the gap are verified too.
 
     Null and blank texts are copies of each other. Repeated rows of one id and text
     leave one; null ids come last, and a group without any id keeps one row per text.
     """
+    keyed = docs.withColumn("__text", F.xxhash64(text_col))
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables), "simhash")
     blocks = prints.select("__fp", F.posexplode("__keys").alias("__table", "__key")).distinct()
     radius = radius_of(similarity, bits, RADIUS_SLACK)
-    links = materialise(near_links(tiles(blocks), radius, shortest=True).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
-    ends = links.select(F.col("a").alias("__fp")).unionByName(links.select(F.col("b").alias("__fp"))).distinct()
-    models = prints.join(ends, "__fp", "left_semi").groupBy("__fp").agg(
-        F.min(F.struct("__doc_id", "__text")).alias("__model"))
-    keyed = docs.withColumn("__text", F.xxhash64(text_col))
-    texts = materialise(keyed.join(models, F.col(id_col).eqNullSafe(F.col("__model.__doc_id")) & (
-        F.col("__text") == F.col("__model.__text"))).select("__fp", F.col(text_col).alias("__body")).dropDuplicates(
-        ["__fp"]), "simhash-texts")
-    found = components(prints, similar_links(links, texts, words, similarity))
+    links = materialise(near_links(tiles(blocks), radius, FORESTS).groupBy(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")),
+        "simhash-links")
+    first = verified_links(links.where("forest = 0"), keyed, prints, id_col, text_col, words, similarity)
+    joined = connected_components(first)
+    side = [joined.select(F.col("node").alias(c), F.col("root").alias(f"__{c}")) for c in "ab"]
+    open_ = links.where("forest > 0").join(side[0], "a", "left").join(side[1], "b", "left").where(
+        F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+    second = verified_links(materialise(open_, "simhash-open"), keyed, prints, id_col, text_col, words, similarity)
+    found = components(prints, first.unionByName(second))
     kept = prints.join(found, "__fp").where(F.col("__doc_id").eqNullSafe(F.col("__component"))).select(
         F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
     rows = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (

@@ -122,10 +122,21 @@ def test_bit_sliced_comparison(two, radius, width):
         near &= side[:, None] != side[None]
     a, b = np.nonzero(near)
     want = simhash._labels(300, a, b)
-    for shortest in (False, True):
-        links = simhash.tile_links([(prints, side)], radius, shortest)
-        assert np.array_equal(simhash._labels(300, *links), want)
-        assert len(links[0]) == 300 - len(set(want.tolist()))
+    for forests in (0, 1, 3):
+        x, y, forest = simhash.tile_links([(prints, side)], radius, forests)
+        assert np.array_equal(simhash._labels(300, x, y), want)
+        assert (forest == 0).sum() == 300 - len(set(want.tolist()))
+
+
+def test_forests_keep_links_of_every_cut():
+    random = np.random.default_rng(5)
+    a, b = np.nonzero(np.triu(random.random((40, 40)) < 0.2, 1))
+    x, y, forest = simhash._forests(40, a, b, random.integers(0, 50, len(a)), 3)
+    assert len(set(zip(x.tolist(), y.tolist()))) == len(x)
+    for part in (random.random((200, 40)) < random.random((200, 1))):
+        across = (part[a] != part[b]).sum()
+        assert (part[x] != part[y]).sum() >= min(3, across)
+        assert len(set(forest[part[x] != part[y]].tolist())) == min(3, across)
 
 
 def test_large_blocks_are_tiled(spark, monkeypatch):
