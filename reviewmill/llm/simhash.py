@@ -401,7 +401,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     open_ = links.where("forest > 0").join(side[0], "a", "left").join(side[1], "b", "left").where(
         F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
     second = verified_links(materialise(open_, "simhash-open"), keyed, prints, id_col, text_col, words, similarity)
-    found = components(prints, first.unionByName(second))
+    stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = components(prints, stars.unionByName(second))
     kept = prints.join(found, "__fp").where(F.col("__doc_id").eqNullSafe(F.col("__component"))).select(
         F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
     rows = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (
