@@ -19,8 +19,8 @@ SAMPLE_ROWS, MAX_TERMS = 6000, 20_000
 #: Examples per block of the index; neighbours that vote; power of the similarity; vote
 #: of no neighbour at all; score from which a text counts as toxic.
 BLOCK, NEIGHBOURS, POWER, IDLE, THRESHOLD = 64, 15, 2, 0.02, 0.7
-#: Standard errors by which a term's log odds ratio must differ from 0.
-SURE, LEAST_TEXTS = 4.0, 4
+#: G statistic from which a term tells the classes apart (5 % level, one degree of freedom).
+TELLING, LEAST_TEXTS = 3.84, 4
 #: Terms are words, and beginnings of so many letters of longer words, marked with *.
 BEGINNINGS = range(3, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -141,22 +141,28 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
+def g_statistic(a: int, b: int, n1: int, n0: int) -> float:
+    """G-test of a term in a of n1 and b of n0 examples. An empty cell adds nothing, so
+    that a term of one class only is not held against."""
+    n = n1 + n0
+    cells = ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b))
+    return sum(2 * seen * math.log(seen * n / (row * column)) for seen, row, column in cells if seen)
+
+
 def distinct_terms(bags: list[Counter], toxic: np.ndarray) -> dict[str, float]:
-    """Terms that speak for a class, with the part of their log odds ratio that is
-    beyond doubt; the most telling ones if there are more than MAX_TERMS."""
+    """Terms that tell the classes apart, with their absolute log odds ratio; those of
+    the largest G if there are more than MAX_TERMS."""
     held = [Counter(), Counter()]
     for counts, y in zip(bags, toxic):
         held[int(y)].update(beginnings(counts).keys())
     n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
-    sure = {}
-    for term in held[0].keys() | held[1].keys():
+    found = []
+    for term in sorted(held[0].keys() | held[1].keys()):
         a, b = held[1][term], held[0][term]
-        if a + b >= LEAST_TEXTS:
+        if a + b >= LEAST_TEXTS and (g := g_statistic(a, b, n[1], n[0])) >= TELLING:
             ratio = math.log((a + .5) / (n[1] - a + .5)) - math.log((b + .5) / (n[0] - b + .5))
-            value = abs(ratio) - SURE * math.sqrt(1 / (a + .5) + 1 / (b + .5))
-            if value > 0:
-                sure[term] = value
-    return dict(sorted(sorted(sure.items()), key=lambda x: -x[1])[:MAX_TERMS])
+            found.append((g, term, abs(ratio)))
+    return {term: ratio for _, term, ratio in sorted(found, key=lambda x: -x[0])[:MAX_TERMS]}
 
 
 def build_index(ids: list, bags: list[Counter], toxic: np.ndarray, mass: np.ndarray, terms: Terms,

@@ -331,6 +331,14 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, 0.0).count() == 0
 
 
+def test_words_of_toxic_texts_only_are_terms():
+    bags = [Counter(["common", "vile"] if i < 17 else ["common"]) for i in range(2636)]
+    sure = toxicity.distinct_terms(bags, np.array([int(i < 288) for i in range(2636)]))
+    assert "vile" in sure and "common" not in sure
+    for a, b in ((17, 0), (7, 1), (4, 0)):
+        assert toxicity.g_statistic(a, b, 288, 2348) >= toxicity.TELLING
+
+
 def test_block_max_search_is_exact():
     random = np.random.default_rng(8)
     n, names = 500, [f"t{i}" for i in range(60)]
