@@ -119,7 +119,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training,
     """A model from the labelled rows that the condition admits, or None without any."""
     source = docs.where(training).select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__text"),
                                          F.col(lang_col).alias("__label"))
-    sample = labelled_sample(source.select("__doc_id", "__label"), rows)
+    sample = labelled_sample(source.select("__doc_id", "__label").distinct(), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, labels, texts in lists(batches, "__check", "__label", "__text"):
@@ -130,10 +130,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training,
                  pa.array([k[2][1] for k in kept], pa.list_(pa.float64()))],
                 names=["check", "label", "at", "share"])
 
-    part = sampled_texts(source.drop("__label"), sample).withColumn(
+    part = sampled_texts(source, sample).withColumn(
         "__check", F.pmod(F.xxhash64("__doc_id", F.lit(11)), F.lit(5)) == 0)
     table = part.select("__check", "__label", "__text").mapInArrow(
-        run, "check boolean, label string, at array<int>, share array<double>").limit(2 * rows).toArrow()
+        run, "check boolean, label string, at array<int>, share array<double>").toArrow()
     if not table.num_rows:
         return None
     labels = table.column("label").to_pylist()

@@ -24,5 +24,9 @@ def labelled_sample(labelled: DataFrame, rows: int) -> DataFrame:
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(__doc_id, __label, __text) of the sample's documents."""
-    return docs.select("__doc_id", "__text").join(F.broadcast(sample), "__doc_id")
+    """(__doc_id, __label, __text) of the sample's documents, one row for each of its
+    rows: the smallest text of repeated rows, found inside every task first. Documents
+    that have a label of their own meet it."""
+    keys = ["__doc_id", "__label"]
+    found = docs.join(F.broadcast(sample), [k for k in keys if k in docs.columns])
+    return found.groupBy(*keys).agg(F.min("__text").alias("__text"))

@@ -259,13 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     arrow_type = to_arrow_type(id_type)
     table = sampled_texts(source, sample.select("__doc_id", F.col("__label").cast("int").alias("__label"))).select(
         "__doc_id", "__label", "__text").mapInArrow(
-        run, f"id {id_type.simpleString()}, label int, words array<string>, counts array<long>").limit(
-        2 * rows).toArrow()
-    examples = {}
-    for doc_id, y, words, counts in zip(*[table.column(c).to_pylist() for c in table.column_names]):
-        bag = Counter(dict(zip(words, counts)))
-        if doc_id not in examples or sorted(bag.items()) < sorted(examples[doc_id][1].items()):
-            examples[doc_id] = (y, bag)
+        run, f"id {id_type.simpleString()}, label int, words array<string>, counts array<long>").toArrow()
+    examples = {doc_id: (y, Counter(dict(zip(words, counts)))) for doc_id, y, words, counts in zip(
+        *[table.column(c).to_pylist() for c in table.column_names])}
     ids = sorted(examples)
     toxic = np.array([examples[i][0] for i in ids], dtype=np.int64)
     if not len(ids) or toxic.min() == toxic.max():

@@ -331,6 +331,22 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, 0.0).count() == 0
 
 
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rows = [(i, f"w{i} w{i + 1}", "en" if i % 2 else "de", None, None) for i in range(40)]
+    docs = spark.createDataFrame(rows[:1] * 200 + rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rows=40)
+    want = [i % 2 for i in range(40)]
+    assert not isinstance(model, float)
+    assert sorted(zip(model.ids, model.toxic.tolist())) == list(enumerate(want))
+    source = docs.selectExpr("doc_id __doc_id", "text __text", "lang __label")
+    sample = language_id.labelled_sample(source.select("__doc_id", "__label").distinct(), 40)
+    got = sorted(map(tuple, language_id.sampled_texts(source, sample).select("__doc_id", "__label", "__text").collect()))
+    assert got == sorted((i, y, t) for i, t, y, *_ in rows)
+    taught = language_id.train(docs, "doc_id", "text", "lang", docs.doc_id.isNotNull(), rows=40)
+    assert taught.languages == ["de", "en"]
+
+
 def test_words_of_toxic_texts_only_are_terms():
     bags = [Counter(["common", "vile"] if i < 17 else ["common"]) for i in range(2636)]
     sure = toxicity.distinct_terms(bags, np.array([int(i < 288) for i in range(2636)]))
