@@ -69,8 +69,9 @@ def min_shingles(h: np.ndarray, tables: int) -> list[int]:
 
 
 def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int,
-                     tables: int = 0) -> DataFrame:
-    """(__doc_id, __text, __fp, __keys): digest of the text, fingerprint, smallest shingles."""
+                     tables: int = 0, sets: bool = False) -> DataFrame:
+    """(__doc_id, __text, __fp, __keys): digest of the text, fingerprint, smallest shingles.
+    With sets, a shingle counts once however often it is repeated."""
     source = docs.select(F.col(id_col).alias("__doc_id"), F.xxhash64(text_col).alias("__text"),
                          F.col(text_col).alias("__body"))
     id_type = source.schema["__doc_id"].dataType
@@ -78,6 +79,8 @@ def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, digests, texts in lists(batches, "__doc_id", "__text", "__body"):
             hashes = [shingle_hashes(t, words) for t in texts]
+            if sets:
+                hashes = [np.unique(h) for h in hashes]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, arrow_type), pa.array(digests, pa.int64()),
                  pa.array([fingerprint(h, bits) for h in hashes], pa.binary()),
@@ -389,7 +392,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     leave one; null ids come last, and a group without any id keeps one row per text.
     """
     keyed = docs.withColumn("__text", F.xxhash64(text_col))
-    prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables), "simhash")
+    prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables, sets=True), "simhash")
     blocks = prints.select("__fp", F.posexplode("__keys").alias("__table", "__key")).distinct()
     radius = radius_of(similarity, bits, RADIUS_SLACK)
     links = materialise(near_links(tiles(blocks), radius, FORESTS).groupBy(

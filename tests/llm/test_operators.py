@@ -164,6 +164,26 @@ def test_near_duplicate_stage(docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def texts_frame(spark, texts):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+
+
+def brute_kept(texts, similarity=0.8):
+    sets = [{tuple(words(t)[i:i + 5]) for i in range(max(1, len(words(t)) - 4))} if words(t) else set() for t in texts]
+    label = reach(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+    return sorted(set(label.values()))
+
+
+def test_repeated_passages_are_near_copies(spark):
+    random = np.random.default_rng(11)
+    texts = []
+    for t in range(6):
+        body = [f"p{t}x{random.integers(10 ** 9)}" for _ in range(100)]
+        texts += [" ".join(body), " ".join(body + body[:14] * 20)]
+    kept = simhash.drop_near_duplicates(texts_frame(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(texts) == [0, 2, 4, 6, 8, 10]
+
+
 def test_languages(spark, none):
     kinds = {"en": "the and tion ing", "de": "der und ung keit", "fr": "le des eux ment"}
     random = np.random.default_rng(0)
