@@ -71,7 +71,8 @@ def min_shingles(h: np.ndarray, tables: int) -> list[int]:
 def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int,
                      tables: int = 0, sets: bool = False) -> DataFrame:
     """(__doc_id, __text, __fp, __keys): digest of the text, fingerprint, smallest shingles.
-    With sets, a shingle counts once however often it is repeated."""
+    With sets, a shingle counts once however often it is repeated, and a digest of the set
+    follows the fingerprint in __fp, so that only equal sets are one node."""
     source = docs.select(F.col(id_col).alias("__doc_id"), F.xxhash64(text_col).alias("__text"),
                          F.col(text_col).alias("__body"))
     id_type = source.schema["__doc_id"].dataType
@@ -83,7 +84,8 @@ def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bi
                 hashes = [np.unique(h) for h in hashes]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, arrow_type), pa.array(digests, pa.int64()),
-                 pa.array([fingerprint(h, bits) for h in hashes], pa.binary()),
+                 pa.array([fingerprint(h, bits) + (xxhash.xxh3_128_digest(h.tobytes()) if sets else b"")
+                           for h in hashes], pa.binary()),
                  pa.array([min_shingles(h, tables) for h in hashes], pa.list_(pa.int64()))],
                 names=["__doc_id", "__text", "__fp", "__keys"])
 
@@ -271,15 +273,16 @@ def tile_links(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, forests
     return np.stack([child, label[child], np.zeros_like(child)])
 
 
-def near_links(tiled: DataFrame, radius: int, forests: int = 0) -> DataFrame:
+def near_links(tiled: DataFrame, radius: int, forests: int = 0, width: int | None = None) -> DataFrame:
     """Links (a, b, forest) of fingerprints: the rows of each tile that are near each
-    other are linked as a bounded number of forests, never as all pairs."""
+    other are linked as a bounded number of forests, never as all pairs. Only the first
+    bytes, so many as width, are the fingerprint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             every = [p for prints, _ in groups for p in prints]
             child, root, forest = tile_links(
-                [(np.frombuffer(b"".join(p), dtype=np.uint8).reshape(len(p), -1), np.array(s)) for p, s in groups],
-                radius, forests)
+                [(np.frombuffer(b"".join(p), dtype=np.uint8).reshape(len(p), -1)[:, :width], np.array(s))
+                 for p, s in groups], radius, forests)
             return pa.RecordBatch.from_arrays(
                 [pa.array([every[i] for i in child], pa.binary()), pa.array([every[i] for i in root], pa.binary()),
                  pa.array(forest, pa.int32())], names=["a", "b", "forest"])
@@ -395,7 +398,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables, sets=True), "simhash")
     blocks = prints.select("__fp", F.posexplode("__keys").alias("__table", "__key")).distinct()
     radius = radius_of(similarity, bits, RADIUS_SLACK)
-    links = materialise(near_links(tiles(blocks), radius, FORESTS).groupBy(
+    links = materialise(near_links(tiles(blocks), radius, FORESTS, bits // 8).groupBy(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")),
         "simhash-links")
     first = verified_links(links.where("forest = 0"), keyed, prints, id_col, text_col, words, similarity)

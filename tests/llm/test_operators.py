@@ -184,6 +184,16 @@ def test_repeated_passages_are_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept) == brute_kept(texts) == [0, 2, 4, 6, 8, 10]
 
 
+def test_texts_of_one_fingerprint_are_verified(spark):
+    rows = [(0, 1, bytes(32) + bytes([i] * 16)) for i in range(3)]
+    tiled = simhash.tiles(spark.createDataFrame(rows, "__table int, __key long, __fp binary"))
+    links = simhash.near_links(tiled, 5, 1, 32).collect()
+    assert {bytes(x) for r in links for x in (r["a"], r["b"])} == {r[2] for r in rows}
+    texts = [" ".join(f"t{t}w{i}" for i in range(60)) + " ." * 90 for t in range(3)] + ["a b c", "A  b c"]
+    kept = simhash.drop_near_duplicates(texts_frame(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(texts) == [0, 1, 2, 3]
+
+
 def test_languages(spark, none):
     kinds = {"en": "the and tion ing", "de": "der und ung keit", "fr": "le des eux ment"}
     random = np.random.default_rng(0)
