@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from reviewmill.llm.common import lists, materialise
 from reviewmill.llm.components import connected_components
@@ -21,9 +23,6 @@ BLOCK_ROWS = 512
 SHINGLES = 1 << 16
 #: How far beyond the expected number of differing bits links are looked for.
 RADIUS_SLACK = 0.35
-#: Forests of the shortest links that a tile gives: so many links between any two parts
-#: of a tile are verified before the parts count as different.
-FORESTS = 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -89,7 +88,6 @@ def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bi
                  pa.array([min_shingles(h, tables) for h in hashes], pa.list_(pa.int64()))],
                 names=["__doc_id", "__text", "__fp", "__keys"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
     arrow_type = to_arrow_type(id_type)
     return source.mapInArrow(
         run, f"__doc_id {id_type.simpleString()}, __text long, __fp binary, __keys array<long>")
@@ -127,7 +125,7 @@ def band_keys(nodes: DataFrame, scheme: list[list[tuple[int, int]]]) -> DataFram
     return nodes.select("__fp").mapInArrow(run, "__table int, __key long, __fp binary")
 
 
-def tiles(blocks: DataFrame) -> DataFrame:
+def tiles(blocks: DataFrame, *more: str) -> DataFrame:
     """Cut blocks above CHUNK rows into tiles: a row goes to the tile of every pair of
     its chunk with a chunk of the block, so that all pairs still meet once."""
     sizes = blocks.groupBy("__table", "__key").count().where(F.col("count") > CHUNK)
@@ -136,7 +134,7 @@ def tiles(blocks: DataFrame) -> DataFrame:
     dealt = blocks.join(sizes, ["__table", "__key"], "left").withColumn("__n", chunks).withColumn(
         "__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return dealt.select("__table", "__key", F.least("__mine", "__other").alias("__x"),
-                        F.greatest("__mine", "__other").alias("__y"), "__mine", "__fp")
+                        F.greatest("__mine", "__other").alias("__y"), "__mine", "__fp", *more)
 
 
 def _planes(prints: np.ndarray) -> np.ndarray:
@@ -365,17 +363,91 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int, similarity: fl
     return pairs.select("a", "b", "__left", "__right").mapInArrow(run, "a binary, b binary")
 
 
-def verified_links(links: DataFrame, keyed: DataFrame, prints: DataFrame, id_col: str, text_col: str, words: int,
-                   similarity: float) -> DataFrame:
-    """The links (a, b) that hold on the whole texts, as a written table. One document
-    of each linked fingerprint gives its text; keyed has the digests of the texts."""
-    ends = links.select(F.col("a").alias("__fp")).unionByName(links.select(F.col("b").alias("__fp"))).distinct()
-    models = prints.join(ends, "__fp", "left_semi").groupBy("__fp").agg(
+def model_texts(nodes: DataFrame, keyed: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__fp, __body) of the nodes (__fp), as a written table. One document of each gives
+    its text; keyed has the digests of the texts."""
+    models = prints.join(nodes.select("__fp").distinct(), "__fp", "left_semi").groupBy("__fp").agg(
         F.min(F.struct("__doc_id", "__text")).alias("__model"))
-    texts = materialise(keyed.join(models, F.col(id_col).eqNullSafe(F.col("__model.__doc_id")) & (
+    return materialise(keyed.join(models, F.col(id_col).eqNullSafe(F.col("__model.__doc_id")) & (
         F.col("__text") == F.col("__model.__text"))).select("__fp", F.col(text_col).alias("__body")).dropDuplicates(
         ["__fp"]), "simhash-texts")
-    return materialise(similar_links(links, texts, words, similarity), "simhash-verified")
+
+
+TILE = ["__table", "__key", "__x", "__y"]
+TILE_SCHEMA = "__table int, __key long, __x int, __y int, __mine int, __fp binary, __root binary"
+
+
+def _across(root: np.ndarray, side: np.ndarray, row: int) -> np.ndarray:
+    """The rows of a tile that a row is to be compared with: of other roots, and of the
+    other chunk if the tile has two."""
+    return (root != root[row]) & ((side != side[row]) if side.min() != side.max() else True)
+
+
+def by_tile(tiled: DataFrame, run, schema: str) -> DataFrame:
+    """run(rows of one tile as lists of columns) gives rows; tiles are whole in a task."""
+    names = tiled.columns
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+    out = [f.name for f in StructType.fromDDL(schema)]
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            found = run([list(c) for c in zip(*rows)])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=out)
+
+        rows: list[tuple] = []
+        for columns in lists(batches, *names):
+            for row in zip(*columns):
+                if rows and row[:4] != rows[0][:4]:
+                    if len(rows) > 1:
+                        yield done()
+                    rows = []
+                rows.append(row)
+        if len(rows) > 1:
+            yield done()
+
+    return tiled.repartition(*TILE).sortWithinPartitions(*TILE, "__fp").mapInArrow(tasks, schema)
+
+
+def open_rows(tiled: DataFrame, radius: int, width: int) -> DataFrame:
+    """The rows of each tile (TILE_SCHEMA) that are near a row of another root."""
+    def run(columns: list[list]) -> list[list]:
+        side, root = np.array(columns[4]), np.unique(columns[6], return_inverse=True)[1]
+        prints = np.frombuffer(b"".join(columns[5]), dtype=np.uint8).reshape(len(side), -1)[:, :width].copy()
+        wide, chosen = prints.view(np.uint64), np.zeros(len(side), dtype=bool)
+        for row in range(len(side)):
+            with_ = np.flatnonzero(_across(root, side, row))
+            near = with_[np.bitwise_count(wide[with_] ^ wide[row]).sum(axis=1) <= radius]
+            chosen[near] = True
+        at = np.flatnonzero(chosen).tolist()
+        return [[c[i] for i in at] for c in columns[:7]]
+
+    return by_tile(tiled, run, TILE_SCHEMA)
+
+
+def exact_links(tiled: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the rows of each tile wherever two of different roots share
+    at least so much of their shingles: every such pair is compared, exactly. tiled is
+    (TILE_SCHEMA, __body)."""
+    def run(columns: list[list]) -> list[list]:
+        side, root = np.array(columns[4]), np.unique(columns[6], return_inverse=True)[1]
+        sets = [np.unique(shingle_hashes(t, words)) for t in columns[7]]
+        size = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner, ends = np.repeat(np.arange(len(sets)), size), np.cumsum(size)
+        a, b, marked = [], [], np.zeros(len(number) + 1, dtype=bool)
+        for row in range(len(sets)):
+            own = number[ends[row] - size[row]:ends[row]]
+            marked[own] = True
+            shared = np.bincount(owner[marked[number]], minlength=len(sets))
+            marked[own] = False
+            hit = np.flatnonzero((shared >= similarity * (size + size[row] - shared)) & _across(root, side, row))
+            a.append(np.full(len(hit), row))
+            b.append(hit)
+        label = _labels(len(sets), np.concatenate(a), np.concatenate(b))
+        child = np.flatnonzero(label != np.arange(len(sets)))
+        return [[columns[5][i] for i in child], [columns[5][i] for i in label[child]]]
+
+    return by_tile(tiled, run, "a binary, b binary")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -388,8 +460,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest hash of their shingles in one of several orders (all but 0.2 ** 6 of the
     pairs of that similarity meet), and fingerprints are wide. Each block is compared
     bit-sliced within a radius with room for the spread of the estimate; the shortest
-    links that hold its components together are then verified on the whole texts. Where
-    they fail, the links of further forests across the gap are verified too.
+    links that hold its components together are then verified on the whole texts. Of the
+    parts that are still apart, all pairs within the radius are compared on whole texts.
 
     Null and blank texts are copies of each other. Repeated rows of one id and text
     leave one; null ids come last, and a group without any id keeps one row per text.
@@ -398,17 +470,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables, sets=True), "simhash")
     blocks = prints.select("__fp", F.posexplode("__keys").alias("__table", "__key")).distinct()
     radius = radius_of(similarity, bits, RADIUS_SLACK)
-    links = materialise(near_links(tiles(blocks), radius, FORESTS, bits // 8).groupBy(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")),
-        "simhash-links")
-    first = verified_links(links.where("forest = 0"), keyed, prints, id_col, text_col, words, similarity)
-    joined = connected_components(first)
-    side = [joined.select(F.col("node").alias(c), F.col("root").alias(f"__{c}")) for c in "ab"]
-    open_ = links.where("forest > 0").join(side[0], "a", "left").join(side[1], "b", "left").where(
-        F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
-    second = verified_links(materialise(open_, "simhash-open"), keyed, prints, id_col, text_col, words, similarity)
+    links = materialise(near_links(tiles(blocks), radius, 1, bits // 8).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    texts = model_texts(links.select(F.explode(F.array("a", "b")).alias("__fp")), keyed, prints, id_col, text_col)
+    joined = connected_components(materialise(similar_links(links, texts, words, similarity), "simhash-verified"))
+    rooted = materialise(blocks.join(joined.withColumnRenamed("node", "__fp"), "__fp", "left").select(
+        "__table", "__key", "__fp", F.coalesce("root", "__fp").alias("__root")), "simhash-rooted")
+    mixed = rooted.groupBy("__table", "__key").agg(F.min("__root").alias("l"), F.max("__root").alias("m")).where("l < m")
+    tiled = tiles(rooted.join(mixed, ["__table", "__key"], "left_semi"), "__root").select(
+        "__table", "__key", F.col("__x").cast("int").alias("__x"), F.col("__y").cast("int").alias("__y"), "__mine",
+        "__fp", "__root")
+    open_ = materialise(open_rows(tiled, radius, bits // 8), "simhash-open")
+    rest = exact_links(open_.join(model_texts(open_, keyed, prints, id_col, text_col), "__fp").select(
+        *open_.columns, "__body"), words, similarity)
     stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = components(prints, stars.unionByName(second))
+    found = components(prints, stars.unionByName(materialise(rest, "simhash-exact")))
     kept = prints.join(found, "__fp").where(F.col("__doc_id").eqNullSafe(F.col("__component"))).select(
         F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
     rows = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (

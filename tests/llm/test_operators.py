@@ -194,6 +194,22 @@ def test_texts_of_one_fingerprint_are_verified(spark):
     assert sorted(r["doc_id"] for r in kept) == brute_kept(texts) == [0, 1, 2, 3]
 
 
+def test_every_open_pair_is_compared(spark):
+    random = np.random.default_rng(12)
+    texts = []
+    for n in range(12):
+        body = [f"v{random.integers(10 ** 9)}" for _ in range(100)]
+        texts.append(" ".join([f"s{i}" for i in range(300)] + body))
+    texts += [t + " " + " ".join(f"e{n}x{i}" for i in range(40)) for n, t in enumerate(texts)]
+    sides = [(0, 1, 0, 0, 0, bytes([i]) * 48, bytes([i]) * 48, t) for i, t in enumerate(texts)]
+    tiled = spark.createDataFrame(sides, simhash.TILE_SCHEMA + ", __body string")
+    got = [(r["a"][0], r["b"][0]) for r in simhash.exact_links(tiled, 5, 0.8).collect()]
+    label = reach(range(len(texts)), lambda a, b: (a, b) in got or (b, a) in got)
+    assert sorted(set(label.values())) == brute_kept(texts) == list(range(12))
+    assert simhash.open_rows(tiled.drop("__body"), 256, 32).count() == 24
+    assert simhash.open_rows(tiled.drop("__body").where("hex(__fp) < '01'"), 256, 32).count() == 0
+
+
 def test_languages(spark, none):
     kinds = {"en": "the and tion ing", "de": "der und ung keit", "fr": "le des eux ment"}
     random = np.random.default_rng(0)
