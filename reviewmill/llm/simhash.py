@@ -21,8 +21,10 @@ ENTRIES, STRIDE = 1 << 16, 12
 #: Rows that a block of the pigeonhole tables should have on average, at most.
 BLOCK_ROWS = 512
 SHINGLES = 1 << 16
-#: How far beyond the expected number of differing bits links are looked for.
-RADIUS_SLACK = 0.35
+#: How far beyond the expected number of differing bits links are looked for: 6 standard
+#: deviations above the mean for the shortest texts (at 0.8, 4 of 5 shingles: 48 + 6 * 6.2
+#: of 256 bits), more for all others.
+RADIUS_SLACK = 1.23
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:

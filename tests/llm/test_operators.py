@@ -210,6 +210,17 @@ def test_every_open_pair_is_compared(spark):
     assert simhash.open_rows(tiled.drop("__body").where("hex(__fp) < '01'"), 256, 32).count() == 0
 
 
+@pytest.mark.parametrize("a,b,shared", [(4, 5, 4), (12, 15, 12), (36, 45, 36), (360, 360, 320)])
+def test_radius_covers_the_spread_of_the_estimate(a, b, shared):
+    random = np.random.default_rng(13)
+    apart = []
+    for _ in range(300):
+        h = np.frombuffer(random.bytes(8 * (a + b - shared)), dtype=np.uint64)
+        x, y = (np.frombuffer(simhash.fingerprint(part, 256), dtype=np.uint8) for part in (h[:a], h[a - shared:]))
+        apart.append(int(np.bitwise_count(x ^ y).sum()))
+    assert np.mean(apart) + 6 * np.std(apart) <= simhash.radius_of(0.8, 256, simhash.RADIUS_SLACK) + 2
+
+
 def test_languages(spark, none):
     kinds = {"en": "the and tion ing", "de": "der und ung keit", "fr": "le des eux ment"}
     random = np.random.default_rng(0)
