@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import (decontamination, exact_dedup, language_id, line_dedup, mixing, sharding, simhash,
+from reviewmill.llm import (decontamination, exact_dedup, hard_negatives, language_id, line_dedup, mixing, sharding, simhash,
                             token_counts, toxicity, url_filter, whitening)
 from reviewmill.llm.common import read_table
 
@@ -63,10 +63,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_language_id, op4_line_dedup, op5_exact_dedup, op6_token_counts,
-    op7_decontamination, op8_url_filter, op9_toxicity, op10_sharding, op13_whitening)}
+    op7_decontamination, op8_url_filter, op9_toxicity, op10_sharding, op12_hard_negatives, op13_whitening)}
