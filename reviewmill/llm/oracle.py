@@ -110,10 +110,10 @@ FROM marked GROUP BY doc_id
 OP12 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+         [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+    AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
 pairs AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
