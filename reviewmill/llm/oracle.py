@@ -107,6 +107,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """ % LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS (
+  SELECT r, s, md5_number(array_slice(b, s, s + 399)) AS h
+  FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - 399)) AS s FROM d)),
+repeated AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+marks AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM strings JOIN repeated USING (h)),
+runs AS (SELECT r, s, count(*) FILTER (before IS NULL OR s > before + 400) OVER (PARTITION BY r ORDER BY s) AS run FROM marks),
+spans AS (SELECT r, run, min(s) AS a, max(s) + 399 AS z FROM runs GROUP BY r, run),
+edges AS (
+  SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS from_, a - 1 AS to_, z - a + 1 AS n FROM spans
+  UNION ALL
+  SELECT r, octet_length(b) + 1, coalesce(max(z), 0) + 1, octet_length(b), 0 FROM d LEFT JOIN spans USING (r) GROUP BY r, b)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(sum(n) AS BIGINT) AS n_removed, count(*) FILTER (n > 0) AS n_spans,
+       sha256(unhex(string_agg(CASE WHEN to_ < from_ THEN '' ELSE hex(array_slice(b, from_, to_)) END, '' ORDER BY a))) AS kept_sha256
+FROM d JOIN edges USING (r) GROUP BY r, doc_id, b
+"""
+
 OP12 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -129,4 +147,5 @@ QUALIFY rank <= 3
 """
 
 ORACLE = {"op1_mixing": OP1, "op4_line_dedup": OP4, "op5_exact_dedup": OP5, "op7_decontamination": OP7,
-          "op8_url_filter": OP8, "op12_hard_negatives": OP12}
+          "op8_url_filter": OP8, "op11_substring_dedup": OP11,
+          "op12_hard_negatives": OP12}

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewmill.llm import (decontamination, exact_dedup, hard_negatives, language_id, line_dedup, mixing, sharding, simhash,
-                            token_counts, toxicity, url_filter, whitening)
+                            substring_dedup, token_counts, toxicity, url_filter, whitening)
 from reviewmill.llm.common import read_table
 
 
@@ -63,6 +63,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeated_substrings(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
 
@@ -73,4 +78,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_language_id, op4_line_dedup, op5_exact_dedup, op6_token_counts,
-    op7_decontamination, op8_url_filter, op9_toxicity, op10_sharding, op12_hard_negatives, op13_whitening)}
+    op7_decontamination, op8_url_filter, op9_toxicity, op10_sharding, op11_substring_dedup,
+    op12_hard_negatives, op13_whitening)}
