@@ -4,18 +4,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reviewmill.llm.common import lists
+from reviewmill.llm.common import lists, materialise
 from reviewmill.llm.samples import id_remainder, labelled_sample, sampled_texts
 
-#: Labelled rows that serve as examples, at most (half of each class), and terms kept.
-SAMPLE_ROWS, MAX_TERMS = 6000, 20_000
+#: Labelled rows that serve as examples, at most (half of each class).
+SAMPLE_ROWS = 6000
 #: Examples per block of the index; neighbours that vote; power of the similarity; vote
 #: of no neighbour at all; score from which a text counts as toxic.
 BLOCK, NEIGHBOURS, POWER, IDLE, THRESHOLD = 64, 15, 2, 0.02, 0.7
@@ -24,54 +24,77 @@ TELLING, LEAST_TEXTS = 3.84, 4
 #: Terms are words, and beginnings of so many letters of longer words, marked with *.
 BEGINNINGS = range(3, 7)
 WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of a text with ASCII characters other than letters as spaces; the rest as it is.
+ROUGH = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+#: Rough words that a task remembers, at most; beyond it starts anew.
+REMEMBERED = 500_000
 
 
-def word_counts(text: str | None, heads: frozenset[str] | None = None) -> Counter:
-    """The words of a text, or only those whose first letters are among the heads."""
-    found = WORD.findall((text or "").lower())
-    return Counter(found if heads is None else [w for w in found if w[:BEGINNINGS.start] in heads])
+def rough_words(text: bytes | None) -> Counter:
+    """Stretches without ASCII characters other than letters, with their counts."""
+    return Counter((text or b"").translate(ROUGH).split())
 
 
-def beginnings(words: Counter) -> Counter:
-    """The words and their marked beginnings."""
-    out = Counter(words)
-    for word, n in words.items():
-        for k in BEGINNINGS[:max(0, len(word) - BEGINNINGS.start)]:
-            out[word[:k] + "*"] += n
+def terms_of(rough: bytes) -> list[str]:
+    """Lower-cased words of a stretch, and their marked beginnings."""
+    words = [rough.decode().lower()] if rough.isascii() else WORD.findall(rough.decode("utf-8", "replace").lower())
+    return words + [w[:k] + "*" for w in words for k in BEGINNINGS[:max(0, len(w) - BEGINNINGS.start)]]
+
+
+def term_counts(text: bytes | None) -> Counter:
+    out: Counter = Counter()
+    for rough, n in rough_words(text).items():
+        for term in terms_of(rough):
+            out[term] += n
     return out
 
 
 class Terms:
-    """Numbers of known terms, looked up without building marked strings."""
-
-    def __init__(self, terms: list[str]):
-        self.words = {t: n for n, t in enumerate(terms) if not t.endswith("*")}
-        self.starts = {t[:-1]: n for n, t in enumerate(terms) if t.endswith("*")}
-        self.heads = frozenset(t.rstrip("*")[:BEGINNINGS.start] for t in terms)
-        self.count = len(terms)
-
-    def of(self, words: Counter) -> dict[int, int]:
-        out: dict[int, int] = {}
-        word_of, start_of, first = self.words.get, self.starts.get, BEGINNINGS.start
-        for word, n in words.items():
-            if (t := word_of(word)) is not None:
-                out[t] = out.get(t, 0) + n
-            for k in BEGINNINGS[:max(0, len(word) - first)]:
-                if (t := start_of(word[:k])) is not None:
-                    out[t] = out.get(t, 0) + n
-        return out
+    """Numbers of known terms. A stretch of letters is cut into terms once per task."""
+
+    def __init__(self, names: list[str]):
+        self.number = {t: n for n, t in enumerate(names)}
+        self.count = len(names)
+        self.useful: dict[bytes, list[int]] = {}
+        self.seen: set[bytes] = set()
+
+    def __reduce__(self):
+        return Terms, (list(self.number),)
+
+    def rows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, occurrences) of all terms in the texts, sorted by text and term."""
+        if len(self.seen) > REMEMBERED:
+            self.useful, self.seen = {}, set()
+        useful, number = self.useful, self.number
+        at: list[int] = []
+        counts: list[int] = []
+        ends = []
+        for text in texts:
+            words = rough_words(text)
+            for rough in words.keys() - self.seen:
+                self.seen.add(rough)
+                if found := [number[t] for t in terms_of(rough) if t in number]:
+                    useful[rough] = found
+            for rough in words.keys() & useful.keys():
+                found = useful[rough]
+                at += found
+                counts += [words[rough]] * len(found)
+            ends.append(len(at))
+        row = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
+        keys, place = np.unique(row * self.count + np.array(at, dtype=np.int64), return_inverse=True)
+        return keys // max(1, self.count), keys % max(1, self.count), np.bincount(place, counts, len(keys))
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     """Examples behind a block-max inverted index, all sizes bounded by the sample.
 
-    Postings are sorted by term, then example; each term has the place of its postings
-    and its largest weight per block.
+    Postings are sorted by term, then example; each term has the places of its postings by
+    block, and its largest weight per block.
     """
 
     terms: Terms
-    weight: np.ndarray       # per term: idf times distinctiveness
+    idf: np.ndarray          # per term
     ids: list
     toxic: np.ndarray        # per example
     mass: np.ndarray         # per example: labelled rows that it stands for
@@ -82,123 +105,132 @@ class ToxicityModel:
     slope: float = 0.0
     offset: float = 0.0
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text and their weights, of length one."""
-        found = self.terms.of(counts)
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = np.array(sorted(found))
-        w = (1 + np.log([found[t] for t in at.tolist()])) * self.weight[at]
-        return at, w / math.sqrt(float(w @ w))
-
-    def _scores(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of the examples in the marked blocks, 0 elsewhere."""
-        starts, marked = self.block_start[at], np.flatnonzero(blocks)
-        first = starts[:, marked]
-        size = (starts[:, marked + 1] - first).ravel()
-        ends = np.cumsum(size)
-        places = np.repeat(first.ravel() - ends + size, size) + np.arange(ends[-1])
-        by_term = np.repeat(w, size.reshape(len(at), -1).sum(axis=1))
-        return np.bincount(self.example[places], self.value[places] * by_term, len(self.ids))
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1,
+                bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine (above 0) with a unit vector, ties by place,
+        and the cosines.
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine (above 0), ties by place, and the cosines.
-
-        A block's bound is the sum of its terms' largest weights. The blocks of the
-        highest bounds are scored first; others only if their bound reaches the kth
-        cosine found, so that none is missed.
+        A block's bound is the sum of its terms' largest weights. The blocks of the highest
+        bounds are scored first; others only if their bound reaches the kth cosine found, so
+        that none is missed.
         """
         if not len(at):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = w @ self.block_max[at]
-        first = np.zeros(len(bound), dtype=bool)
-        first[np.argsort(-bound, kind="stable")[:max(2, 2 * k // BLOCK)]] = True
-        scores = self._scores(at, w, first)
+        if bound is None:
+            bound = w @ self.block_max[at]
+        order = np.argsort(-bound, kind="stable")
+        first, rest = np.split(order, [max(2, 2 * k // BLOCK)])
+        scores = np.zeros(len(self.block_max[0]) * BLOCK)
+        self._add(scores, at, w, first)
+        if but >= 0:
+            scores[but] = 0
+        seen = scores.reshape(-1, BLOCK)[first].ravel()
+        kth = max(0.0, np.partition(seen, len(seen) - k)[-k]) if len(seen) >= k else 0.0
+        # cosines that differ by rounding only are ties
+        self._add(scores, at, w, rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-9)])
         if but >= 0:
             scores[but] = 0
-        if len(scores) > k:
-            kth = np.partition(scores, len(scores) - k)[-k]
-            rest = ~first & (bound > 0) & ((bound >= kth - 1e-9) | (kth <= 0))
-            if rest.any():
-                scores += self._scores(at, w, rest)
-                if but >= 0:
-                    scores[but] = 0
-        hit = np.flatnonzero(scores > 0)
-        top = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        hit = np.flatnonzero(scores >= max(kth - 1e-11, 1e-12))
+        top = hit[np.lexsort((hit, -np.round(scores[hit], 12)))[:k]]
         return top, scores[top]
 
+    def _add(self, scores: np.ndarray, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
+        """Add the cosines of the examples in the blocks."""
+        first = self.block_start[at[:, None], blocks].ravel()
+        size = self.block_start[at[:, None], blocks + 1].ravel() - first
+        some = np.flatnonzero(size)
+        if not len(some):
+            return
+        first, size = first[some], size[some]
+        ends = np.cumsum(size)
+        places = np.repeat(first - ends + size, size) + np.arange(ends[-1])
+        by_term = np.repeat(w[some // len(blocks)], size)
+        scores += np.bincount(self.example[places], self.value[places] * by_term, len(scores))
+
+    def vectors(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Terms, weights (of length one) and bounds of the blocks of every text."""
+        row, at, tf = self.terms.rows(texts)
+        w = (1 + np.log(tf)) * self.idf[at]
+        squares = np.bincount(row, w * w, len(texts))
+        w /= np.sqrt(squares)[row]
+        ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield at[a:b], w[a:b], w[a:b] @ self.block_max[at[a:b]]
+
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine ** POWER * self.mass[near]
         return float((w * self.toxic[near]).sum() / (w.sum() + IDLE))
 
-    def score(self, text: str | None) -> tuple[float, list]:
-        """Calibrated probability, and the ids of the nearest examples."""
-        near, cosine = self.nearest(*self.vector(word_counts(text, self.terms.heads)), NEIGHBOURS)
-        return _sigmoid(self.slope * self.vote(near, cosine) + self.offset), [self.ids[i] for i in near[:3]]
+    def scores(self, texts: list[bytes | None]) -> Iterator[tuple[float, list]]:
+        """Calibrated probabilities, and the ids of the nearest examples."""
+        for at, w, bound in self.vectors(texts):
+            near, cosine = self.nearest(at, w, NEIGHBOURS, bound=bound)
+            yield _sigmoid(self.slope * self.vote(near, cosine) + self.offset), [self.ids[i] for i in near[:3]]
 
 
 def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def g_statistic(a: int, b: int, n1: int, n0: int) -> float:
+def g_statistic(a: Column, b: Column, n1: int, n0: int) -> Column:
     """G-test of a term in a of n1 and b of n0 examples. An empty cell adds nothing, so
     that a term of one class only is not held against."""
-    n = n1 + n0
-    cells = ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b))
-    return sum(2 * seen * math.log(seen * n / (row * column)) for seen, row, column in cells if seen)
-
-
-def distinct_terms(bags: list[Counter], toxic: np.ndarray) -> dict[str, float]:
-    """Terms that tell the classes apart, with their absolute log odds ratio; those of
-    the largest G if there are more than MAX_TERMS."""
-    held = [Counter(), Counter()]
-    for counts, y in zip(bags, toxic):
-        held[int(y)].update(beginnings(counts).keys())
-    n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
-    found = []
-    for term in sorted(held[0].keys() | held[1].keys()):
-        a, b = held[1][term], held[0][term]
-        if a + b >= LEAST_TEXTS and (g := g_statistic(a, b, n[1], n[0])) >= TELLING:
-            ratio = math.log((a + .5) / (n[1] - a + .5)) - math.log((b + .5) / (n[0] - b + .5))
-            found.append((g, term, abs(ratio)))
-    return {term: ratio for _, term, ratio in sorted(found, key=lambda x: -x[0])[:MAX_TERMS]}
-
-
-def build_index(ids: list, bags: list[Counter], toxic: np.ndarray, mass: np.ndarray, terms: Terms,
-                weight: np.ndarray) -> ToxicityModel:
+    n, total = n1 + n0, F.lit(0.0)
+    for seen, row, column in ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b)):
+        ratio = seen.cast("double") * F.lit(float(n)) / (F.lit(float(row)) * column)
+        total = total + F.when(seen > 0, 2.0 * seen * F.ln(ratio)).otherwise(0.0)
+    return total
+
+
+def telling_terms(examples: DataFrame, n1: int, n0: int) -> list[str]:
+    """Terms of (label, terms) that tell the classes apart, in order. Bounded by the
+    sample: a term stands in LEAST_TEXTS of its texts or more."""
+    held = examples.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    found = held.where(F.col("a") + F.col("b") >= LEAST_TEXTS).where(
+        g_statistic(F.col("a"), F.col("b"), n1, n0) >= TELLING)
+    return sorted(found.select("term").toArrow().column("term").to_pylist())
+
+
+def build_index(ids: list, rows: tuple[np.ndarray, np.ndarray, np.ndarray], toxic: np.ndarray, mass: np.ndarray,
+                terms: Terms, idf: np.ndarray) -> ToxicityModel:
     """Order the examples by their heaviest term, so that a block holds like ones, and
-    write the postings."""
-    blank = ToxicityModel(terms, weight, ids, toxic, mass, *[np.zeros(0)] * 4)
-    vectors = [blank.vector(c) for c in bags]
-    heavy = [int(at[w.argmax()]) if len(at) else -1 for at, w in vectors]
+    write the postings. `rows` are (example, term, occurrences), sorted."""
+    row, term, tf = rows
+    value = (1 + np.log(tf)) * idf[term]
+    value = value / np.sqrt(np.bincount(row, value * value, len(ids)))[row]
+    heavy = np.full(len(ids), -1)
+    heaviest = np.lexsort((-term, value, row))  # last of each example
+    heavy[row[heaviest]] = term[heaviest]
     order = sorted(range(len(ids)), key=lambda i: (heavy[i], toxic[i], ids[i]))
-    rows = [(t, n, v) for n, i in enumerate(order) for t, v in zip(*vectors[i])]
-    rows.sort(key=lambda r: r[:2])
-    term = np.array([r[0] for r in rows], dtype=np.int64)
-    example = np.array([r[1] for r in rows], dtype=np.int64)
-    value = np.array([r[2] for r in rows])
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
     blocks = len(ids) // BLOCK + 1
+    by_term = np.lexsort((place[row], term))
+    example, term, value = place[row][by_term], term[by_term], value[by_term]
     key = term * blocks + example // BLOCK
     start = np.searchsorted(key, np.arange(terms.count * blocks + 1))
     block_max = np.zeros(terms.count * blocks)
     np.maximum.at(block_max, key, value)
     return ToxicityModel(
-        terms, weight, [ids[i] for i in order], toxic[order], mass[order], example, value,
+        terms, idf, [ids[i] for i in order], toxic[order], mass[order], example, value,
         start[np.arange(terms.count)[:, None] * blocks + np.arange(blocks + 1)], block_max.reshape(-1, blocks))
 
 
-def calibrate(model: ToxicityModel, bags: list[Counter], order_ids: list) -> tuple[float, float]:
+def calibrate(model: ToxicityModel, ids: list, rows: tuple[np.ndarray, np.ndarray, np.ndarray]
+              ) -> tuple[float, float]:
     """Slope and offset of a logistic curve over the votes that each example gets from
     the others, weighted as the classes are in the labelled rows."""
     place = {x: n for n, x in enumerate(model.ids)}
-    votes, truth, mass = [], [], []
-    for doc_id, counts in zip(order_ids, bags):
-        n = place[doc_id]
-        votes.append(model.vote(*model.nearest(*model.vector(counts), NEIGHBOURS, but=n)))
-        truth.append(model.toxic[n])
-        mass.append(model.mass[n])
-    x, y, m = np.array([votes, np.ones(len(votes))]).T, np.array(truth, dtype=float), np.array(mass)
+    row, term, tf = rows
+    weight = (1 + np.log(tf)) * model.idf[term]
+    weight = weight / np.sqrt(np.bincount(row, weight * weight, len(ids)))[row]
+    ends = np.cumsum(np.bincount(row, minlength=len(ids))).tolist()
+    votes, at = [], np.array([place[i] for i in ids])
+    for n, a, b in zip(at.tolist(), [0, *ends[:-1]], ends):
+        votes.append(model.vote(*model.nearest(term[a:b], weight[a:b], NEIGHBOURS, but=n)))
+    y, m = model.toxic[at].astype(float), model.mass[at]
+    x = np.array([votes, np.ones(len(votes))]).T
     # targets a little inside 0 and 1, and a small penalty, keep separable votes finite
     y = np.where(y == 1, ((m * y).sum() + 1) / ((m * y).sum() + 2), 1 / ((m * (1 - y)).sum() + 2))
     beta = np.zeros(2)
@@ -216,26 +248,31 @@ def _document_frequency(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value, np.zeros(shared.value.count + 1, dtype=np.int64)
-        for (texts,) in lists(batches, "__text"):
+        for (texts,) in lists(batches, "__data"):
             counts[-1] += len(texts)
-            for text in texts:
-                counts[list(known.of(word_counts(text, known.heads)))] += 1
+            counts[:-1] += np.bincount(known.rows(texts)[1], minlength=known.count)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["term", "n"])
 
-    sums = docs.select("__text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = docs.select(_data()).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(terms.count + 1)
-    for row in sums.collect():  # at most MAX_TERMS rows
-        out[row["term"]] = row["n"]
+    found = sums.toArrow()  # a row per term
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
+def _data() -> Column:
+    return F.col("__text").cast("binary").alias("__data")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", training=None, rows: int = SAMPLE_ROWS) -> ToxicityModel | float:
     """A model from labelled documents, or a constant score where a class is missing.
 
     A document with several labels is toxic if one says so. Examples are a bounded
-    sample; document frequencies are those of all documents.
+    sample; document frequencies are those of all documents. Labels choose terms, vote and
+    calibrate; the cosine is that of plain TF-IDF weights over the chosen terms. Empty
+    tables and tables without a label give 0.
     """
     source = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__text"))
     marked = labels.select(F.col(id_col).alias("__doc_id"), F.col(label_col).alias("__label")).where(
@@ -245,37 +282,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.groupBy("__doc_id").agg(F.max("__label").alias("__label"))
     class_rows = {r[0]: r[1] for r in marked.groupBy("__label").count().collect()}
     sample = labelled_sample(marked, rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, ys, texts in lists(batches, "__doc_id", "__label", "__text"):
-            bags = [word_counts(t) for t in texts]
+    examples = materialise(sampled_texts(source, sample.select(
+        "__doc_id", F.col("__label").cast("int").alias("__label"))).select("__doc_id", "__label", _data()),
+        "toxicity-examples")
+    found = {r[0]: r[1] for r in examples.groupBy("__label").count().collect()}
+    if len(found) < 2:
+        return float(next(iter(found), 0))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ys, texts in lists(batches, "__label", "__data"):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, arrow_type), pa.array(ys, pa.int32()),
-                 pa.array([list(b) for b in bags], pa.list_(pa.string())),
-                 pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))],
-                names=["id", "label", "words", "counts"])
+                [pa.array(ys, pa.int32()), pa.array([list(term_counts(t)) for t in texts], pa.list_(pa.string()))],
+                names=["label", "terms"])
 
+    terms = Terms(telling_terms(examples.mapInArrow(cut, "label int, terms array<string>"), found[1], found[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
     id_type = source.schema["__doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
-    table = sampled_texts(source, sample.select("__doc_id", F.col("__label").cast("int").alias("__label"))).select(
-        "__doc_id", "__label", "__text").mapInArrow(
-        run, f"id {id_type.simpleString()}, label int, words array<string>, counts array<long>").toArrow()
-    examples = {doc_id: (y, Counter(dict(zip(words, counts)))) for doc_id, y, words, counts in zip(
-        *[table.column(c).to_pylist() for c in table.column_names])}
-    ids = sorted(examples)
-    toxic = np.array([examples[i][0] for i in ids], dtype=np.int64)
-    if not len(ids) or toxic.min() == toxic.max():
-        return float(toxic[0]) if len(ids) else 0.0
-    bags = [examples[i][1] for i in ids]
-    mass = np.array([class_rows[y] / (toxic == y).sum() for y in toxic.tolist()])
-    sure = distinct_terms(bags, toxic)
-    names = sorted(sure)
-    terms = Terms(names)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, ys, texts in lists(batches, "__doc_id", "__label", "__data"):
+            row, at, tf = shared.value.rows(texts)
+            ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, arrow_type), pa.array(ys, pa.int32()),
+                 pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], names=["id", "label", "at", "tf"])
+
+    # the sample's rows, with their counts of the chosen terms only
+    table = examples.mapInArrow(number, f"id {id_type.simpleString()}, label int, at array<int>, tf array<int>"
+                                ).orderBy("id").toArrow().combine_chunks()
+    ids = table.column("id").to_pylist()
+    toxic = table.column("label").to_numpy().astype(np.int64)
+    at, tf = (pa.concat_arrays(table.column(c).chunks) for c in ("at", "tf"))
+    index = (np.repeat(np.arange(len(ids)), at.value_lengths().to_numpy()),
+             at.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(float))
+    mass = np.array([class_rows[y] / found[y] for y in toxic.tolist()])
     held, n = _document_frequency(source, terms)
-    weight = (np.log((1 + n) / (1 + held)) + 1) * np.array([sure[t] for t in names])
-    model = build_index(ids, bags, toxic, mass / mass.max(), terms, weight)
-    slope, offset = calibrate(model, bags, ids)
-    return ToxicityModel(**{**model.__dict__, "slope": slope, "offset": offset})
+    model = build_index(ids, index, toxic, mass / mass.max(), terms, np.log((1 + n) / (1 + held)) + 1)
+    slope, offset = calibrate(model, ids, index)
+    return replace(model, slope=slope, offset=offset)
+
+
+def _scores(model: ToxicityModel | float, texts: list[bytes | None]) -> Iterator[tuple[float, list]]:
+    return ((model, []) for _ in texts) if isinstance(model, float) else model.scores(texts)
 
 
 def score(docs: DataFrame, model: ToxicityModel | float, id_col: str = "doc_id",
@@ -283,7 +333,9 @@ def score(docs: DataFrame, model: ToxicityModel | float, id_col: str = "doc_id",
     """Rows (doc_id, score, predicted, evidence), one per document, without a shuffle.
 
     Null and empty texts and those without a telling term have no neighbour and get the
-    score of a text without evidence. Repeated rows and null ids stay.
+    score of a text without evidence. Repeated rows and null ids stay. Texts of any length
+    are read whole; examples of equal cosine vote in the order of the index, so reruns
+    agree. An empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__text"))
     id_type = source.schema["__doc_id"].dataType
@@ -291,32 +343,31 @@ def score(docs: DataFrame, model: ToxicityModel | float, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in lists(batches, "__doc_id", "__text"):
-            found = [_score(shared.value, t) for t in texts]
+        for ids, texts in lists(batches, "__doc_id", "__data"):
+            found = list(_scores(shared.value, texts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, arrow_type), pa.array([s for s, _ in found], pa.float64()),
                  pa.array([int(s >= threshold) for s, _ in found], pa.int32()),
                  pa.array([e for _, e in found], pa.list_(arrow_type))],
                 names=["__doc_id", "score", "predicted", "evidence"])
 
-    return source.mapInArrow(
+    return source.select("__doc_id", _data()).mapInArrow(
         run, f"__doc_id {id_type.simpleString()}, score double, predicted int, "
              f"evidence array<{id_type.simpleString()}>").withColumnRenamed("__doc_id", id_col)
 
 
-def _score(model: ToxicityModel | float, text: str | None) -> tuple[float, list]:
-    return (model, []) if isinstance(model, float) else model.score(text)
-
-
 def drop_toxic(docs: DataFrame, model: ToxicityModel | float, text_col: str = "text",
                threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, whose text scores below the threshold."""
+    """The rows, with all their columns, whose text scores below the threshold. Null and
+    empty texts score as texts without evidence; repeated rows and rows without an id are
+    judged like any other, and an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_score(shared.value, t)[0] < threshold for (texts,) in lists(iter([batch]), text_col)
-                    for t in texts]
+            data = batch.column(text_col).cast(pa.binary())
+            keep = [s < threshold for start in range(0, batch.num_rows, 256)
+                    for s, _ in _scores(shared.value, data.slice(start, 256).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -404,30 +404,117 @@ def test_repeated_rows_do_not_fill_the_sample(spark):
     assert taught.languages == ["de", "en"]
 
 
-def test_words_of_toxic_texts_only_are_terms():
-    bags = [Counter(["common", "vile"] if i < 17 else ["common"]) for i in range(2636)]
-    sure = toxicity.distinct_terms(bags, np.array([int(i < 288) for i in range(2636)]))
-    assert "vile" in sure and "common" not in sure
-    for a, b in ((17, 0), (7, 1), (4, 0)):
-        assert toxicity.g_statistic(a, b, 288, 2348) >= toxicity.TELLING
+def test_words_of_toxic_texts_only_are_terms(spark):
+    rows = [(int(i < 288), ["common", "vile"] if i < 17 else ["common"]) for i in range(2636)]
+    found = toxicity.telling_terms(spark.createDataFrame(rows, "label int, terms array<string>"), 288, 2348)
+    assert found == ["vile"]
+    cells = spark.createDataFrame([(17, 0), (7, 1), (4, 0)], "a long, b long")
+    for a, b, g in cells.withColumn("g", toxicity.g_statistic(cells.a, cells.b, 288, 2348)).collect():
+        table = [(a, 288, a + b), (b, 2348, a + b), (288 - a, 288, 2636 - a - b), (2348 - b, 2348, 2636 - a - b)]
+        assert g == pytest.approx(sum(2 * n * np.log(n * 2636 / (r * c)) for n, r, c in table if n))
+        assert g >= toxicity.TELLING
+
+
+def index_of(texts, names, idf, toxic):
+    terms = toxicity.Terms(names)
+    return toxicity.build_index(list(range(len(texts))), terms.rows(texts), toxic, np.ones(len(texts)), terms, idf)
 
 
 def test_block_max_search_is_exact():
     random = np.random.default_rng(8)
-    n, names = 500, [f"t{i}" for i in range(60)]
-    bags = [Counter(random.choice(names, random.integers(1, 12)).tolist()) for _ in range(n)]
-    weight = random.uniform(0.5, 3, 60)
-    model = toxicity.build_index(list(range(n)), bags, random.integers(0, 2, n), np.ones(n), toxicity.Terms(names), weight)
-    dense = np.zeros((n, 60))
-    for row, i in enumerate(model.ids):
-        at, w = model.vector(bags[i])
-        dense[row, at] = w
-    for _ in range(50):
-        at, w = model.vector(Counter(random.choice(names, 6).tolist()))
-        near, cosine = model.nearest(at, w, 15)
-        every = dense[:, at] @ w
-        assert np.allclose(cosine, np.sort(every)[::-1][:len(cosine)])
+    n, names = 500, [a + b for a in "abcdef" for b in "qrstuvwxyz"]
+    text = lambda k: " ".join(random.choice(names, k)).encode()
+    texts = [text(random.integers(1, 12)) for _ in range(n)] + [b"", None, b"none of them"]
+    idf = random.uniform(0.5, 3, 60)
+    model = index_of(texts, names, idf, random.integers(0, 2, len(texts)))
+
+    def unit(t):
+        held = Counter((t or b"").decode().split())
+        v = np.array([(1 + np.log(held[x])) * w if held[x] else 0 for x, w in zip(names, idf)])
+        return v / (np.linalg.norm(v) or 1)
+
+    dense = np.array([unit(texts[i]) for i in model.ids])
+    asked = [text(6) for _ in range(50)] + texts[:3] + [b"", None]
+    for t, (at, w, bound) in zip(asked, model.vectors(asked)):
+        near, cosine = model.nearest(at, w, 15, bound=bound)
+        every = dense @ unit(t)
+        assert np.allclose(cosine, [x for x in np.sort(every)[::-1][:15] if x > 1e-12])
         assert np.allclose(every[near], cosine)
+        assert len(set(near.tolist())) == len(near)
+
+
+def test_terms_are_words_and_beginnings():
+    assert toxicity.term_counts("Über-BÖSE Wörter; 2x b\u00f6se\u2014gut_so".encode()) == Counter(
+        {"über": 1, "böse": 2, "wörter": 1, "x": 1, "gut": 1, "so": 1, "übe*": 1, "bös*": 2, "wör*": 1,
+         "wört*": 1, "wörte*": 1})
+    assert toxicity.term_counts(None) == toxicity.term_counts(b"") == toxicity.term_counts(b"12 _ !") == Counter()
+
+
+def slow_toxicity(docs, labels, n_all):
+    """Scores, predictions and evidence as dense vectors, without index, blocks and memory."""
+    taught = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    bags = {i: toxicity.term_counts((t or "").encode()) for i, t in docs}
+    ids = sorted(taught)
+    n1 = sum(taught.values())
+    n0, n = len(ids) - n1, len(ids)
+    g = {}
+    for term in {t for i in ids for t in bags[i]}:
+        a, b = (sum(term in bags[i] for i in ids if taught[i] == y) for y in (1, 0))
+        cells = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b)]
+        if a + b >= toxicity.LEAST_TEXTS:
+            g[term] = sum(2 * c * np.log(c * n / (r * k)) for c, r, k in cells if c)
+    names = sorted(t for t, v in g.items() if v >= toxicity.TELLING)
+    idf = np.array([np.log((1 + n_all) / (1 + sum(t in bags[i] for i, _ in docs))) + 1 for t in names])
+
+    def unit(i):
+        v = np.array([1 + np.log(bags[i][t]) if bags[i][t] else 0.0 for t in names]) * idf
+        return v / (np.linalg.norm(v) or 1)
+
+    units = {i: unit(i) for i, _ in docs}
+    heavy = {i: int(np.argmax(units[i])) if units[i].any() else -1 for i in ids}
+    ids.sort(key=lambda i: (heavy[i], taught[i], i))
+    truth = np.array([taught[i] for i in ids], dtype=float)
+    matrix = np.array([units[i] for i in ids])
+
+    def vote(i, but=None):
+        cosine = matrix @ units[i]
+        if but is not None:
+            cosine[but] = 0
+        near = [int(x) for x in np.lexsort((np.arange(n), -np.round(cosine, 12)))[:toxicity.NEIGHBOURS] if cosine[x] > 1e-12]
+        w = cosine[near] ** toxicity.POWER
+        return (w * truth[near]).sum() / (w.sum() + toxicity.IDLE), [ids[x] for x in near[:3]]
+
+    x = np.array([[vote(i, but=k)[0], 1] for k, i in enumerate(ids)])
+    y = np.where(truth == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    beta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        hessian = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        beta -= np.clip(np.linalg.solve(hessian, x.T @ (p - y) + 1e-3 * beta), -5, 5)
+    return {i: (1 / (1 + np.exp(-beta @ [vote(i)[0], 1])), vote(i)[1]) for i, _ in docs}
+
+
+def test_toxicity_against_a_slow_version(spark):
+    random = np.random.default_rng(11)
+    neutral, bad = [f"mild{a}{b}" for a in "abcdefgh" for b in "jklmn"], ["vile", "nastiness", "böse", "hateful"]
+    rows, labels = [], {}
+    for i in range(240):
+        words = random.choice(neutral, random.integers(3, 25)).tolist()
+        labels[i] = int(random.random() < 0.35)
+        for _ in range(labels[i] * random.integers(1, 4) + int(random.random() < 0.1)):
+            words.insert(int(random.integers(0, len(words))), str(random.choice(bad)))
+        rows.append((i, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, "unknown words only"), (503, "vile " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want = slow_toxicity(rows, labels, len(rows))
+    got = toxicity.score(docs, toxicity.train_on_documents(docs, marks)).collect()
+    assert len(got) == len(rows) and len({r["predicted"] for r in got}) == 2
+    for r in got:
+        score, evidence = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-6)
+        assert r["predicted"] == int(r["score"] >= toxicity.THRESHOLD)
+        assert r["evidence"] == evidence
 
 
 def test_sharding(docs, none):
