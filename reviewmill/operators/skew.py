@@ -50,15 +50,17 @@ def lookup_terms(postings: DataFrame, terms: DataFrame, hot_rows: int = HOT_ROWS
     """Inner join of (id, term, ..) rows with a written term table that has `df`.
 
     A small table is broadcast. Beyond the bound, terms found in more than
-    `hot_rows` texts are joined by broadcast - there are at most
-    (number of postings / hot_rows) of them, and the bound is checked again - and
-    the others by a shuffle join in which no key holds more than `hot_rows` rows.
+    `hot_rows` texts are joined by broadcast and the others by a shuffle join in
+    which no key holds more than `hot_rows` rows. Where the hot terms themselves are
+    above the bound, the limit rises until they fit: it then grows with the postings,
+    and so does the number of tasks that share the cold ones.
     """
     if fits_broadcast(terms, **bounds):
         return postings.join(F.broadcast(terms), "term")
     hot = terms.where(F.col("df") > hot_rows)
-    if not fits_broadcast(hot, **bounds):
-        return postings.join(terms, "term")
+    while not fits_broadcast(hot, **bounds):
+        hot_rows *= 4
+        hot = terms.where(F.col("df") > hot_rows)
     names = F.broadcast(hot.select("term"))
     cold = terms.where(F.col("df") <= hot_rows)
     return postings.join(F.broadcast(hot), "term").unionByName(

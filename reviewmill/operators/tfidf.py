@@ -2,11 +2,14 @@
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from reviewmill.functions.text import term_counts, with_terms
+from reviewmill.operators.row_terms import RowTerms, map_rows, row_terms, weights_of, words_column
 from reviewmill.operators.skew import dense_index, lookup_terms
 from reviewmill.session import materialise
 
@@ -56,18 +59,38 @@ def fit_terms(docs: DataFrame, id_col: str, text_col: str, stop_words: Iterable[
     return materialise(with_idf(terms, n_docs), "terms"), n_docs
 
 
+def _type(df: DataFrame, name: str) -> str:
+    return f"`{name}` {df.schema[name].dataType.simpleString()}"
+
+
 def weights(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame,
             stop_words: Iterable[str] = (), sublinear: bool = True,
-            keep: Iterable[str] = ()) -> DataFrame:
+            keep: Iterable[str] = (), **bounds: int) -> DataFrame:
     """Rows (id, *keep, term, weight), each text's weights of unit length.
 
-    Terms are looked up first, then one shuffle by id brings the weights of a text
-    together; a text is one group, so no group can be large.
+    A term table under the broadcast bound is looked up inside the row, without a shuffle.
+    Beyond it terms are joined first, then one shuffle by row brings the weights of a text
+    together; a text is one group, so no group can be large. Rows of an equal or null id
+    keep their own weights.
     """
-    postings = term_counts(docs, id_col, text_col, stop_words, keep)
-    weighted = lookup_terms(postings, terms.select("term", "df", "idf"))
-    weighted = weighted.select(id_col, *keep, "term", raw_weight(sublinear).alias("weight"))
-    gathered = weighted.groupBy(id_col, *keep).agg(
+    keep = list(keep)
+    found = row_terms(terms, "idf", **bounds)
+    if found is not None:
+        names = pa.array(_names(found))
+
+        def each(t: RowTerms, part: pa.RecordBatch, row, term, count) -> dict:
+            w, norm = weights_of(row, count, t.values["idf"][term], part.num_rows, sublinear)
+            at = pa.array(row)
+            return {c: part.column(c).take(at) for c in (id_col, *keep)} | {
+                "term": names.take(pa.array(term)), "weight": pa.array(w / norm[row])}
+
+        rows = docs.select(id_col, *keep, words_column(text_col, stop_words))
+        fields = ", ".join(_type(rows, c) for c in (id_col, *keep))
+        return map_rows(rows, found, each, f"{fields}, term string, weight double")
+    postings = term_counts(with_row(docs), id_col, text_col, stop_words, ["_row", *keep])
+    weighted = lookup_terms(postings, terms.select("term", "df", "idf"), **bounds)
+    weighted = weighted.select("_row", id_col, *keep, "term", raw_weight(sublinear).alias("weight"))
+    gathered = weighted.groupBy("_row", id_col, *keep).agg(
         F.collect_list(F.struct("term", "weight")).alias("_terms"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
     return (
@@ -76,6 +99,23 @@ def weights(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame,
     )
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """The written rows with a number of their own, `_row`, whatever their ids are."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _names(found: RowTerms) -> list[str]:
+    """The terms in their order."""
+    words = found.words.to_pylist()
+    names = [""] * found.size
+    for word, term in zip(words, found.single.tolist()):
+        if term >= 0:
+            names[term] = word
+    for key, term in zip(found.pairs.tolist(), found.pair_term.tolist()):
+        names[term] = f"{words[key // len(words)]} {words[key % len(words)]}"
+    return names
+
+
 def indexed_terms(terms: DataFrame) -> DataFrame:
     """The term table with a dense 0-based `idx` in term order, written."""
     return materialise(
@@ -85,28 +125,42 @@ def indexed_terms(terms: DataFrame) -> DataFrame:
 
 def feature_vectors(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, size: int,
                     stop_words: Iterable[str] = (), sublinear: bool = True,
-                    keep: Iterable[str] = ()) -> DataFrame:
-    """Rows (id, *keep, features) for MLlib, written to the shared folder.
+                    keep: Iterable[str] = (), **bounds: int) -> DataFrame:
+    """Rows (id, *keep, features) for MLlib, written to the shared folder, one per text.
 
-    The vector is built in its storage form by SQL expressions and read back under
-    the vector type, so no Python runs and the training loops read a finished table.
-    Texts without a known term get the empty vector.
+    The vector is built in its storage form and read back under the vector type, so the
+    training loops read a finished table. A term table under the broadcast bound is looked
+    up inside the row. Texts without a known term get the empty vector.
     """
     keep = list(keep)
-    postings = term_counts(docs, id_col, text_col, stop_words)
-    found = lookup_terms(postings, terms.select("term", "df", "idf", "idx"))
-    rows = found.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("idx", raw_weight(sublinear).alias("w"))))
-        .alias("_pairs"),
-        F.sqrt(F.sum(raw_weight(sublinear) * raw_weight(sublinear))).alias("_norm"))
-    none = F.array().cast("array<struct<idx:int,w:double>>")
-    joined = docs.select(id_col, *keep).join(rows, id_col, "left").withColumn(
-        "_pairs", F.coalesce("_pairs", none))
-    stored = joined.select(id_col, *keep, F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.col("_pairs.idx").alias("indices"),
-        F.transform("_pairs", lambda p: p["w"] / F.col("_norm")).alias("values"),
-    ).alias("features"))
+    found = row_terms(terms, "idf", "idx", **bounds)
+    if found is not None:
+        def each(t: RowTerms, part: pa.RecordBatch, row, term, count) -> dict:
+            w, norm = weights_of(row, count, t.values["idf"][term], part.num_rows, sublinear)
+            ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+            return {c: part.column(c) for c in (id_col, *keep)} | {"features": pa.StructArray.from_arrays(
+                [pa.array(np.zeros(part.num_rows, dtype=np.int8)),
+                 pa.array(np.full(part.num_rows, size, dtype=np.int32)),
+                 pa.ListArray.from_arrays(ends, pa.array(t.values["idx"][term].astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(w / norm[row]))], names=["type", "size", "indices", "values"])}
+
+        rows = docs.select(id_col, *keep, words_column(text_col, stop_words))
+        fields = ", ".join(_type(rows, c) for c in (id_col, *keep))
+        stored = map_rows(rows, found, each, f"{fields}, features struct<type:tinyint, size:int, "
+                          "indices:array<int>, values:array<double>>")
+    else:
+        rows = with_row(docs.select(id_col, *keep, text_col))
+        postings = term_counts(rows, "_row", text_col, stop_words)
+        joined = lookup_terms(postings, terms.select("term", "df", "idf", "idx"), **bounds).groupBy("_row").agg(
+            F.sort_array(F.collect_list(F.struct("idx", raw_weight(sublinear).alias("w")))).alias("_pairs"),
+            F.sqrt(F.sum(raw_weight(sublinear) * raw_weight(sublinear))).alias("_norm"))
+        none = F.array().cast("array<struct<idx:int,w:double>>")
+        joined = rows.drop(text_col).join(joined, "_row", "left").withColumn("_pairs", F.coalesce("_pairs", none))
+        stored = joined.select(id_col, *keep, F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+            F.col("_pairs.idx").alias("indices"),
+            F.transform("_pairs", lambda p: p["w"] / F.col("_norm")).alias("values"),
+        ).alias("features"))
     schema = StructType([*stored.select(id_col, *keep).schema.fields,
                          StructField("features", VectorUDT())])
     return materialise(stored, "features", schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from reviewmill.operators.columns import find_roles
 from reviewmill.operators.correction import correct_by_rating, with_prediction
 from reviewmill.operators.routing import route_datasets
-from reviewmill.operators.sentiment import SentimentModel, score, train_dataset
+from reviewmill.operators.sentiment import SentimentModel, train_dataset, with_score
 
 
 @dataclass(frozen=True)
@@ -22,10 +22,9 @@ class Analysis:
 
 def predict(df: DataFrame, id_col: str, text_col: str, rating_col: str | None,
             model: SentimentModel) -> DataFrame:
-    """Input rows with prediction and correction columns. Scores are short rows, joined
-    back by id."""
-    scored = score(df.select(id_col, text_col), id_col, text_col, model)
-    return correct_by_rating(with_prediction(df.join(scored, id_col), "probability"), rating_col)
+    """Input rows with prediction and correction columns; each row has its own score, whatever
+    its id."""
+    return correct_by_rating(with_prediction(with_score(df, text_col, model), "probability"), rating_col)
 
 
 def analyse(df: DataFrame, id_col: str, base: SentimentModel,

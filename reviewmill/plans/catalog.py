@@ -328,8 +328,7 @@ def base_model_negatives(spark, sf_dir):
     rows = _base_rows(spark, sf_dir)
     model, _, _ = sentiment.train_base(rows, "review_id")
     held = evaluation.with_stratified_split(rows, "review_id", "recommended").where("is_test")
-    scored = held.join(sentiment.score(held, "review_id", "review_text", model), "review_id")
-    scored = scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    scored = sentiment.with_score(held, "review_text", model).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
     return evaluation.predicted_negatives(scored, "review_id", "review_text")
 
 
@@ -349,8 +348,7 @@ def dataset_model_scores(spark, sf_dir):
         F.coalesce("lang", F.lit("Unknown")).alias("dataset")), "reviews")
     base, _, _ = sentiment.train_base(tables.base_training_rows(
         rows, "review_text", "recommended", "review_id"), "review_id")
-    own = {name: trained[0] for name, trained in sentiment.train_datasets(
-        rows, "review_id", "review_text", "rating", "dataset").items()}
+    own = sentiment.train_datasets(rows, "review_id", "review_text", "rating", "dataset")
     return sentiment.score_datasets(rows, "review_id", "review_text", "dataset", own, base)
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from test_text import python_terms
-from reviewmill.operators import evaluation, sentiment
+from reviewmill.operators import evaluation, many_models, row_terms, sentiment
 from reviewmill.operators.correction import correct_by_rating, with_prediction
-from reviewmill.operators.tfidf import fit_terms, weights
+from reviewmill.operators.tfidf import feature_vectors, fit_terms, indexed_terms, weights
 from reviewmill.plans.analysis import analyse
+from reviewmill.session import materialise
 
 GOOD = ["lovely dress fits well", "great shirt good fabric", "very good size and fit", "happy with this dress"]
 BAD = ["bad fabric broke fast", "the size is wrong and bad", "poor shirt very thin", "never fits bad dress"]
@@ -115,16 +116,71 @@ def test_analyse_trains_on_ratings_and_falls_back(spark, labelled):
     assert "Rule_Corrected" not in plain.predictions.columns
 
 
-def test_mixed_datasets_use_their_own_model(spark, labelled):
-    base = sentiment.train(labelled, "id", "t")
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 5}])
+def test_mixed_datasets_use_their_own_model(spark, labelled, bounds):
+    base = sentiment.train(labelled, "id", "t", ["the"])
     flipped = sentiment.train(labelled.withColumn("label", 1 - F.col("label")), "id", "t")
+    own = sentiment.DatasetModels(
+        materialise(flipped.terms.withColumn("no", F.lit(0)), "t"),
+        spark.createDataFrame([(0, "a", flipped.intercept, 60)], "no int, dataset string, intercept double, n_train long"),
+        None, None)
     df = labelled.withColumn("ds", F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 5 == 0, None).otherwise("b"))
-    got = dict(rows(sentiment.score_datasets(df, "id", "t", "ds", {"a": flipped}, base)))
+    got = {r[0]: r[1:] for r in rows(sentiment.score_datasets(df, "id", "t", "ds", own, base, **bounds))}
     assert len(got) == 60
     want_base = dict(rows(sentiment.score(labelled, "id", "t", base)))
     want_own = dict(rows(sentiment.score(labelled, "id", "t", flipped)))
     for i in got:
-        assert abs(got[i] - (want_own if i % 2 == 0 else want_base)[i]) < 1e-12
+        model, want = ("dataset", want_own) if i % 2 == 0 else ("base", want_base)
+        assert got[i][0] == model and abs(got[i][1] - want[i]) < 1e-12
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoring_is_in_the_row(spark, labelled):
+    model = sentiment.train(labelled, "id", "t")
+    docs = spark.createDataFrame(
+        [(1, "lovely dress"), (1, "bad fabric"), (None, "good shirt"), (None, None), (2, "zzz")], "id int, t string")
+    scored = sentiment.score(docs, "id", "t", model)
+    assert "Exchange" not in plan_of(scored) and "Generate" not in plan_of(scored)
+    whole = sentiment.with_score(docs, "t", model)
+    assert "Exchange" not in plan_of(whole) and whole.columns == ["id", "t", "probability"]
+    got = {(i, t): p for i, t, p in rows(whole)}
+    assert len(got) == 5 and got[1, "lovely dress"] > 0.5 > got[1, "bad fabric"]
+    joined = {(i, t): p for i, t, p in rows(sentiment.with_score(docs, "t", model, max_rows=3))}
+    assert got.keys() == joined.keys() and all(abs(got[k] - joined[k]) < 1e-12 for k in got)
+
+
+def test_weights_and_vectors_are_the_same_beyond_the_bound(spark, labelled):
+    terms, _ = fit_terms(labelled, "id", "t")
+    assert "Exchange" not in plan_of(weights(labelled, "id", "t", terms))
+    near = {(i, t): w for i, t, w in rows(weights(labelled, "id", "t", terms, keep=[]))}
+    far = {(i, t): w for i, t, w in rows(weights(labelled, "id", "t", terms, max_rows=3))}
+    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-12 for k in near)
+    indexed = indexed_terms(terms)
+    blank = labelled.unionByName(spark.createDataFrame([(99, "zzz", 1), (99, None, 0)], labelled.schema))
+    one, two = ({(r["id"], r["label"]): r["features"] for r in feature_vectors(
+        blank, "id", "t", indexed, indexed.count(), keep=["label"], **bounds).collect()} for bounds in ({}, {"max_rows": 3}))
+    assert one.keys() == two.keys() and len(one) == 62
+    for k in one:
+        assert one[k].indices.tolist() == two[k].indices.tolist() and one[k].size == two[k].size
+        assert one[k].values == pytest.approx(two[k].values, abs=1e-12)
+
+
+def test_row_lookup_agrees_with_joined_counts(spark):
+    texts = [(0, "a bb cc bb cc dd"), (1, ""), (2, None), (3, "dd bb " * 400), (4, "cc dd. bb"), (4, "ee ee")]
+    docs = spark.createDataFrame(texts, "id int, t string")
+    names = ["bb", "bb cc", "dd bb", "ee ee", "ee", "xx yy", "cc dd"]
+    found = row_terms.from_table(names, {})
+    import pyarrow as pa
+    words = [python_terms(t or "")[:len([w for w in python_terms(t or "") if " " not in w])] for _, t in texts]
+    row, term, count = found.find(pa.array(words, pa.list_(pa.string())))
+    got = {(int(r), names[t]): int(c) for r, t, c in zip(row, term, count)}
+    want = {(r, t): c for r, (_, x) in enumerate(texts) for t, c in Counter(python_terms(x or "")).items() if t in names}
+    assert got == want
+    empty = row_terms.from_table([], {}).find(pa.array(words, pa.list_(pa.string())))
+    assert [len(x) for x in empty] == [0, 0, 0]
 
 
 def test_split_is_disjoint_and_stratified(spark):
@@ -172,10 +228,77 @@ def test_small_class_stays_in_the_training_part(spark):
         assert model.n_train + card.first()["n_test"] == 32
 
 
+def rated(n=90):
+    return [(i, f"good nice {'abc'[i % 3]}{i % 7}x fine" if i % 2 else f"bad broke {'abc'[i % 3]}{i % 5}x fine",
+             "5" if i % 2 or i % 11 == 0 else "1", "ab"[i // 40] if i < 80 else None) for i in range(n)]
+
+
 def test_every_dataset_with_ratings_is_trained(spark):
+    df = spark.createDataFrame(rated(104), "id int, t string, stars string, ds string")
+    df = df.unionByName(spark.createDataFrame([(900 + i, "good", "5", "c") for i in range(30)], df.schema))
+    choice = {r["ds"]: r["model"] for r in sentiment.trainable_datasets(df, "id", "t", "stars", "ds").collect()}
+    assert choice == {"a": "dataset", "b": "dataset", None: "dataset", "c": "base"}
+    own = sentiment.train_datasets(df, "id", "t", "stars", "ds")
+    assert set(own.names) == {"a", "b", None}
+    cards = {r["dataset"]: r for r in own.cards.collect()}
+    for name in own.names:
+        part = df.where(F.col("ds").eqNullSafe(F.lit(name)))
+        single, report, card = sentiment.train_dataset(part, "id", "t", "stars", "general", max_iter=2000, tol=1e-14)
+        model = own.model(name)
+        assert model.n_train == single.n_train
+        got = {r["term"]: (r["df"], r["idf"], r["coefficient"]) for r in model.terms.collect()}
+        want = {r["term"]: (r["df"], r["idf"], r["coefficient"]) for r in single.terms.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[t][:2] == want[t][:2] and abs(got[t][2] - want[t][2]) < 2e-6 for t in want)
+        assert abs(model.intercept - single.intercept) < 2e-6
+        want = card.first()
+        assert (cards[name]["accuracy"], cards[name]["n_train"], cards[name]["n_test"]) == (
+            want["accuracy"], want["n_train"], want["n_test"])
+    base = sentiment.train(df.select("id", "t", (F.col("stars") == "5").cast("int").alias("label")), "id", "t")
+    scored = sentiment.score_datasets(df, "id", "t", "ds", own, base).collect()
+    assert len(scored) == 134 and {r["model"] for r in scored if r["id"] >= 900} == {"base"}
+
+
+def test_waves_and_joined_terms_give_the_same_models(spark):
+    df = spark.createDataFrame(rated(), "id int, t string, stars string, ds string").where("ds is not null")
+    whole = sentiment.train_datasets(df, "id", "t", "stars", "ds")
+    waves = sentiment.train_datasets(df, "id", "t", "stars", "ds", max_terms=3)
+    table = lambda m: {(r["no"], r["term"]): r["coefficient"] for r in m.terms.collect()}
+    one, two = table(whole), table(waves)
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-5 for k in one)
+    training = materialise(df.selectExpr("cast(ds = 'b' as int) no", "cast(stars = '5' as int) label", "t"), "t")
+    terms = sentiment._dataset_terms(training, "t", training.groupBy("no").agg(F.count("*").alias("n_train")))
+    key = lambda r: (r["no"], r["label"], r["indices"], [round(v, 9) for v in r["values"]])
+    near, far = (sorted(map(key, sentiment._dataset_vectors(training, "t", terms, **bounds).collect()))
+                 for bounds in ({}, {"max_rows": 3}))
+    assert near == far
+
+
+def test_rare_class_survives_the_row_bound(spark):
     df = spark.createDataFrame(
-        [(i, f"good nice {i % 3}" if i % 2 else f"bad broke {i % 3}", "5" if i % 2 else "1", "ab"[i // 40] if i < 80 else "c")
-         for i in range(90)], "id int, t string, stars string, ds string")
-    trained = sentiment.train_datasets(df, "id", "t", "stars", "ds", workers=2)
-    assert set(trained) == {"a", "b"}
-    assert all(t[0].n_train == 34 for t in trained.values())
+        [(i, "bad broke" if i < 4 else f"good nice {i % 9}", "1" if i < 4 else "5", "x") for i in range(3000)],
+        "id int, t string, stars string, ds string")
+    own = sentiment.train_datasets(df, "id", "t", "stars", "ds", max_rows=400)
+    assert own.names == ["x"]
+    n = own.models.first()["n_train"] + own.cards.first()["n_test"]
+    assert 300 < n < 500
+    assert own.model("x").terms.where("term = 'bad broke'").count() == 1
+
+
+def test_keyed_fit_reaches_the_minimum(spark):
+    random = np.random.default_rng(3)
+    data, want, offset = [], [], [0]
+    for no, (n, width) in enumerate([(40, 6), (25, 3), (60, 1)]):
+        x = random.standard_normal((n, width)) * (random.random((n, width)) < 0.6)
+        y = (x.sum(axis=1) + random.standard_normal(n) > 0.3).astype(int)
+        want.append(newton(x, y))
+        data += [(no + 5, int(l), [int(i) + offset[-1] for i in np.flatnonzero(v)], v[v != 0].tolist()) for v, l in zip(x, y)]
+        offset.append(offset[-1] + width)
+    labels = [[d[1] for d in data if d[0] == no + 5] for no in range(3)]
+    weight = np.array([[len(l) / (2 * (len(l) - sum(l))), len(l) / (2 * sum(l))] for l in labels])
+    wave = many_models.Wave(5, np.array(offset), weight, np.array([len(l) for l in labels]))
+    vectors = spark.createDataFrame(data, "no int, label int, indices array<int>, values array<double>").repartition(3)
+    w, b = many_models.fit_wave(vectors, wave)
+    for no in range(3):
+        assert w[offset[no]:offset[no + 1]] == pytest.approx(want[no][:-1], abs=1e-6)
+        assert b[no] == pytest.approx(want[no][-1], abs=1e-6)
