@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reviewmill.llm.common import lists, materialise
+from reviewmill.llm.common import SLICE, lists, materialise
 from reviewmill.llm.samples import id_remainder, labelled_sample, sampled_texts
 
 #: Labelled rows that serve as examples, at most (half of each class).
@@ -19,8 +19,10 @@ SAMPLE_ROWS = 6000
 #: Examples per block of the index; neighbours that vote; power of the similarity; vote
 #: of no neighbour at all; score from which a text counts as toxic.
 BLOCK, NEIGHBOURS, POWER, IDLE, THRESHOLD = 64, 15, 2, 0.02, 0.7
-#: G statistic from which a term tells the classes apart (5 % level, one degree of freedom).
-TELLING, LEAST_TEXTS = 3.84, 4
+#: G statistic from which a term tells the classes apart (1 % level, one degree of freedom).
+TELLING, LEAST_TEXTS = 6.63, 4
+#: Share of the examples from which a term's list is kept as a dense row.
+FREQUENT = 1 / 32
 #: Terms are words, and beginnings of so many letters of longer words, marked with *.
 BEGINNINGS = range(3, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -90,7 +92,8 @@ class ToxicityModel:
     """Examples behind a block-max inverted index, all sizes bounded by the sample.
 
     Postings are sorted by term, then example; each term has the places of its postings by
-    block, and its largest weight per block.
+    block, and its largest weight per block. The lists of terms that many examples hold are
+    kept as rows of a dense matrix instead, and are multiplied for all texts of a slice.
     """
 
     terms: Terms
@@ -102,40 +105,55 @@ class ToxicityModel:
     value: np.ndarray        # per posting: weight in the example's unit vector
     block_start: np.ndarray  # per term and block: its first posting; one more block at the end
     block_max: np.ndarray    # per term and block: the largest weight
+    dense_row: np.ndarray    # per term: its row in `dense`, or -1
+    dense: np.ndarray        # per frequent term and example
     slope: float = 0.0
     offset: float = 0.0
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1,
-                bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine (above 0) with a unit vector, ties by place,
-        and the cosines.
+    def weigh(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the terms of n texts; each text's vector is of length one."""
+        w = (1 + np.log(tf)) * self.idf[term]
+        return w / np.sqrt(np.bincount(row, w * w, n))[row]
 
-        A block's bound is the sum of its terms' largest weights. The blocks of the highest
-        bounds are scored first; others only if their bound reaches the kth cosine found, so
-        that none is missed.
+    def nearest(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int,
+                but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n unit vectors (text, term, weight) the k examples of highest cosine
+        (above 0), ties by place, and the cosines; `but` names an example to leave out.
+
+        Frequent terms are added up first, for all examples. What the other terms can add
+        to a block is at most the sum of their largest weights in it. The blocks of the
+        highest bounds are finished first; others only if their bound reaches the kth
+        cosine found, so that none is missed.
         """
-        if not len(at):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        if bound is None:
-            bound = w @ self.block_max[at]
+        often = self.dense_row[term] >= 0
+        query = np.zeros((n, len(self.dense)))
+        query[row[often], self.dense_row[term[often]]] = w[often]
+        scores = query @ self.dense
+        if but is not None:
+            scores[np.arange(n), but] = -1
+        reached = scores.reshape(n, -1, BLOCK).max(axis=2)
+        row, term, w = row[~often], term[~often], w[~often]
+        ends = np.searchsorted(row, np.arange(n + 1))
+        for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            yield self._finish(scores[i], reached[i], term[a:b], w[a:b], k, -1 if but is None else int(but[i]))
+
+    def _finish(self, scores: np.ndarray, reached: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, but: int
+                ) -> tuple[np.ndarray, np.ndarray]:
+        rest = w @ self.block_max[at]
+        bound = reached + rest
         order = np.argsort(-bound, kind="stable")
-        first, rest = np.split(order, [max(2, 2 * k // BLOCK)])
-        scores = np.zeros(len(self.block_max[0]) * BLOCK)
-        self._add(scores, at, w, first)
-        if but >= 0:
-            scores[but] = 0
+        first, others = np.split(order, [max(2, 2 * k // BLOCK)])
+        self._add(scores, at, w, first, but)
         seen = scores.reshape(-1, BLOCK)[first].ravel()
         kth = max(0.0, np.partition(seen, len(seen) - k)[-k]) if len(seen) >= k else 0.0
+        self._add(scores, at, w, others[(rest[others] > 0) & (bound[others] >= kth - 1e-9)], but)
         # cosines that differ by rounding only are ties
-        self._add(scores, at, w, rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-9)])
-        if but >= 0:
-            scores[but] = 0
         hit = np.flatnonzero(scores >= max(kth - 1e-11, 1e-12))
         top = hit[np.lexsort((hit, -np.round(scores[hit], 12)))[:k]]
         return top, scores[top]
 
-    def _add(self, scores: np.ndarray, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
-        """Add the cosines of the examples in the blocks."""
+    def _add(self, scores: np.ndarray, at: np.ndarray, w: np.ndarray, blocks: np.ndarray, but: int) -> None:
+        """Add what the terms have in the blocks."""
         first = self.block_start[at[:, None], blocks].ravel()
         size = self.block_start[at[:, None], blocks + 1].ravel() - first
         some = np.flatnonzero(size)
@@ -146,16 +164,8 @@ class ToxicityModel:
         places = np.repeat(first - ends + size, size) + np.arange(ends[-1])
         by_term = np.repeat(w[some // len(blocks)], size)
         scores += np.bincount(self.example[places], self.value[places] * by_term, len(scores))
-
-    def vectors(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Terms, weights (of length one) and bounds of the blocks of every text."""
-        row, at, tf = self.terms.rows(texts)
-        w = (1 + np.log(tf)) * self.idf[at]
-        squares = np.bincount(row, w * w, len(texts))
-        w /= np.sqrt(squares)[row]
-        ends = np.cumsum(np.bincount(row, minlength=len(texts)))
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            yield at[a:b], w[a:b], w[a:b] @ self.block_max[at[a:b]]
+        if but >= 0:
+            scores[but] = -1
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine ** POWER * self.mass[near]
@@ -163,8 +173,9 @@ class ToxicityModel:
 
     def scores(self, texts: list[bytes | None]) -> Iterator[tuple[float, list]]:
         """Calibrated probabilities, and the ids of the nearest examples."""
-        for at, w, bound in self.vectors(texts):
-            near, cosine = self.nearest(at, w, NEIGHBOURS, bound=bound)
+        row, term, tf = self.terms.rows(texts)
+        w = self.weigh(row, term, tf, len(texts))
+        for near, cosine in self.nearest(row, term, w, len(texts), NEIGHBOURS):
             yield _sigmoid(self.slope * self.vote(near, cosine) + self.offset), [self.ids[i] for i in near[:3]]
 
 
@@ -208,13 +219,21 @@ def build_index(ids: list, rows: tuple[np.ndarray, np.ndarray, np.ndarray], toxi
     blocks = len(ids) // BLOCK + 1
     by_term = np.lexsort((place[row], term))
     example, term, value = place[row][by_term], term[by_term], value[by_term]
+    often = np.flatnonzero(np.bincount(term, minlength=terms.count) > len(ids) * FREQUENT)
+    dense_row = np.full(terms.count, -1)
+    dense_row[often] = np.arange(len(often))
+    in_dense = dense_row[term] >= 0
+    dense = np.zeros((len(often), blocks * BLOCK))
+    dense[dense_row[term[in_dense]], example[in_dense]] = value[in_dense]
+    example, term, value = example[~in_dense], term[~in_dense], value[~in_dense]
     key = term * blocks + example // BLOCK
     start = np.searchsorted(key, np.arange(terms.count * blocks + 1))
     block_max = np.zeros(terms.count * blocks)
     np.maximum.at(block_max, key, value)
     return ToxicityModel(
         terms, idf, [ids[i] for i in order], toxic[order], mass[order], example, value,
-        start[np.arange(terms.count)[:, None] * blocks + np.arange(blocks + 1)], block_max.reshape(-1, blocks))
+        start[np.arange(terms.count)[:, None] * blocks + np.arange(blocks + 1)], block_max.reshape(-1, blocks),
+        dense_row, dense)
 
 
 def calibrate(model: ToxicityModel, ids: list, rows: tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -223,12 +242,13 @@ def calibrate(model: ToxicityModel, ids: list, rows: tuple[np.ndarray, np.ndarra
     the others, weighted as the classes are in the labelled rows."""
     place = {x: n for n, x in enumerate(model.ids)}
     row, term, tf = rows
-    weight = (1 + np.log(tf)) * model.idf[term]
-    weight = weight / np.sqrt(np.bincount(row, weight * weight, len(ids)))[row]
-    ends = np.cumsum(np.bincount(row, minlength=len(ids))).tolist()
-    votes, at = [], np.array([place[i] for i in ids])
-    for n, a, b in zip(at.tolist(), [0, *ends[:-1]], ends):
-        votes.append(model.vote(*model.nearest(term[a:b], weight[a:b], NEIGHBOURS, but=n)))
+    weight = model.weigh(row, term, tf, len(ids))
+    at, votes = np.array([place[i] for i in ids]), []
+    for start in range(0, len(ids), SLICE):
+        stop = min(start + SLICE, len(ids))
+        a, b = np.searchsorted(row, [start, stop])
+        votes += [model.vote(*found) for found in model.nearest(
+            row[a:b] - start, term[a:b], weight[a:b], stop - start, NEIGHBOURS, at[start:stop])]
     y, m = model.toxic[at].astype(float), model.mass[at]
     x = np.array([votes, np.ones(len(votes))]).T
     # targets a little inside 0 and 1, and a small penalty, keep separable votes finite
@@ -366,8 +386,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel | float, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column(text_col).cast(pa.binary())
-            keep = [s < threshold for start in range(0, batch.num_rows, 256)
-                    for s, _ in _scores(shared.value, data.slice(start, 256).to_pylist())]
+            keep = [s < threshold for start in range(0, batch.num_rows, SLICE)
+                    for s, _ in _scores(shared.value, data.slice(start, SLICE).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -420,7 +420,8 @@ def index_of(texts, names, idf, toxic):
     return toxicity.build_index(list(range(len(texts))), terms.rows(texts), toxic, np.ones(len(texts)), terms, idf)
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT", 0.1)
     random = np.random.default_rng(8)
     n, names = 500, [a + b for a in "abcdef" for b in "qrstuvwxyz"]
     text = lambda k: " ".join(random.choice(names, k)).encode()
@@ -434,13 +435,18 @@ def test_block_max_search_is_exact():
         return v / (np.linalg.norm(v) or 1)
 
     dense = np.array([unit(texts[i]) for i in model.ids])
+    assert 0 < len(model.dense) < 60
     asked = [text(6) for _ in range(50)] + texts[:3] + [b"", None]
-    for t, (at, w, bound) in zip(asked, model.vectors(asked)):
-        near, cosine = model.nearest(at, w, 15, bound=bound)
-        every = dense @ unit(t)
-        assert np.allclose(cosine, [x for x in np.sort(every)[::-1][:15] if x > 1e-12])
-        assert np.allclose(every[near], cosine)
-        assert len(set(near.tolist())) == len(near)
+    row, term, tf = model.terms.rows(asked)
+    w = model.weigh(row, term, tf, len(asked))
+    for but in (None, np.arange(len(asked))):
+        for i, (near, cosine) in enumerate(model.nearest(row, term, w, len(asked), 15, but)):
+            every = dense @ unit(asked[i])
+            if but is not None:
+                every[i] = 0
+            assert np.allclose(cosine, [x for x in np.sort(every)[::-1][:15] if x > 1e-12])
+            assert np.allclose(every[near], cosine)
+            assert len(set(near.tolist())) == len(near)
 
 
 def test_terms_are_words_and_beginnings():
