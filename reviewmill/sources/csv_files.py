@@ -2,7 +2,8 @@
 
 One scan of the lines profiles every file: encoding, delimiter, header and whether a
 quoted field spans lines. Files that agree in all of these are read together, so a
-folder costs one more scan however many files it has. Only the profile, one short
+folder costs one more scan however many files it has; files with fields that span lines
+are cut into records by many tasks too (`csv_records`). Only the profile, one short
 row per file like Spark's own file listing, comes to the driver.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from reviewmill.functions.lexicon import MISSING_CELLS
 from reviewmill.functions.text import strip
 from reviewmill.session import materialise
+from reviewmill.sources.csv_records import FILE, csv_records, parsed
 
 # Delimiters and their names, in order of preference.
 DELIMITERS = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
@@ -24,7 +26,6 @@ CP1252_FROM = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\
 CP1252_TO = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 BAD_ROW = "_bad_row"
-FILE = "_file"
 EXTRA = "_extra"
 MARK = "\x01end"
 
@@ -110,15 +111,17 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, delimiter:
     plain = [f"c{i}" for i in range(len(names))]
     schema = StructType([StructField(n, StringType()) for n in [*plain, BAD_ROW]])
     options = {"sep": separator, "escape": '"'}
-    read = (
-        spark.read.schema(schema).options(**options)
-        .option("encoding", "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
-        # with pruning a row is only checked as far as the wanted columns reach
-        .option("columnPruning", False)
-        .option("header", True).option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW)
-        .csv(files).withColumn(FILE, F.col("_metadata.file_path"))
-    )
+    if multi_line:
+        read = parsed(csv_records(spark, files, separator, encoding != "utf-8-sig"), plain, BAD_ROW, options)
+    else:
+        read = (
+            spark.read.schema(schema).options(**options)
+            .option("encoding", "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
+            # with pruning a row is only checked as far as the wanted columns reach
+            .option("columnPruning", False).option("header", True)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW)
+            .csv(files).withColumn(FILE, F.col("_metadata.file_path"))
+        )
     # A bad row is short or long. Padded with marks it is parsed once more: a short
     # row shows a mark behind the last column, a long row its own extra field.
     padded = F.concat(F.col(BAD_ROW), *[F.lit(separator + MARK)] * (len(names) + 1))

@@ -2,10 +2,12 @@
 
 import io
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from conftest import rows
+from reviewmill.sources import csv_records
 from reviewmill.sources.csv_files import FILE, drop_empty_columns, scan_csv
 
 DIRTY = ('id,Review Text,stars,blank\n1,"nice, really",5,\n2,short\n3,long,1,,more\n4,long,2,,\n'
@@ -93,3 +95,62 @@ def test_headers_united_by_name_and_repeats_told_apart(spark, folder):
 def test_drop_empty_columns(spark):
     df = spark.createDataFrame([(1, None, None), (None, "a", None)], "a int, b string, c string")
     assert drop_empty_columns(df).columns == ["a", "b"]
+
+
+def big_rows(n, seed=7):
+    import random
+    rng = random.Random(seed)
+    words = ["plain", 'with ""two"" quotes', "a,b", "line\nbreak", "two\n\nbreaks", "crlf\r\nin it", '""', "", "  x ", 'say ""hi""\n,"']
+    out = []
+    for i in range(n):
+        cell = rng.choice(words)
+        quoted = any(c in cell for c in ',"\n\r')
+        body = cell[:-1] + '""' if cell.endswith(',"') else cell
+        fields = [str(i), f'"{body}"' if quoted else body, str(i % 5)]
+        if i % 41 == 0:
+            fields = fields[:1]
+        if i % 53 == 0:
+            fields += ["more"]
+        out.append(",".join(fields))
+        if i % 97 == 0:
+            out.append("")
+    return out
+
+
+@pytest.mark.parametrize("split,ending", [("200", "\n"), ("1000", "\r\n"), ("1m", "\n")])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, folder, split, ending):
+    raw = "id,text,stars\n".replace("\n", ending) + ending.join(big_rows(700)) + ending
+    (folder / "a.csv").write_bytes(raw.encode())
+    (folder / "b.csv").write_bytes(raw.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m" if split == "1m" else "1")
+    try:
+        scan = scan_csv(spark, str(folder))
+        got = sorted((tuple(r) for r in scan.rows.drop(FILE).collect()), key=str)
+        lines = csv_records._lines(spark, [str(folder / "a.csv"), str(folder / "b.csv")], ",", False)
+        tasks = csv_records.split_maps(lines).count()
+    finally:
+        for name, value in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{name}", value)
+    skipped = []
+    table = pd.read_csv(io.StringIO(raw, newline=""), engine="python", dtype=str, lineterminator=None,
+                        on_bad_lines=lambda line: skipped.append(line))
+    want = sorted([tuple(None if pd.isna(v) else v for v in row) for row in table.itertuples(index=False)] * 2, key=str)
+    assert got == want
+    assert {r["rows_skipped"] for r in scan.info.collect()} == {len(skipped)}
+    assert tasks == 2 if split == "1m" else tasks > 10
+
+
+def test_line_states_compose():
+    import random
+    rng = random.Random(1)
+    kinds = [(0, 1), (1, 0), (0, 0), (1, 1)]
+    for _ in range(200):
+        lines = [rng.choice(kinds) for _ in range(rng.randint(1, 9))]
+        a, b = np.array([x for x, _ in lines]), np.array([x for _, x in lines])
+        for start in (0, 1):
+            want = [start]
+            for line in lines:
+                want.append(line[want[-1]])
+            assert csv_records.states(a, b, start).tolist() == want
