@@ -557,6 +557,39 @@ def csv_scan_rows(spark, sf_dir):
                        F.lit(len(rows.columns) - 1).alias("n_columns"))
 
 
+#: Ends that tell the encodings of the files below apart: any, cp1252, latin-1 only.
+CSV_ENDS = {"utf-8": " \u20ac", "cp1252": " \u00e9", "latin-1": " \u0081"}
+
+
+@query
+def csv_encodings(spark, sf_dir):
+    """The documents with their line breaks, quoted, as files of three encodings."""
+    root = new_table_path(spark, "csv")
+    texts = tables.read_table(spark, f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull())
+    for kind, end in CSV_ENDS.items():
+        text_ = F.col("text") if kind == "utf-8" else F.regexp_replace("text", "[^\\x00-\\xFF]", "?")
+        texts.select(F.col("doc_id").alias("id"), F.concat(text_, F.lit(end)).alias("Review Text")).write.csv(
+            f"{root}/kind={kind}", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False, encoding="UTF-8" if kind == "utf-8" else "ISO-8859-1")
+    scan = csv_files.scan_csv(spark, f"{root}/*")
+    info = scan.info.select(csv_files.FILE, "encoding", "error")
+    return scan.rows.join(skew.broadcast_if_small(info), csv_files.FILE).select(
+        F.regexp_extract(csv_files.FILE, "kind=([a-z0-9-]+)", 1).alias("kind"), "encoding", "error",
+        F.col("id").cast("long").alias("id"), F.md5(F.col("Review Text").cast("binary")).alias("text_md5"))
+
+
+@query
+def csv_unusable_files(spark, sf_dir):
+    """Beside the documents' file: one of blank lines, and one of a header only."""
+    root = new_table_path(spark, "csv")
+    lines = _csv_lines(spark, sf_dir, "comma")
+    _headed(lines, f"{root}/kind=full")
+    lines.select(F.lit(" ").alias("value")).write.text(f"{root}/kind=blank")
+    lines.select("header").distinct().write.text(f"{root}/kind=header")
+    info = csv_files.scan_csv(spark, f"{root}/*").info
+    return info.groupBy(_kind().alias("kind"), "delimiter", "error").agg(F.sum("rows").alias("rows"))
+
+
 @query
 def prediction_export(spark, sf_dir):
     rows = corrected(spark, sf_dir)

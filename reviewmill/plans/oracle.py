@@ -433,6 +433,15 @@ ORACLE: dict[str, str] = {
     "csv_scan_rows": f"""{CSV} select kind, doc_id as id, length(text) as n_chars,
         case when doc_id % 10 <> 7 then source end as source, 3 as n_columns
         from documents, kinds where doc_id % 10 <> 3""",
+    "csv_encodings": """with kinds(kind, encoding, ending, latin) as (values ('utf-8', 'utf-8-sig', ' \u20ac', false),
+          ('cp1252', 'cp1252', ' \u00e9', true), ('latin-1', 'latin-1', ' ' || chr(129), true))
+        select kind, encoding, cast(null as varchar) as error, doc_id as id, md5(case when latin
+          then regexp_replace(text, '[^\\x00-\\x{FF}]', '?', 'g') else text end || ending) as text_md5
+        from documents, kinds where text is not null""",
+    "csv_unusable_files": """select 'full' as kind, 'comma' as delimiter, cast(null as varchar) as error,
+          cast(count(*) filter (where doc_id % 10 <> 3) as bigint) as rows from documents
+        union all select 'blank', 'comma', 'The file holds no text.', 0
+        union all select 'header', 'comma', 'No row of the file could be used.', 0""",
     "prediction_export": f"""with {PREDICTED} select predicted_sentiment as "Predicted_Sentiment",
         cast(rule_corrected as varchar) as "Rule_Corrected", count(*) as n,
         cast(sum(length(review_text)) as bigint) as n_chars from predictions group by 1, 2""",
