@@ -10,6 +10,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from reviewmill.functions.lexicon import (CLUSTER_VOCABULARY, CLUSTERS, KEYWORDS_PER_CLUSTER,
                                           MIN_TEXTS_TO_CLUSTER, STOP_WORDS)
@@ -37,7 +38,7 @@ def group_weights(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> Da
         .select("report_id", "term", "idf")
     )
     weighted = counts.join(terms, ["report_id", "term"]).withColumn("w", raw_weight(False))
-    unit = Window.partitionBy("report_id", "id")
+    unit = Window.partitionBy("report_id", "position")
     return weighted.select("report_id", "id", "position", "term", (
         F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(unit))).alias("weight"))
 
@@ -68,29 +69,31 @@ def kmeans_labels(matrix: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
 
 
 def cluster_groups(docs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Rows (report_id, id, cluster_id) of the groups that have six texts and two terms."""
+    """Rows (report_id, position, cluster_id) of the groups that have six texts and two
+    terms. A text is known by its position in the group, whatever its id."""
     def label(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows.drop_duplicates("id").sort_values("position")["id"].tolist()
+        places = sorted(set(rows["position"]))
         terms = sorted({t for t in rows["term"] if isinstance(t, str)})
         if len(terms) < 2:
-            return pd.DataFrame({"report_id": [], "id": [], "cluster_id": []})
-        table = rows.dropna(subset=["term"]).pivot(index="id", columns="term", values="weight")
-        matrix = table.reindex(index=ids, columns=terms).fillna(0.0).to_numpy()
-        k = max(2, min(CLUSTERS, len(ids) // 2))
-        return pd.DataFrame({"report_id": key[0], "id": ids, "cluster_id": kmeans_labels(matrix, k)})
+            return pd.DataFrame({"report_id": [], "position": [], "cluster_id": []})
+        table = rows.dropna(subset=["term"]).pivot(index="position", columns="term", values="weight")
+        matrix = table.reindex(index=places, columns=terms).fillna(0.0).to_numpy()
+        k = max(2, min(CLUSTERS, len(places) // 2))
+        return pd.DataFrame({"report_id": key[0], "position": places, "cluster_id": kmeans_labels(matrix, k)})
 
     n = F.count("*").over(Window.partitionBy("report_id"))
-    enough = docs.select("report_id", "id", "position", n.alias("_n")).where(
+    enough = docs.select("report_id", "position", n.alias("_n")).where(
         F.col("_n") >= MIN_TEXTS_TO_CLUSTER).drop("_n")
     # texts without a term of the vocabulary stay in as zero rows
-    rows = enough.join(weighted.drop("position"), ["report_id", "id"], "left")
-    return rows.groupBy("report_id").applyInPandas(label, "report_id long, id long, cluster_id int")
+    rows = enough.join(weighted.select("report_id", "position", "term", "weight"), ["report_id", "position"], "left")
+    return rows.groupBy("report_id").applyInPandas(label, StructType([
+        docs.schema["report_id"], docs.schema["position"], StructField("cluster_id", IntegerType())]))
 
 
 def group_clusters(weighted: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (report_id, cluster_id, size, keywords)."""
     sizes = labels.groupBy("report_id", "cluster_id").agg(F.count("*").alias("size"))
-    mean = weighted.join(labels, ["report_id", "id"]).groupBy("report_id", "cluster_id", "term").agg(
+    mean = weighted.join(labels, ["report_id", "position"]).groupBy("report_id", "cluster_id", "term").agg(
         F.sum("weight").alias("_w")).join(sizes, ["report_id", "cluster_id"]).select(
         "report_id", "cluster_id", "term", cut(F.col("_w") / F.col("size")).alias("_w"))
     place = F.row_number().over(Window.partitionBy("report_id", "cluster_id").orderBy(

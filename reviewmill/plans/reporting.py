@@ -38,7 +38,7 @@ def _cluster(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     turn = F.row_number().over(Window.partitionBy("report_id", "cluster_id").orderBy("position"))
     sizes = clusters.select("report_id", "cluster_id", "size")
     placed = (
-        docs.join(labels, ["report_id", "id"], "left")
+        docs.join(labels, ["report_id", "position"], "left")
         .join(sizes, ["report_id", "cluster_id"], "left")
         # without clusters the order of retrieval stays
         .withColumn("_turn", F.when(F.col("cluster_id").isNull(), F.col("position")).otherwise(turn))

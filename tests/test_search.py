@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from reviewmill.operators import embedding, search
 from reviewmill.plans.catalog import QUERIES
+from reviewmill.session import new_table_path
 
 DIM = 8
 
@@ -40,10 +41,10 @@ def brute(vectors, q, k, wanted=None):
     return [(q, r + 1, i, max(0.0, min(1.0, scores[i]))) for r, i in enumerate(best)]
 
 
-@pytest.mark.parametrize("per_pass", [1024, 2])
+@pytest.mark.parametrize("per_pass", [8 << 20, 300])
 @pytest.mark.parametrize("filters", [(None,), ("Negative",), (None, "Positive", "Absent")])
 def test_topk_is_exact(spark, monkeypatch, index, vectors, per_pass, filters):
-    monkeypatch.setattr(search, "QUERIES_PER_PASS", per_pass)
+    monkeypatch.setattr(search, "PASS_BYTES", per_pass)
     asked = queries(spark, vectors, 6, filters)
     got = sorted(rows(search.topk(index, asked).select("query_id", "rank", "id", "score")))
     want = []
@@ -52,6 +53,50 @@ def test_topk_is_exact(spark, monkeypatch, index, vectors, per_pass, filters):
     assert got == sorted(want)
 
 
+@pytest.fixture(scope="module")
+def grouped(spark, index):
+    search.ROWS_PER_GROUP = 20
+    return search.group_index(index, new_table_path(spark, "grouped"))
+
+
+@pytest.mark.parametrize("filters", [(None,), ("Negative",), (None, "Positive", "Absent")])
+@pytest.mark.parametrize("k", [1, 6, 1000])
+def test_grouped_index_gives_the_same_rows(spark, index, grouped, vectors, filters, k):
+    asked = queries(spark, vectors, k, filters)
+    key = lambda df: sorted(rows(df.select("query_id", "rank", "id", "score")))
+    assert key(search.topk(grouped, asked)) == key(search.topk(index, asked))
+
+
+def test_grouped_index_leaves_far_groups_unread(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = centres[np.arange(600) % 12] + 0.05 * rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = [(f"id{i}", f"t{i}", "Negative", None, [float(v) for v in row]) for i, row in enumerate(x)]
+    data += [(None, "none", "Negative", None, [float(v) for v in x[0]]), ("id0", "again", "Positive", 1.0, [0.0] * 16)]
+    index = spark.createDataFrame(data, "id string, text string, sentiment string, rating double, embedding array<double>")
+    grouped = search.group_index(index, new_table_path(spark, "grouped"))
+    block = search._Block(x[[0, 12]], np.array([5, 5]), [None, None])
+    hits, read = search._grouped_scan(grouped, block)
+    assert grouped.read_share(read) < 0.5
+    asked = spark.createDataFrame([("a", [float(v) for v in x[0]], 5, None), (None, [float(v) for v in x[12]], 5, "Negative")],
+                                  "query_id string, vector array<double>, k int, sentiment_filter string")
+    key = lambda df: sorted(rows(df), key=str)
+    got = key(search.topk(grouped, asked))
+    assert got == key(search.topk(index, asked)) and len(got) == 10
+    scores = search.cut_scores(x @ x[0])
+    want = sorted([(-s, False, f"id{i}") for i, s in enumerate(scores)] + [(-scores[0], True, "")])[:5]
+    assert [(r[2]) for r in got if r[0] == "a"] == [None if none else i for _, none, i in want]
+
+
+def test_search_with_ids_that_are_no_numbers(spark, index, vectors):
+    named = index.withColumn("id", F.concat(F.lit("row_"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    asked = queries(spark, vectors).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    got = sorted(rows(search.search(named, asked).select("query_id", "rank", "id", "text")))
+    want = sorted(rows(search.search(index, queries(spark, vectors)).select("query_id", "rank", "id", "text")))
+    assert got == sorted((f"q{q}", r, f"row_{i:04d}", t) for q, r, i, t in want)
+
+
 def test_k_beyond_the_index_and_blank_queries(spark, index, vectors):
     got = search.search(index, queries(spark, vectors, 1000).withColumn(
         "query", F.when(F.col("query_id") == 5, " ").otherwise(F.col("query"))))
