@@ -405,6 +405,22 @@ def vector_topk(spark, sf_dir):
     return search.topk(_vector_index(spark, sf_dir), queries)
 
 
+@query
+def vector_topk_grouped(spark, sf_dir):
+    """The same over an index written by nearest centre."""
+    index = search.group_index(_vector_index(spark, sf_dir), new_table_path(spark, "grouped-index"))
+    return search.topk(index, _label_queries(spark, sf_dir, F.lit(10), F.lit(None)))
+
+
+@query
+def string_id_search(spark, sf_dir):
+    """Rows and queries named by strings."""
+    index = _vector_index(spark, sf_dir).withColumn("id", F.concat(F.lit("row_"), F.lpad(F.col("id").cast("string"), 12, "0")))
+    queries = _label_queries(spark, sf_dir, F.lit(5), F.lit("Positive")).withColumn(
+        "query_id", F.concat(F.lit("label_"), F.col("query_id").cast("string")))
+    return search.result_table(search.search(index, queries)).select("query_id", "rank", "id", "sentiment", "rating")
+
+
 @query
 def vector_topk_filtered(spark, sf_dir):
     queries = _label_queries(spark, sf_dir, F.lit(10), F.when(
@@ -491,6 +507,24 @@ def full_fingerprint(spark, sf_dir):
                                          "category")
 
 
+@query
+def index_upkeep(spark, sf_dir):
+    """An index with embeddings that is built, grows and is used again: rows of the index
+    and rows embedded at each step."""
+    root = new_table_path(spark, "kept-index")
+    rows = materialise(embedding.index_rows(corrected(spark, sf_dir), "review_id", "review_text",
+                                            "Predicted_Sentiment", "rating"), "index-rows")
+    embed = lambda df: embedding.embed_by_hashing(df, "text", 64)
+    found = None
+    for step, parts in (("built", [0]), ("appended", [0, 1]), ("again", [0, 1])):
+        index, embedded = index_tables.keep_up(spark, root, rows.where((F.col("id") % 3).isin(parts)),
+                                               ["id", "text", "sentiment", "rating"], embed)
+        counted = materialise(index.agg(F.lit(step).alias("step"), F.count("embedding").alias("n"),
+                                        F.lit(embedded).cast("long").alias("embedded")), "upkeep")
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
 # ---- CSV ----
 
 CSV_KINDS = ["comma", "semicolon", "tab", "pipe"]

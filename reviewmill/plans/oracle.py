@@ -285,6 +285,10 @@ KEYWORDS = ["late", " Fabric ", "battery", "kurang", "the size", "a_b%", "the"]
 
 CSV = """with kinds(kind) as (values ('comma'), ('semicolon'), ('tab'), ('pipe'))"""
 
+FIELDS = ", ".join(
+    f"case when {c} is null then '-' else concat(octet_length(encode({c})), ':', {c}) end"
+    for c in ("cast(review_id as varchar)", "review_text", "rating", "category"))
+
 ORACLE: dict[str, str] = {
     "clean_text": f"""with reviews as ({REVIEWS})
         select review_id, trim(coalesce(category, ''), {SPACES}) as category_text,
@@ -411,6 +415,9 @@ ORACLE: dict[str, str] = {
     "vector_topk_filtered": topk("10", "case when query_id % 2 = 0 then 'Negative' else 'Positive' end"),
     "filter_fallback": topk("7", "case when query_id % 2 = 0 then 'Mixed' else 'Negative' end"),
     "widening_topk": topk("5 + 5 * (query_id % 3)", "cast(null as varchar)"),
+    "vector_topk_grouped": topk("10", "cast(null as varchar)"),
+    "string_id_search": topk("5", "'Positive'", """concat('label_', query_id) as query_id, rank,
+        concat('row_', lpad(cast(id as varchar), 12, '0')) as id, sentiment, rating"""),
     "search_results": topk("5", "'Positive'", f"""query_id, rank, id,
         {percent('greatest(0, least(1, score))')} as "match", sentiment, rating, text"""),
     "index_table": f"""with {PREDICTED} select review_id as id, predicted_sentiment as sentiment,
@@ -424,8 +431,16 @@ ORACLE: dict[str, str] = {
         select md5(concat('review_text:', (select count(*) from reviews), ':',
           string_agg(review_text, '||' order by review_id))) as fingerprint from first""",
     "full_fingerprint": f"""with reviews as ({REVIEWS}) select count(*) as n,
-        bit_xor(cast('0x' || substr(md5(concat_ws(chr(31), cast(review_id as varchar), review_text,
-          coalesce(rating, chr(0)), coalesce(category, chr(0)))), 1, 15) as bigint)) as digest from reviews""",
+        cast(coalesce(sum(cast('0x' || substr(md5(row), 1, 15) as bigint)), 0) as varchar) as digest_a,
+        cast(coalesce(sum(cast('0x' || substr(md5(row), 17, 15) as bigint)), 0) as varchar) as digest_b
+        from (select concat({FIELDS}) as row from reviews)""",
+    "index_upkeep": f"""with {PREDICTED}, parts as (select review_id, review_id % 3 as part, review_text, predicted_sentiment
+          from predictions where trim(review_text, {SPACES}) <> ''),
+        steps(step, upto) as (values ('built', 1), ('appended', 2), ('again', 2))
+        select step, cast(count(*) filter (where part < upto or (upto = 2 and part = 0)) as bigint) as n,
+          cast(case step when 'built' then count(*) filter (where part = 0)
+            when 'appended' then count(*) filter (where part = 1) else 0 end as bigint) as embedded
+        from parts, steps group by step""",
     "csv_scan_info": f"""{CSV} select kind, 'utf-8-sig' as encoding, kind as delimiter,
         cast(count(*) filter (where doc_id % 10 <> 3) as bigint) as rows,
         cast(count(*) filter (where doc_id % 10 = 3) as bigint) as rows_skipped, cast(0 as bigint) as errors

@@ -8,12 +8,15 @@ from reviewmill.operators import correction, insights, routing
 from reviewmill.operators.skew import top_n_per_group
 from reviewmill.plans.catalog import QUERIES
 from reviewmill.plans.oracle import ORACLE
+from reviewmill.session import new_table_path
+from reviewmill.sources import index_tables
 
 # Search multiplies matrices in Arrow batches and the CSV queries write their own files.
 WITH_PYTHON = {"vector_topk", "vector_topk_filtered", "filter_fallback", "widening_topk", "search_results",
-               "csv_scan_info", "csv_scan_rows"}
+               "csv_scan_info", "csv_scan_rows", "csv_encodings", "csv_unusable_files", "vector_topk_grouped",
+               "string_id_search"}
 # These run jobs of their own before they return a plan.
-EAGER = {"prediction_export", "index_reuse", "cluster_table", "cluster_summary", "cluster_keywords",
+EAGER = {"prediction_export", "index_reuse", "index_upkeep", "cluster_table", "cluster_summary", "cluster_keywords",
          "cluster_representatives", "tfidf_weights", "feature_vectors", "linear_score"}
 
 
@@ -65,3 +68,39 @@ def test_row_wise_operators_take_a_stream(spark, tmp_path):
     handle.awaitTermination(60)
     assert sorted(map(tuple, spark.table("row_wise").collect()), key=str) == sorted(
         map(tuple, work(source).collect()), key=str)
+
+
+def test_fingerprint_is_that_of_a_multiset(spark):
+    def key(*texts):
+        df = spark.createDataFrame([(t, "y") for t in texts], "a string, b string").repartition(3)
+        return tuple(index_tables.full_fingerprint(df, "a", "b").first())
+    assert key("a", "a", "c") != key("b", "b", "c")
+    assert key("a", "b", "c") == key("c", "a", "b")
+    one = spark.createDataFrame([("x\x1f", "y")], "a string, b string")
+    two = spark.createDataFrame([("x", "\x1fy")], "a string, b string")
+    none = spark.createDataFrame([(None, "y"), ("-", "y")], "a string, b string")
+    first = lambda df: tuple(index_tables.full_fingerprint(df, "a", "b").first())
+    assert first(one) != first(two)
+    assert first(none.where("a is null")) != first(none.where("a is not null"))
+    assert first(none.limit(0)) == (0, "0", "0")
+
+
+def test_index_embeds_a_row_once(spark):
+    root, seen = new_table_path(spark, "kept"), []
+
+    def build(df):
+        seen.append(sorted(r["text"] for r in df.select("text").collect()))
+        return df.withColumn("embedding", F.array(F.length("text").cast("float")))
+
+    table = lambda rows: spark.createDataFrame(rows, "id string, text string, rating double")
+    rows = [("a", "one", 1.0), ("b", "two", None), ("b", "two", None), (None, "three", 2.0)]
+    index, n = index_tables.keep_up(spark, root, table(rows), ["id", "text", "rating"], build)
+    assert n == 3 and sorted(map(str, index.drop("embedding").collect())) == sorted(map(str, table(rows).collect()))
+    more = [*rows[1:], ("a", "one", 5.0), ("c", "four", 1.0)]
+    index, n = index_tables.keep_up(spark, root, table(more), ["id", "text", "rating"], build)
+    assert n == 2 and sorted(map(str, index.drop("embedding").collect())) == sorted(map(str, table(more).collect()))
+    index, n = index_tables.keep_up(spark, root, table(more), ["id", "text", "rating"], build)
+    assert n == 0 and index.count() == 5 and index.where("embedding is null").count() == 0
+    assert seen == [["one", "three", "two"], ["four", "one"]]
+    empty, n = index_tables.keep_up(spark, new_table_path(spark, "kept"), table([]), ["id", "text", "rating"], build)
+    assert n == 0 and empty.count() == 0 and "embedding" in empty.columns
