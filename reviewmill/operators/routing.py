@@ -2,8 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewmill.functions.lexicon import (DOMAIN_KEYWORDS, GENERAL_DOMAIN, INDONESIAN_KEYWORDS,
-                                          ROUTING_ROWS)
+from reviewmill.functions.lexicon import DOMAIN_KEYWORDS, GENERAL_DOMAIN, INDONESIAN_KEYWORDS
 from reviewmill.functions.text import clean_text, keyword_hits
 from reviewmill.operators.skew import broadcast_if_small, top_n_per_group
 from reviewmill.session import materialise
@@ -49,24 +48,23 @@ def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def route_datasets(df: DataFrame, id_col: str, text_col: str, dataset_col: str | None = None,
-                   rows: int = ROUTING_ROWS) -> DataFrame:
-    """Domain and language of a dataset, from its first rows by id.
+                   rows: int | None = None) -> DataFrame:
+    """Domain and language of a dataset, from all its rows or, if `rows` is given, its
+    first rows by id.
 
-    With `dataset_col` one row per dataset, otherwise one row for the table; an
-    empty table is general and English.
+    Hits are counted in the row and added up in the map tasks. With `dataset_col` one row
+    per dataset, otherwise one row for the table; an empty table is general and English.
     """
-    if dataset_col is None:
-        first, keys = first_rows(df.select(id_col, text_col), id_col, rows), []
-    else:
-        ids = df.select(dataset_col, id_col)
-        keys = [dataset_col]
-        chosen = materialise(
-            top_n_per_group(ids, keys, [F.col(id_col)], rows, F.col(id_col), rank="_rank"),
+    keys = [] if dataset_col is None else [dataset_col]
+    chosen = df.select(*keys, id_col, text_col)
+    if rows is not None and dataset_col is None:
+        chosen = first_rows(chosen, id_col, rows)
+    elif rows is not None:
+        first = materialise(
+            top_n_per_group(df.select(dataset_col, id_col), keys, [F.col(id_col)], rows, F.col(id_col), rank="_rank"),
             "routing-rows")
         # joined on the row id, not on the dataset: one dataset may hold most rows
-        first = df.select(dataset_col, id_col, text_col).join(
-            broadcast_if_small(chosen.select(id_col)), id_col, "left_semi")
-    hits = with_hits(first, text_col)
-    totals = hits.groupBy(*keys).agg(
+        chosen = chosen.join(broadcast_if_small(first.select(id_col)), id_col, "left_semi")
+    totals = with_hits(chosen.select(*keys, text_col), text_col).groupBy(*keys).agg(
         *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in HITS])
     return _decide(totals, *keys)

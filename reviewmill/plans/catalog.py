@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reviewmill.functions import numbers, text
 from reviewmill.functions.lexicon import DOMAIN_KEYWORDS, ERROR_MARK, STOP_WORDS
 from reviewmill.operators import (aspects, columns, correction, embedding, evaluation, insights,
-                                  reports, routing, search, sentiment, skew, tfidf)
+                                  keywords, reports, routing, search, sentiment, skew, tfidf)
 from reviewmill.plans import reporting
 from reviewmill.plans.reviews import corrected, predicted, review_texts, reviews, with_products
 from reviewmill.session import materialise, new_table_path
@@ -184,6 +184,15 @@ def keyword_filter(spark, sf_dir):
     return insights.keyword_matches(review_texts(spark, sf_dir), "review_text", KEYWORDS)
 
 
+@query
+def keyword_table(spark, sf_dir):
+    """Every longer word of the benchmark texts as a keyword: reviews that contain it."""
+    words = tables.read_table(spark, f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all(
+        "text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("keyword"))
+    found = keywords.match_keywords(review_texts(spark, sf_dir), "review_text", words, keep=["review_id"])
+    return found.groupBy("keyword").agg(F.count("*").alias("n"), F.min("review_id").alias("first_id"))
+
+
 @query
 def negative_sample(spark, sf_dir):
     return insights.negative_sample(corrected(spark, sf_dir), "review_id", "review_text", 15).select(

@@ -96,9 +96,8 @@ SUMS = ", ".join(f"cast(coalesce(sum({n}_hits), 0) as bigint) as {n}_hits"
                  for n in [*DOMAIN_KEYWORDS, "indonesian"])
 ROW_HITS = f"row_hits as (select review_id, {HITS} from (select *, lower(review_text) as t from reviews))"
 DATASET_ROUTES = f"""
-placed as (select *, row_number() over (partition by grp order by review_id) as place,
-             lower(review_text) as t from predictions),
-routes as (select grp, {SUMS} from (select grp, {HITS} from placed where place <= 100) group by grp),
+routes as (select grp, {SUMS} from (select grp, {HITS} from (
+             select grp, lower(review_text) as t from predictions)) group by grp),
 routed as (select *, {ROUTE} from routes)"""
 
 WORDS = r"regexp_extract_all(lower(review_text), '[\p{L}\p{N}_]{2,}')"
@@ -312,7 +311,7 @@ ORACLE: dict[str, str] = {
     "keyword_hits": f"with reviews as ({REVIEWS}), {ROW_HITS} select * from row_hits",
     "domain_language_row": f"with reviews as ({REVIEWS}), {ROW_HITS} select *, {ROUTE} from row_hits",
     "domain_language_table": f"""with reviews as ({REVIEWS}),
-        first as (select *, lower(review_text) as t from reviews order by review_id limit 100),
+        first as (select *, lower(review_text) as t from reviews),
         totals as (select {SUMS} from (select {HITS} from first)) select *, {ROUTE} from totals""",
     "domain_language_dataset": f"""with {PREDICTED}, {DATASET_ROUTES}
         select grp as dataset, * exclude (grp) from routed""",
@@ -340,6 +339,10 @@ ORACLE: dict[str, str] = {
     "keyword_filter": f"with reviews as ({REVIEWS}) " + " union all ".join(
         f"select '{k.strip().lower()}' as keyword, count(*) filter (where contains(lower(review_text), "
         f"'{k.strip().lower()}')) as n from reviews" for k in KEYWORDS),
+    "keyword_table": f"""with reviews as ({REVIEWS}),
+        words as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}'))) as keyword from benchmark)
+        select keyword, count(*) as n, min(review_id) as first_id from words
+        join reviews on contains(lower(review_text), keyword) group by 1""",
     "negative_sample": f"""with {PREDICTED} select review_id, length(review_text) as n_chars
         from predictions where predicted_ind = 0 and trim(review_text, {SPACES}) <> ''
         order by {SAMPLE_KEY}, review_id limit 15""",

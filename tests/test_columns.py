@@ -2,6 +2,7 @@ import pytest
 
 from conftest import rows
 from reviewmill.operators.columns import column_profile, find_roles
+from reviewmill.operators.keywords import match_keywords
 from reviewmill.operators.routing import route_datasets, route_rows
 from reviewmill.sources.tables import base_training_rows, require_columns
 
@@ -74,9 +75,26 @@ def test_routing_rules(spark):
     assert route_datasets(df.limit(0), "id", "t").select("domain", "language").first()[:] == ("general", "English")
 
 
-def test_only_first_rows_route(spark):
-    df = spark.createDataFrame([(i, "shirt" if i < 100 else "battery screen") for i in range(500)], "id int, t string")
-    assert route_datasets(df, "id", "t").first()["domain"] == "clothing"
+def test_all_rows_route_unless_told_otherwise(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "shirt" if i < 100 else "battery screen") for i in range(500)],
+                               "id int, ds string, t string")
+    assert route_datasets(df, "id", "t").first()["domain"] == "electronics"
+    assert route_datasets(df, "id", "t", rows=100).first()["domain"] == "clothing"
+    assert {r["domain"] for r in route_datasets(df, "id", "t", "ds").collect()} == {"electronics"}
+    assert {r["domain"] for r in route_datasets(df, "id", "t", "ds", rows=50).collect()} == {"clothing"}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 2}])
+def test_keyword_table_agrees_with_single_filters(spark, bounds):
+    texts = [(0, "Good DRESS, good price"), (1, None), (2, "the Größe is wrong"), (3, "  "), (3, "redress and dress")]
+    words = ["dress", " GOOD ", "ress a", "größe", "zzz", "", "Dress", None, "(", "good price"]
+    df = spark.createDataFrame(texts, "id int, t string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = sorted(rows(match_keywords(df, "t", table, keep=["id"], **bounds)))
+    want = sorted((k, i) for k in {w.strip().lower() for w in words if w is not None}
+                  for i, t in texts if k in (t or "").lower())
+    assert got == want
+    assert match_keywords(df, "t", table.limit(0), keep=["id"]).count() == 0
 
 
 def test_correction_leaves_rows_without_a_prediction(spark):
