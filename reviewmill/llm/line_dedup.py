@@ -8,14 +8,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reviewmill.llm.common import lists, materialise
+from reviewmill.llm.common import bounded_broadcast, lists, materialise
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: ASCII white space, stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
-#: Segments of the filters, bits per expected hash, probes per hash, and the most bytes
-#: that the twice-seen filter may have when it is handed to the tasks.
-SEGMENTS, BITS, PROBES, MAX_BYTES = 64, 16, 4, 32 << 20
+#: Hashes of a segment of the filters, about; bits per expected hash, probes per hash, and
+#: the most bytes of twice-seen filters that are handed to all tasks.
+SEGMENT_HASHES, BITS, PROBES, MAX_BYTES = 1 << 20, 16, 4, 32 << 20
+#: Tasks that share the hashes of a segment when they are probed.
+SALTS = 8
 #: From this share of bits on, a filter is not folded further.
 FOLD_BELOW = 0.12
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -45,9 +47,10 @@ def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
         return [((first + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def segment(h: np.ndarray) -> np.ndarray:
+def segment(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a hash; their number is a power of two."""
     with np.errstate(over="ignore"):
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)).astype(np.int64)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (segments - 1)
 
 
 class TwoFilters:
@@ -77,55 +80,80 @@ class TwoFilters:
 
 
 def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(__segment, __h): the hash of every key of a document, once a document."""
+    """(__h): the hash of every key of a document, once a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in lists(batches, "__text"):
             h = digest([k for t in texts for k in document_keys(t, min_chars)])
-            yield pa.RecordBatch.from_arrays([pa.array(segment(h)), pa.array(h.view(np.int64))],
-                                             names=["__segment", "__h"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["__h"])
 
-    return docs.select("__text").mapInArrow(run, "__segment long, __h long")
+    return docs.select("__text").mapInArrow(run, "__h long")
 
 
-def twice_seen(hashes: DataFrame, max_bytes: int = MAX_BYTES) -> dict[int, bytes]:
-    """The twice-seen filter by segment, of at most max_bytes in all.
+def twice_seen(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """The written rows (segment, bits) of the twice-seen filter, and the number of its
+    segments, which follows the number of hashes.
 
-    A segment's hashes meet in one task, which fills both filters in fixed memory. At
-    the bound more lines pass by mistake; they are only compared in vain.
+    A segment's hashes meet in one task, which fills both filters in fixed memory. Hashes
+    that a batch holds several times go there once.
     """
     count = hashes.count()
+    segments = 64
+    while segments * SEGMENT_HASHES < count:
+        segments *= 2
     bits = 64
-    while bits < count * BITS / SEGMENTS and bits * 2 * SEGMENTS <= max_bytes * 8:
+    while bits < count * BITS / segments:
         bits *= 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, TwoFilters] = {}
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, h = batch.column("__segment").to_numpy(), batch.column("__h").to_numpy().view(np.uint64)
-            for s in np.unique(parts):
-                filters.setdefault(int(s), TwoFilters(bits)).add(h[parts == s])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(filters), pa.int64()), pa.array([f.folded() for f in filters.values()], pa.binary())],
-            names=["segment", "bits"])
-
-    rows = hashes.repartition("__segment").mapInArrow(run, "segment long, bits binary").collect()
-    return {r["segment"]: bytes(r["bits"]) for r in rows}
-
+            h, n = np.unique(batch.column("__h").to_numpy().view(np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(segment(h, segments)), pa.array(h.view(np.int64)), pa.array(n > 1)],
+                names=["segment", "h", "again"])
 
-def suspected(filters: dict[int, np.ndarray], h: np.ndarray) -> np.ndarray:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[int, TwoFilters] = {}
+        last = None
+        for batch in batches:
+            parts, h = batch.column("segment").to_numpy(), batch.column("h").to_numpy().view(np.uint64)
+            again = batch.column("again").to_numpy(zero_copy_only=False)
+            for s in np.unique(parts).tolist():
+                mine = parts == s
+                filters.setdefault(s, TwoFilters(bits)).add(np.concatenate([h[mine], h[mine & again]]))
+            last = int(parts[-1]) if len(parts) else last
+            for s in [s for s in filters if s != last]:  # sorted: the others are complete
+                yield packed(s, filters.pop(s))
+        for s, found in filters.items():
+            yield packed(s, found)
+
+    def packed(s: int, found: TwoFilters) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([found.folded()], pa.binary())],
+                                          names=["segment", "bits"])
+
+    thin = hashes.mapInArrow(distinct, "segment long, h long, again boolean")
+    return materialise(thin.repartition("segment").sortWithinPartitions("segment").mapInArrow(
+        fill, "segment long, bits binary"), "line-filters"), segments
+
+
+def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes of a segment its filter holds."""
+    ok = np.ones(len(h), dtype=bool)
+    for p in probes(h, len(bits) * 8):
+        ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def suspected(filters: dict[int, np.ndarray], h: np.ndarray, segments: int) -> np.ndarray:
     """Which hashes may have been seen twice."""
-    hit, parts = np.zeros(len(h), dtype=bool), segment(h)
+    hit, parts = np.zeros(len(h), dtype=bool), segment(h, segments)
     for s in np.unique(parts):
         if (bits := filters.get(int(s))) is not None:
             mine = np.flatnonzero(parts == s)
-            ok = np.ones(len(mine), dtype=bool)
-            for p in probes(h[mine], len(bits) * 8):
-                ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            hit[mine] = ok
+            hit[mine] = probe(bits, h[mine])
     return hit
 
 
-def _suspects(docs: DataFrame, filters: dict[int, bytes], min_chars: int) -> DataFrame:
+def _suspects(docs: DataFrame, filters: dict[int, bytes], segments: int, min_chars: int) -> DataFrame:
     """(__doc_id, __key): the keys of each document that other documents may hold."""
     id_type = docs.schema["__doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
@@ -135,14 +163,68 @@ def _suspects(docs: DataFrame, filters: dict[int, bytes], min_chars: int) -> Dat
         known = {s: np.frombuffer(b, dtype=np.uint8) for s, b in shared.value.items()}
         for ids, texts in lists(batches, "__doc_id", "__text"):
             found = [(i, k) for i, t in zip(ids, texts) for k in document_keys(t, min_chars)]
-            hit = suspected(known, digest([k for _, k in found]))
+            hit = np.flatnonzero(suspected(known, digest([k for _, k in found]), segments))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([found[n][0] for n in np.flatnonzero(hit)], arrow_type),
-                 pa.array([found[n][1] for n in np.flatnonzero(hit)], pa.string())], names=["__doc_id", "__key"])
+                [pa.array([found[n][0] for n in hit], arrow_type),
+                 pa.array([found[n][1] for n in hit], pa.string())], names=["__doc_id", "__key"])
 
     return docs.mapInArrow(run, f"__doc_id {id_type.simpleString()}, __key string")
 
 
+def _suspects_by_segment(docs: DataFrame, filters: DataFrame, segments: int, min_chars: int) -> DataFrame:
+    """The same where the filters are too large for every task: a segment's filter and its
+    hashes meet in the same tasks, and only documents with a suspect are read again."""
+    source = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "line-rows")
+    id_type = docs.schema["__doc_id"].dataType
+    arrow_type = to_arrow_type(id_type)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in lists(batches, "__row", "__text"):
+            keys = [document_keys(t, min_chars) for t in texts]
+            h = digest([k for each in keys for k in each])
+            row = np.repeat(np.array(rows, dtype=np.int64), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(segment(h, segments)), pa.array(row % SALTS), pa.array(row), pa.array(h.view(np.int64))],
+                names=["segment", "salt", "row", "h"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mine = None, None
+        for batch in batches:
+            parts, salts = batch.column("segment").to_numpy(), batch.column("salt").to_numpy()
+            h, rows = (batch.column(c).fill_null(0).to_numpy() for c in ("h", "row"))
+            data = batch.column("bits")
+            filled = data.is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(filled).tolist()
+            for a, b in zip([0, *edges], [*edges, len(parts)]):
+                if a < b and filled[a]:  # a filter comes before its hashes
+                    bits, mine = np.frombuffer(data[a].as_py(), dtype=np.uint8), (parts[a], salts[a])
+                    a += 1
+                of = (parts[a:b] == mine[0]) & (salts[a:b] == mine[1]) if mine else np.zeros(b - a, dtype=bool)
+                found = np.flatnonzero(of)
+                found = a + found[probe(bits, h[a:b][found].view(np.uint64))] if len(found) else found
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[found], pa.int64()), pa.array(h[found], pa.int64())], names=["row", "h"])
+
+    salted = filters.select("segment", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"),
+                            "bits")
+    hashes = source.select("__row", "__text").mapInArrow(hashed, "segment long, salt long, row long, h long")
+    met = hashes.unionByName(salted, allowMissingColumns=True).repartition("segment", "salt").sortWithinPartitions(
+        "segment", "salt", F.col("bits").isNull())
+    suspects = materialise(met.mapInArrow(probed, "row long, h long").groupBy(F.col("row").alias("__row")).agg(
+        F.collect_set("h").alias("__hashes")), "line-suspect-rows")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, hashes in lists(batches, "__doc_id", "__text", "__hashes"):
+            found = [(i, k) for i, t, wanted in zip(ids, texts, map(set, hashes))
+                     for k in document_keys(t, min_chars) if int(digest([k]).view(np.int64)[0]) in wanted]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in found], arrow_type), pa.array([k for _, k in found], pa.string())],
+                names=["__doc_id", "__key"])
+
+    return source.join(bounded_broadcast(suspects), "__row").select("__doc_id", "__text", "__hashes").mapInArrow(
+        lines, f"__doc_id {id_type.simpleString()}, __key string")
+
+
 def _kept(docs: DataFrame) -> DataFrame:
     """(__doc_id, n_lines, n_dropped, kept_text) of (__doc_id, __text, __drop)."""
     id_type = docs.schema["__doc_id"].dataType
@@ -167,21 +249,30 @@ def _kept(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+                        min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+                        max_bytes: int = MAX_BYTES) -> DataFrame:
     """Rows (doc_id, n_lines, n_dropped, kept_text), one per document.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. A key
     of enough characters in enough documents loses all its lines but those in the
     document with the largest id. Null and empty texts are one empty line. Rows are
     documents: repeated rows count each, and all rows of the largest id keep the line;
-    null ids are the smallest. An empty table gives no rows.
+    null ids are the smallest. An empty table gives no rows. Texts and lines may be of any
+    length; other columns are not read.
 
     Only hashes of eight bytes are shuffled for all lines; a line travels only if the
     twice-seen filter suspects it, and counts are exact.
     """
     source = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__text"))
     hashes = materialise(_hashes(source, min_chars), "line-hashes")
-    suspects = materialise(_suspects(source, twice_seen(hashes), min_chars), "line-suspects")
+    filters, segments = twice_seen(hashes)
+    size = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    if size <= max_bytes:
+        known = {r["segment"]: bytes(r["bits"]) for r in filters.collect()}  # at most max_bytes
+        suspects = _suspects(source, known, segments, min_chars)
+    else:
+        suspects = _suspects_by_segment(source, filters, segments, min_chars)
+    suspects = materialise(suspects, "line-suspects")
     repeated = suspects.groupBy("__key").agg(F.count("*").alias("__n"), F.max("__doc_id").alias("__last")).where(
         F.col("__n") >= min_docs)
     drops = suspects.join(repeated, "__key").where(~F.col("__doc_id").eqNullSafe(F.col("__last"))).select(

@@ -262,6 +262,26 @@ def test_saturated_filters_only_suspect_more(docs, monkeypatch):
     assert sorted(map(str, line_dedup.drop_repeated_lines(docs).collect())) == want
 
 
+def test_filters_above_the_bound_stay_where_they_are(spark, docs, none):
+    want = sorted(map(str, line_dedup.drop_repeated_lines(docs).collect()))
+    assert sorted(map(str, line_dedup.drop_repeated_lines(docs, max_bytes=1).collect())) == want
+    assert line_dedup.drop_repeated_lines(none, max_bytes=-1).count() == 0
+
+
+def test_few_lines_are_suspected_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SEGMENT_HASHES", 16)
+    texts = [(i, "\n".join([f"{i} {j} a line of its own that is long enough for a key" for j in range(12)]
+                           + ["a line that all documents share, longer than forty"])) for i in range(600)]
+    docs = spark.createDataFrame(texts, "__doc_id long, __text string").repartition(5)
+    filters, segments = line_dedup.twice_seen(line_dedup._hashes(docs, 40))
+    assert segments == 512 and filters.count() <= 512
+    found = line_dedup._suspects_by_segment(docs, filters, segments, 40)
+    shared = found.where("__key like 'a line that all%'").count()
+    assert shared == 600 and found.count() - shared < 0.05 * 600 * 12
+    again = line_dedup._suspects(docs, {r[0]: bytes(r[1]) for r in filters.collect()}, segments, 40)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+
+
 @pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (3, 2)])
 def test_exact(docs, none, primes):
     low = lambda t: (t or "").encode().lower()
