@@ -60,11 +60,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """The pages with host, path, rule and verdict (which replace columns of that name).
 
     A rule fits its host and all subdomains, where the path starts with the rule's; the
-    longest rule wins (of equally long ones that with the longer host). A URL that no
+    longest rule wins (of equally long ones that with the longer host); of rules of one
+    host and path, block wins. A URL that no
     rule fits gets the default and a null rule; null URLs and those without :// have
     empty host and path and fit none. Repeated URLs get one verdict each.
     """
-    rules = materialise(rules.dropDuplicates(["host", "path"]), "url-rules")
+    rules = materialise(rules.groupBy("host", "path").agg(
+        F.when(F.bool_or(F.col("verdict") == "block"), "block").otherwise(F.min("verdict")).alias("verdict")), "url-rules")
     shape = rules.agg(F.count("*"), F.max(F.size(F.split("host", r"\."))),
                       F.sort_array(F.collect_set(F.char_length("path")))).first()
     blocks = 1
