@@ -92,15 +92,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per document.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
-    equal texts the row with the largest id stays (null ids are the smallest; repeated
-    rows of the largest id count as one document and all stay). An empty table gives no rows.
+    equal texts the row with the largest id stays: one row, also where the largest id is
+    repeated or null (nulls are the smallest). An empty table gives no rows.
 
     Equal fingerprints and lengths only suggest equality. Rows that share them are
     compared chunk by chunk with the row of the largest id; those that differ are
     compared among themselves in a further round, until none is left.
     """
     source = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__text"))
-    prints = materialise(_fingerprints(source, primes), "exact-prints")
+    prints = materialise(_fingerprints(source, primes).withColumn("__number", F.monotonically_increasing_id()),
+                         "exact-prints")
     open_rows, rounds = prints.withColumn("__round", F.lit(0)), []
     while True:
         # sums are written before they are joined, so that a hot group's partition can be split
@@ -134,8 +135,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for more in rounds[1:]:
         done = done.unionByName(more)
     keys = ["__fp", "__bytes", "__round"]
-    groups = materialise(done.groupBy(*keys).agg(F.max("__doc_id").alias("__keep"), F.count("*").alias("__size")),
-                         "exact-groups")
+    groups = materialise(done.groupBy(*keys).agg(
+        F.max(F.struct("__doc_id", "__number")).alias("__keep"), F.count("*").alias("__size")), "exact-groups")
     return done.join(groups, keys).select(
-        F.col("__doc_id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
-        F.col("__doc_id").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__sha").alias("text_sha256"))
+        F.col("__doc_id").alias(id_col), F.col("__keep.__doc_id").alias("keep_id"), F.col("__size").alias("group_size"),
+        (F.col("__number") == F.col("__keep.__number")).alias("kept"), F.col("__sha").alias("text_sha256"))

@@ -89,7 +89,7 @@ FROM split LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (host, path)
 OP5 = """
 WITH d AS (SELECT doc_id, sha256(%s) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW same AS (PARTITION BY text_sha256)
 """ % LOWER.format("coalesce(text, '')")
 
