@@ -2,12 +2,12 @@
 
 from collections.abc import Iterable
 
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.functions.lexicon import (CLUSTER_VOCABULARY, CLUSTERS, KEYWORDS_PER_CLUSTER,
                                           MIN_TEXTS_TO_CLUSTER, SAMPLES_PER_CLUSTER, STOP_WORDS)
 from reviewmill.functions.text import clean_text, is_not_blank, strip
+from reviewmill.operators import many_starts
 from reviewmill.operators.skew import broadcast_if_small, top_n_per_group
 from reviewmill.operators.tfidf import feature_vectors, fit_terms, indexed_terms, weights
 from reviewmill.session import materialise
@@ -27,7 +27,8 @@ def cluster_terms(texts: DataFrame, id_col: str, text_col: str,
 def cluster_reviews(texts: DataFrame, id_col: str, text_col: str, n_clusters: int = CLUSTERS,
                     stop_words: Iterable[str] = STOP_WORDS) -> DataFrame | None:
     """Rows (id, cluster_id) for every text that is not blank, or None where there are
-    too few texts or terms to cluster. The best of ten starts is kept."""
+    too few texts or terms to cluster. The best of ten starts is kept; all of them move in
+    the same passes over the vectors."""
     valid = texts.where(is_not_blank(F.col(text_col))).select(
         id_col, strip(clean_text(F.col(text_col))).alias(text_col))
     n = valid.count()
@@ -40,14 +41,14 @@ def cluster_reviews(texts: DataFrame, id_col: str, text_col: str, n_clusters: in
     vectors = feature_vectors(valid, id_col, text_col, indexed_terms(terms), size, stop_words,
                               sublinear=False)
     k = max(2, min(n_clusters, n // 2))
-    cached = vectors.persist()
+    ready = materialise(vectors.select(id_col, F.unwrap_udt("features").alias("_f")).select(
+        id_col, F.xxhash64("_f", F.col(id_col).cast("string")).alias("_digest"), F.col("_f.indices").alias("_indices"),
+        F.col("_f.values").alias("_values")), "cluster-vectors").persist()
     try:
-        fits = [KMeans(k=k, seed=SEED + i, maxIter=MAX_ITERATIONS, featuresCol="features",
-                       predictionCol="cluster_id").fit(cached) for i in range(STARTS)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return materialise(best.transform(cached).select(id_col, "cluster_id"), "clusters")
+        centres, _, _ = many_starts.kmeans(ready, size, k, STARTS, MAX_ITERATIONS, SEED)
+        return materialise(many_starts.assign(ready, id_col, centres), "clusters")
     finally:
-        cached.unpersist()
+        ready.unpersist()
 
 
 def cluster_weights(labelled: DataFrame, id_col: str, text_col: str, cluster_col: str,

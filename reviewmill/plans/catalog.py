@@ -701,6 +701,34 @@ def aspect_clusters(spark, sf_dir):
     return aspects.cluster_reviews(negative, "review_id", "review_text")
 
 
+@query
+def aspect_cluster_check(spark, sf_dir):
+    """The clustering as a fixed point: rows with a cluster, clusters, and rows that lie
+    nearer to the mean of another cluster than to their own."""
+    negative = materialise(corrected(spark, sf_dir).where(F.col("Predicted_IND") == 0).select(
+        "review_id", "review_text"), "negatives")
+    labels = aspects.cluster_reviews(negative, "review_id", "review_text")
+    terms, _ = aspects.cluster_terms(negative, "review_id", "review_text")
+    weighted = materialise(tfidf.weights(negative, "review_id", "review_text", terms, STOP_WORDS, sublinear=False),
+                           "check-weights")
+    sums = weighted.join(labels, "review_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("w"))
+    sizes = labels.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    means = materialise(sums.join(sizes, "cluster_id").select("cluster_id", "term", (F.col("w") / F.col("n")).alias("m")),
+                        "check-means")
+    # |x - c|^2 without the text's own length; at most four numbers a text
+    squares = means.groupBy("cluster_id").agg(F.sum(F.col("m") * F.col("m")).alias("square"))
+    inner = weighted.join(skew.broadcast_if_small(means), "term").groupBy("review_id", "cluster_id").agg(
+        F.sum(F.col("weight") * F.col("m")).alias("dot"))
+    far = labels.select("review_id", F.col("cluster_id").alias("own"), F.explode(F.array(
+        *[F.lit(c) for c in range(4)])).alias("cluster_id")).join(skew.broadcast_if_small(squares), "cluster_id").join(
+        inner, ["review_id", "cluster_id"], "left").withColumn(
+        "gap", F.col("square") - 2 * F.coalesce("dot", F.lit(0.0)))
+    each = far.groupBy("review_id").agg(F.min("gap").alias("least"), F.min(F.when(
+        F.col("cluster_id") == F.col("own"), F.col("gap"))).alias("mine"))
+    return each.agg(F.count("*").alias("n"), F.count_if(F.col("mine") > F.col("least") + 1e-3).alias("misplaced")).select(
+        "n", F.lit(4).alias("k"), "misplaced")
+
+
 # ---- reports ----
 
 @query

@@ -463,6 +463,8 @@ ORACLE: dict[str, str] = {
     "prediction_export": f"""with {PREDICTED} select predicted_sentiment as "Predicted_Sentiment",
         cast(rule_corrected as varchar) as "Rule_Corrected", count(*) as n,
         cast(sum(length(review_text)) as bigint) as n_chars from predictions group by 1, 2""",
+    "aspect_cluster_check": f"""with {PREDICTED} select count(*) as n, 4 as k, cast(0 as bigint) as misplaced
+        from predictions where predicted_ind = 0 and trim(review_text, {SPACES}) <> ''""",
     "cluster_keywords": f"""{CLUSTERED} select cluster_id, rank, term, {r6('mean_weight')} as mean_weight
         from keywords where rank <= 5""",
     "cluster_representatives": f"""{CLUSTERED} select cluster_id, rank, review_id,

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -135,3 +136,44 @@ def test_few_reviews_are_used_as_they_are(spark):
     assert got["clusters"] == [] and len(got["reviews"]) == 5 and got["is_valid"]
     none = run_reports(requests(spark, ["late"]), review_index(spark, 5).limit(0), embed).first()
     assert none["reviews"] == [] and none["report"].startswith("_The search found no review")
+
+
+def blobs(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.random((4, 9))
+    x = np.maximum(centres[rng.integers(0, 4, 300)] + 0.08 * rng.standard_normal((300, 9)), 0)
+    x[x < 0.1] = 0
+    x[250:] = x[0]  # copies
+    data = [(f"t{i}", i * 7919 + 1, [int(j) for j in np.flatnonzero(v)], v[v != 0].tolist()) for i, v in enumerate(x)]
+    return x, spark.createDataFrame(data, "id string, _digest long, _indices array<int>, _values array<double>").repartition(5)
+
+
+def test_many_starts_move_together(spark):
+    from reviewmill.operators import many_starts
+    x, vectors = blobs(spark)
+    vectors = vectors.persist()
+    centres, costs, passes = many_starts.kmeans(vectors, 9, 4, 6, 50, 42)
+    again, _, _ = many_starts.kmeans(vectors.repartition(3), 9, 4, 6, 50, 42)
+    assert passes <= 4 + 50 + 1 and np.allclose(centres, again)
+    square = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    labels = square.argmin(axis=1)
+    assert costs.min() == pytest.approx(square.min(axis=1).sum())
+    for c in range(4):  # a fixed point
+        assert np.allclose(x[labels == c].mean(axis=0), centres[c], atol=1e-3)
+    for seed in range(6):  # and not above what single starts of a plain version reach
+        own = x[np.random.default_rng(seed).choice(250, 4, replace=False)]
+        for _ in range(60):
+            near = ((x[:, None] - own[None]) ** 2).sum(axis=2).argmin(axis=1)
+            own = np.array([x[near == c].mean(axis=0) if (near == c).any() else own[c] for c in range(4)])
+        assert costs.min() <= ((x[:, None] - own[None]) ** 2).sum(axis=2).min(axis=1).sum() + 1e-6
+    got = {r["id"]: r["cluster_id"] for r in many_starts.assign(vectors, "id", centres).collect()}
+    assert [got[f"t{i}"] for i in range(300)] == labels.tolist()
+    vectors.unpersist()
+
+
+def test_more_centres_than_distinct_rows(spark):
+    from reviewmill.operators import many_starts
+    rows = [(i, i, [0], [1.0 + i % 2]) for i in range(8)]
+    vectors = spark.createDataFrame(rows, "id int, _digest long, _indices array<int>, _values array<double>")
+    centres, costs, _ = many_starts.kmeans(vectors, 2, 4, 3, 20, 1)
+    assert costs.min() == 0 and {1.0, 2.0} <= set(np.round(centres[:, 0], 9).tolist())

@@ -16,7 +16,7 @@ WITH_PYTHON = {"vector_topk", "vector_topk_filtered", "filter_fallback", "wideni
                "csv_scan_info", "csv_scan_rows", "csv_encodings", "csv_unusable_files", "vector_topk_grouped",
                "string_id_search", "keyword_table"}
 # These run jobs of their own before they return a plan.
-EAGER = {"prediction_export", "index_reuse", "index_upkeep", "cluster_table", "cluster_summary", "cluster_keywords",
+EAGER = {"aspect_cluster_check", "prediction_export", "index_reuse", "index_upkeep", "cluster_table", "cluster_summary", "cluster_keywords",
          "cluster_representatives", "tfidf_weights", "feature_vectors", "linear_score"}
 
 
