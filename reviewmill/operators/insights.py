@@ -90,26 +90,34 @@ def hash_order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
-SMALL_SAMPLE = 1000
+#: Rows that are picked by sorting, at most; hex digits that a histogram refines by.
+EDGE, DIGITS = 1000, 3
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows drawn without replacement, the same rows at every run.
+    """n rows drawn without replacement, the same rows at every run: those of the smallest
+    digests.
 
-    The sample is the n smallest digests. A small one is a top-n that every task cuts
-    to n rows. For a large one that would still leave n rows per task to one task:
-    digests are uniform, so the row count gives a cut that some more than n rows fall
-    under, and only those are sorted. Should too few fall under it, all rows are.
+    A histogram over the digests' first digits, summed in the map tasks, shows which rows
+    are in for certain and which bucket holds the border; the bucket is refined by further
+    digits until few rows are left to pick from it. So only those few are sorted, and all
+    others are kept or left out where they lie.
     """
     keyed = df.withColumn("_order", hash_order(id_col, seed))
-    if n > SMALL_SAMPLE:
-        total = df.count()
-        wanted = n + 10 + int(8 * n ** 0.5)
-        if wanted < total:
-            under = keyed.where(F.col("_order") < f"{int(wanted / total * 2 ** 52):013x}")
-            if under.count() >= n:
-                keyed = under
-    return keyed.orderBy("_order", id_col).limit(n).drop("_order")
+    prefix, rest = "", n
+    while rest > EDGE and len(prefix) + DIGITS <= 32:
+        inside = keyed.where(F.startswith("_order", F.lit(prefix))) if prefix else keyed
+        bucket = F.substring("_order", len(prefix) + 1, DIGITS).alias("bucket")
+        counts = sorted(map(tuple, inside.groupBy(bucket).count().where(F.col("bucket").isNotNull()).collect()))
+        if sum(c for _, c in counts) <= rest:
+            return df
+        for name, count in counts:  # at most 4,096 buckets
+            if count > rest:
+                prefix += name
+                break
+            rest -= count
+    edge = keyed.where(F.startswith("_order", F.lit(prefix))).orderBy("_order", id_col).limit(rest)
+    return keyed.where(F.col("_order") < prefix).unionByName(edge).drop("_order") if prefix else edge.drop("_order")
 
 
 def negative_sample(df: DataFrame, id_col: str, text_col: str, n: int = 15,

@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -39,8 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWNED: ContextVar[list[str] | None] = ContextVar("reviewmill_tables", default=None)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/reviewmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/reviewmill/{name}-{uuid.uuid4().hex}"
+    if (owned := _OWNED.get()) is not None:
+        owned.append(path)
+    return path
+
+
+@contextmanager
+def table_scope(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediate tables that are written inside the `with` block, and delete them
+    at its end. What the block computes has to be written or collected before; until then
+    every table stays, so lost tasks are run again from it. Scopes may be nested.
+    """
+    owned: list[str] = []
+    token = _OWNED.set(owned)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in owned:
+            folder = hadoop(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:

@@ -3,12 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reviewmill import session
 from reviewmill.functions.numbers import label_from_rating, to_number
-from reviewmill.operators import correction, insights, routing
+from reviewmill.operators import correction, evaluation, insights, routing
 from reviewmill.operators.skew import top_n_per_group
 from reviewmill.plans.catalog import QUERIES
 from reviewmill.plans.oracle import ORACLE
-from reviewmill.session import new_table_path
+from reviewmill.session import materialise, new_table_path, table_scope
 from reviewmill.sources import index_tables
 
 # Search multiplies matrices in Arrow batches and the CSV queries write their own files.
@@ -104,3 +105,18 @@ def test_index_embeds_a_row_once(spark):
     assert seen == [["one", "three", "two"], ["four", "one"]]
     empty, n = index_tables.keep_up(spark, new_table_path(spark, "kept"), table([]), ["id", "text", "rating"], build)
     assert n == 0 and empty.count() == 0 and "embedding" in empty.columns
+
+
+def test_a_scope_leaves_no_table_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    df = spark.range(100).withColumn("label", F.col("id") % 2)
+    with table_scope(spark):
+        kept = materialise(df, "outer")
+        with table_scope(spark):
+            n = evaluation.with_stratified_split(materialise(df, "inner"), "id", "label").where("is_test").count()
+        left = [p.name for p in (tmp_path / "reviewmill").iterdir()]
+        assert [name.split("-")[0] for name in left] == ["outer"]
+        assert n == 18 and kept.count() == 100
+    assert list((tmp_path / "reviewmill").iterdir()) == []
+    materialise(df, "free")
+    assert len(list((tmp_path / "reviewmill").iterdir())) == 1

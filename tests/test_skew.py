@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from reviewmill.operators import insights
+from reviewmill.operators.evaluation import with_group_split
 from reviewmill.operators.insights import hash_sample
 from reviewmill.operators.skew import dense_index, fits_broadcast, lookup_terms, top_n_per_group
 from reviewmill.session import materialise
@@ -47,10 +49,28 @@ def test_size_check(spark):
     assert not fits_broadcast(df, max_bytes=5000)
 
 
-def test_hash_sample_is_the_smallest_digests(spark):
+@pytest.mark.parametrize("edge", [1000, 7, 1])
+def test_hash_sample_is_the_smallest_digests(spark, monkeypatch, edge):
     import hashlib
+    monkeypatch.setattr(insights, "EDGE", edge)
     df = spark.range(5000).withColumnRenamed("id", "rid")
-    got = sorted(r[0] for r in rows(hash_sample(df, "rid", 40, seed=7)))
-    want = sorted(range(5000), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())[:40]
-    assert got == sorted(want)
-    assert hash_sample(df, "rid", 9000).count() == 5000
+    order = sorted(range(5000), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    for n in (0, 40, 2500, 4999, 5000, 9000):
+        got = sorted(r[0] for r in rows(hash_sample(df, "rid", n, seed=7)))
+        assert got == sorted(order[:n])
+    again = spark.range(6).selectExpr("id % 2 as rid").unionAll(spark.range(300).selectExpr("7L as rid"))
+    assert hash_sample(again, "rid", 100).count() == 100
+
+
+def test_half_the_table_is_not_sorted_in_one_task(spark):
+    half = hash_sample(spark.range(40_000).withColumnRenamed("id", "rid"), "rid", 20_000)
+    plan = half._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and half.count() == 20_000
+
+
+def test_group_cuts_are_exact(spark):
+    df = spark.range(30_000).selectExpr("id", "case when id % 10 = 0 then 'a' when id % 10 < 4 then null else 'b' end as k")
+    got = {r["k"]: (r["n"], r["t"]) for r in with_group_split(df, "id", ["k"]).groupBy("k").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert got == {"a": (3000, 599), None: (9000, 1799), "b": (18000, 3599)}
+    assert with_group_split(df.limit(0), "id", ["k"]).count() == 0
