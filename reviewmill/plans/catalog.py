@@ -361,6 +361,20 @@ def dataset_model_scores(spark, sf_dir):
     return sentiment.score_datasets(rows, "review_id", "review_text", "dataset", own, base)
 
 
+@query
+def model_used(spark, sf_dir):
+    """The model that scored each dataset's rows, with categories as datasets."""
+    rows = materialise(reviews(spark, sf_dir).select(
+        "review_id", "review_text", "rating", "recommended", insights.group_key(F.col("category")).alias("dataset")),
+        "reviews")
+    base = sentiment.SentimentModel(
+        _rule_coefficients(tfidf.fit_terms(rows, "review_id", "review_text", STOP_WORDS)[0]), 0.1, tuple(STOP_WORDS))
+    own = sentiment.train_datasets(rows, "review_id", "review_text", "rating", "dataset")
+    scored = sentiment.score_datasets(rows, "review_id", "review_text", "dataset", own, base)
+    return scored.where(F.col("probability").between(0, 1)).join(rows.select("review_id", "dataset"), "review_id").groupBy(
+        "dataset", "model").agg(F.count("*").alias("n"))
+
+
 # ---- index and search ----
 
 def _vector_index(spark, sf_dir) -> DataFrame:

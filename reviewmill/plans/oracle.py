@@ -359,6 +359,11 @@ ORACLE: dict[str, str] = {
           case when count(label) >= 20 and count(*) filter (where label = 0) >= 2
             and count(*) filter (where label = 1) >= 2 then 'dataset' else 'base' end as model
         from usable group by 1""",
+    "model_used": f"""with {PREDICTED}, usable as (select grp, case when trim(review_text, {SPACES}) <> ''
+          then label end as label from predictions)
+        select grp as dataset, case when count(label) >= 20 and count(*) filter (where label = 0) >= 2
+            and count(*) filter (where label = 1) >= 2 then 'dataset' else 'base' end as model, count(*) as n
+        from usable group by 1""",
     "confusion": f"""with {PREDICTED} select label, predicted_ind as prediction, count(*) as n
         from labelled where label is not null group by 1, 2""",
     "class_report": f"""with {PREDICTED},

@@ -15,7 +15,7 @@ from reviewmill.sources import index_tables
 # Search multiplies matrices in Arrow batches and the CSV queries write their own files.
 WITH_PYTHON = {"vector_topk", "vector_topk_filtered", "filter_fallback", "widening_topk", "search_results",
                "csv_scan_info", "csv_scan_rows", "csv_encodings", "csv_unusable_files", "vector_topk_grouped",
-               "string_id_search", "keyword_table"}
+               "string_id_search", "keyword_table", "model_used"}
 # These run jobs of their own before they return a plan.
 EAGER = {"aspect_cluster_check", "prediction_export", "index_reuse", "index_upkeep", "cluster_table", "cluster_summary", "cluster_keywords",
          "cluster_representatives", "tfidf_weights", "feature_vectors", "linear_score"}
