@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewmill.llm.common import bounded_broadcast, lists, materialise
 
@@ -363,24 +362,27 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     source = materialise(docs.select(
         F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__data")), "substring-texts")
-    marks = materialise(repeated_ranges(source.select("__row", "__data"), length, unit, group).groupBy(
-        F.col("row").alias("__row")).agg(F.collect_list(F.struct("from", "to")).alias("__marks")), "substring-marks")
-    id_type = source.schema["__doc_id"].dataType
-    arrow_type = to_arrow_type(id_type)
+    marks = repeated_ranges(source.select("__row", "__data"), length, unit, group).groupBy(
+        F.col("row").alias("__row")).agg(F.collect_list(F.struct("from", "to")).alias("__marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, marked in lists(batches, "__doc_id", "__data", "__marks"):
+        for rows, marked in lists(batches, "__row", "__marks"):
             spans = [merge(m, length) for m in marked]
-            kept = []
-            for text, gone in zip(texts, spans):
-                edges = [0, *(e for span in gone for e in span), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            # what stays lies between the spans; the last piece goes on to the end
+            keep = [[{"at": a + 1, "n": b - a} for a, b in zip(
+                [0, *(b for _, b in gone)], [*(a for a, _ in gone), (1 << 31) - 2]) if b > a] for gone in spans]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, arrow_type), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([len(t) - len(k) for t, k in zip(texts, kept)], pa.int64()),
-                 pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.binary())],
-                names=["__doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return source.join(bounded_broadcast(marks), "__row", "left").select("__doc_id", "__data", "__marks").mapInArrow(
-        run, f"__doc_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    ).withColumnRenamed("__doc_id", id_col)
+                [pa.array(rows, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                 pa.array([len(s) for s in spans], pa.int64()),
+                 pa.array(keep, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))],
+                names=["__row", "n_removed", "n_spans", "__keep"])
+
+    cuts = materialise(marks.mapInArrow(
+        run, "__row long, n_removed long, n_spans long, __keep array<struct<at:int,n:int>>"), "substring-cuts")
+    # texts stay in the JVM; those without a cut are not touched
+    kept = F.when(F.col("__keep").isNull(), F.col("__data")).otherwise(F.expr(
+        "unhex(array_join(transform(__keep, p -> hex(substring(__data, p.at, p.n))), ''))"))
+    return source.join(bounded_broadcast(cuts), "__row", "left").select(
+        F.col("__doc_id").alias(id_col), F.octet_length("__data").cast("long").alias("n_bytes"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), kept.alias("kept"))
