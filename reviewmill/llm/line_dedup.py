@@ -48,9 +48,8 @@ def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def segment(h: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of a hash; their number is a power of two."""
-    with np.errstate(over="ignore"):
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (segments - 1)
+    """The segment of a hash, some of its own bits; their number is a power of two."""
+    return ((h >> np.uint64(40)) & np.uint64(segments - 1)).astype(np.int64)
 
 
 class TwoFilters:
@@ -80,21 +79,21 @@ class TwoFilters:
 
 
 def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(__h): the hash of every key of a document, once a document."""
+    """(__h, __again): the hash of every key of a document, once for some documents
+    together, and whether several of them hold it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in lists(batches, "__text"):
-            h = digest([k for t in texts for k in document_keys(t, min_chars)])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["__h"])
+            h, n = np.unique(digest([k for t in texts for k in document_keys(t, min_chars)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["__h", "__again"])
 
-    return docs.select("__text").mapInArrow(run, "__h long")
+    return docs.select("__text").mapInArrow(run, "__h long, __again boolean")
 
 
 def twice_seen(hashes: DataFrame) -> tuple[DataFrame, int]:
     """The written rows (segment, bits) of the twice-seen filter, and the number of its
     segments, which follows the number of hashes.
 
-    A segment's hashes meet in one task, which fills both filters in fixed memory. Hashes
-    that a batch holds several times go there once.
+    A segment's hashes meet in one task, which fills both filters in fixed memory.
     """
     count = hashes.count()
     segments = 64
@@ -104,13 +103,6 @@ def twice_seen(hashes: DataFrame) -> tuple[DataFrame, int]:
     while bits < count * BITS / segments:
         bits *= 2
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = np.unique(batch.column("__h").to_numpy().view(np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segment(h, segments)), pa.array(h.view(np.int64)), pa.array(n > 1)],
-                names=["segment", "h", "again"])
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: dict[int, TwoFilters] = {}
         last = None
@@ -130,7 +122,8 @@ def twice_seen(hashes: DataFrame) -> tuple[DataFrame, int]:
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([found.folded()], pa.binary())],
                                           names=["segment", "bits"])
 
-    thin = hashes.mapInArrow(distinct, "segment long, h long, again boolean")
+    thin = hashes.select(F.shiftrightunsigned("__h", 40).bitwiseAND(F.lit(segments - 1).cast("long")).alias("segment"),
+                         F.col("__h").alias("h"), F.col("__again").alias("again"))
     return materialise(thin.repartition("segment").sortWithinPartitions("segment").mapInArrow(
         fill, "segment long, bits binary"), "line-filters"), segments
 
