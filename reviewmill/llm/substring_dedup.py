@@ -24,7 +24,7 @@ PIECE = 1 << 17
 #: Rolling hash of the parse inside a task, and one position in how many it cuts at.
 TRIGGER, SPARSE = 16, 32
 #: Bytes of phrases ordered at a time, about; a key with more is counted string by string.
-BATCH, GROUP = 1 << 20, 1 << 19
+BATCH, GROUP = 1 << 20, 2 << 20
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 BACK = pow(BASE, -1, 1 << 64)
