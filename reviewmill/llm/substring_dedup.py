@@ -44,6 +44,12 @@ class Powers:
                 dtype=np.uint64) for b in (BASE, BACK))
         return cls.up[:n], cls.down[:n]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Give memory back: a worker waits for its next task with what it holds."""
+        cls.up = cls.down = np.ones(1, dtype=np.uint64)
+        pa.default_memory_pool().release_unused()
+
 
 def rolling(data: np.ndarray, length: int) -> np.ndarray:
     """A hash of every string of that length, from differences of prefix sums."""
@@ -227,6 +233,7 @@ def _phrases(source: DataFrame, length: int, unit: int) -> DataFrame:
                  pa.array([n for _, _, _, n, _ in found], pa.int64()),
                  pa.array([s for *_, s in found], pa.bool_())],
                 names=["key", "d1", "d2", "row", "at", "n", "again"])
+        Powers.forget()
 
     return source.mapInArrow(run, "key long, d1 long, d2 long, row long, at long, n long, again boolean")
 
@@ -275,6 +282,8 @@ def _compare(cut: DataFrame, length: int) -> DataFrame:
                 held.append(tuple(entry))
         if held:
             yield flagged()
+        held.clear()
+        Powers.forget()
 
     dealt = cut.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "row long, from long, to long")
