@@ -302,3 +302,27 @@ def test_keyed_fit_reaches_the_minimum(spark):
     for no in range(3):
         assert w[offset[no]:offset[no + 1]] == pytest.approx(want[no][:-1], abs=1e-6)
         assert b[no] == pytest.approx(want[no][-1], abs=1e-6)
+
+
+def test_fit_ends_where_scales_differ(spark, monkeypatch):
+    """Rare and frequent features, and more rows than a loss has digits for: the fit reaches
+    its minimum in a bounded number of passes."""
+    random = np.random.default_rng(8)
+    n, width = 20_000, 60
+    share = np.geomspace(0.9, 1e-3, width)
+    x = (random.random((n, width)) < share) * np.geomspace(0.1, 6, width)
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    y = (x @ random.standard_normal(width) * 3 + random.standard_normal(n) > 0.5).astype(int)
+    data = [(0, int(l), np.flatnonzero(v).tolist(), v[v != 0].tolist()) for v, l in zip(x, y)]
+    vectors = spark.createDataFrame(data, "no int, label int, indices array<int>, values array<double>").repartition(2)
+    passes, plain = [], many_models._sums
+
+    def counted(*args):
+        passes.append(1)
+        assert len(passes) < 120
+        return plain(*args)
+
+    monkeypatch.setattr(many_models, "_sums", counted)
+    weight = np.array([[n / (2 * (y == 0).sum()), n / (2 * (y == 1).sum())]])
+    w, b = many_models.fit_wave(vectors, many_models.Wave(0, np.array([0, width]), weight, np.array([n])))
+    assert [*w, b[0]] == pytest.approx(newton(x, y).tolist(), abs=1e-4)
