@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 FILE = "_file"
 WHOLE, OPEN, HEAD = 0, 1, 2
+#: Lines taken at a time, and characters of records sent at a time.
+LINES, CHARACTERS = 1024, 1 << 22
 
 
 def _lines(spark: SparkSession, files: list[str], separator: str, latin: bool) -> DataFrame:
@@ -47,41 +49,43 @@ def states(from_outside: np.ndarray, from_inside: np.ndarray, start: int) -> np.
     return (known + swaps - swaps[last]) % 2
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[pa.RecordBatch]]]:
-    """The lines of each split, which lie one after the other."""
-    held: list[pa.RecordBatch] = []
-    key = None
-    for batch in batches:
-        files, blocks = batch.column(FILE).to_pylist(), batch.column("_block").to_numpy()
-        edges = [0, *(i for i in range(1, batch.num_rows) if blocks[i] != blocks[i - 1] or files[i] != files[i - 1]),
-                 batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            if held and (files[a], int(blocks[a])) != key:
-                yield *key, held
-                held = []
-            key = files[a], int(blocks[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield *key, held
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """((file, block), lines): some lines of a split at a time, in their order."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, LINES):
+            batch = whole.slice(at, LINES)
+            files, blocks = batch.column(FILE).to_pylist(), batch.column("_block").to_numpy()
+            edges = [0, *(i for i in range(1, batch.num_rows) if blocks[i] != blocks[i - 1] or files[i] != files[i - 1]),
+                     batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                yield (files[a], int(blocks[a])), batch.slice(a, b - a)
 
 
-def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
-    return np.concatenate([p.column(name).to_numpy() for p in parts]).astype(np.int64)
+def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(name).to_numpy().astype(np.int64)
 
 
 def split_maps(lines: DataFrame) -> DataFrame:
-    """Rows (_file, _block, _from_outside, _from_inside): the map of a split's lines."""
+    """Rows (_file, _block, _from_outside, _from_inside): the map of a split's lines, composed
+    piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, block, parts in _splits(batches):
-            a, b = _column(parts, "_from_outside"), _column(parts, "_from_inside")
-            ends = [int(states(a, b, s)[-1]) for s in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([file]), pa.array([block], pa.int64()), *[pa.array([e], pa.int8()) for e in ends]],
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]]), pa.array([key[1]], pa.int64()), *[pa.array([e], pa.int8()) for e in ends]],
                 names=[FILE, "_block", "_from_outside", "_from_inside"])
 
+        key, ends = None, [0, 1]
+        for now, part in _pieces(batches):
+            if now != key:
+                if key:
+                    yield row()
+                key, ends = now, [0, 1]
+            a, b = _column(part, "_from_outside"), _column(part, "_from_inside")
+            ends = [int(states(a, b, s)[-1]) for s in ends]
+        if key:
+            yield row()
+
     narrow = lines.select(FILE, "_block", "_from_outside", "_from_inside")
     return narrow.mapInArrow(run, f"{FILE} string, _block long, _from_outside tinyint, _from_inside tinyint")
 
@@ -107,28 +111,51 @@ def csv_records(spark: SparkSession, files: list[str], separator: str, latin: bo
     lines = _lines(spark, files, separator, latin)
     shared = spark.sparkContext.broadcast(_start_states(split_maps(lines)))
 
+    def records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, str]]:
+        """(split, kind, record); of a split only the record that is still open is held."""
+        key, state, begun, held = None, 0, False, []
+
+        def last() -> tuple[tuple[str, int], int, str]:
+            return key, (OPEN if state else WHOLE) if begun else HEAD, "\n".join(held)
+
+        for now, part in _pieces(batches):
+            if now != key:
+                if key:
+                    yield last()
+                key, state, begun, held = now, shared.value[now], False, []
+            at = states(_column(part, "_from_outside"), _column(part, "_from_inside"), state)
+            text, begin = part.column("_text").to_pylist(), np.flatnonzero(at[:-1] == 0).tolist()
+            state = int(at[-1])
+            held += text[:begin[0]] if begin else text
+            if not begin:
+                continue
+            if begun or held:
+                yield key, WHOLE if begun else HEAD, "\n".join(held)
+            for a, b in zip(begin, begin[1:]):
+                yield key, WHOLE, "\n".join(text[a:b])
+            begun, held = True, text[begin[-1]:]
+        if key:
+            yield last()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, block, parts in _splits(batches):
-            state = states(_column(parts, "_from_outside"), _column(parts, "_from_inside"), shared.value[file, block])
-            text = [t for p in parts for t in p.column("_text").to_pylist()]
-            begin = np.flatnonzero(state[:-1] == 0).tolist()
-            edges = [*begin, len(text)]
-            records = ["\n".join(text[a:b]) for a, b in zip(edges, edges[1:])]
-            kind = [WHOLE] * len(records)
-            if records and state[-1]:
-                kind[-1] = OPEN
-            if block == 0:  # the header goes
-                first = next((i for i, r in enumerate(records) if r.strip(" \r")), len(records) - 1)
-                records, kind = records[first + 1:], kind[first + 1:]
-            if not begin or begin[0]:
-                records.insert(0, "\n".join(text[:edges[0]]))
-                kind.insert(0, HEAD)
-            for at in range(0, len(records), 4096):
-                some = records[at:at + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(some)), pa.array([block] * len(some), pa.int64()),
-                     pa.array(kind[at:at + 4096], pa.int8()), pa.array(some, pa.string())],
-                    names=[FILE, "_block", "_kind", "_record"])
+        def done() -> pa.RecordBatch:
+            files, blocks, kinds, records = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(files), pa.array(blocks, pa.int64()), pa.array(kinds, pa.int8()), pa.array(records, pa.string())],
+                names=[FILE, "_block", "_kind", "_record"])
+
+        rows, size, heading = [], 0, None
+        for (file, block), kind, record in records_of(batches):
+            if block == 0 and heading != file:  # the header goes, and blank lines before it
+                heading = file if record.strip(" \r") else heading
+                continue
+            rows.append((file, block, kind, record))
+            size += len(record)
+            if len(rows) == 4096 or size >= CHARACTERS:
+                yield done()
+                rows, size = [], 0
+        if rows:
+            yield done()
 
     cut = lines.mapInArrow(run, f"{FILE} string, _block long, _kind tinyint, _record string")
     whole = cut.where(F.col("_kind") == WHOLE).select(FILE, "_record")

@@ -154,3 +154,27 @@ def test_line_states_compose():
             for line in lines:
                 want.append(line[want[-1]])
             assert csv_records.states(a, b, start).tolist() == want
+
+
+def test_a_split_is_read_in_pieces():
+    import pyarrow as pa
+    n = 5000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["a"] * (n - 10) + ["b"] * 10), pa.array([0] * n, pa.int64()), pa.array([str(i) for i in range(n)])],
+        names=[FILE, "_block", "_text"])
+    parts = list(csv_records._pieces(iter([batch, batch])))
+    assert max(p.num_rows for _, p in parts) <= csv_records.LINES < n
+    assert [t for _, p in parts for t in p.column("_text").to_pylist()] == [str(i) for i in range(n)] * 2
+    assert {k for k, _ in parts} == {("a", 0), ("b", 0)}
+
+
+def test_files_with_a_header_are_written_without_python(spark, folder, monkeypatch):
+    from pyspark.sql import DataFrame
+    from reviewmill.plans import catalog
+    monkeypatch.setattr(DataFrame, "mapInPandas", None, raising=False)
+    lines = spark.range(0, 40, 1, 4).selectExpr("'h1,h2' as header", "concat(id, ',x') as value").where("value < '3'")
+    catalog._headed(lines, str(folder / "out"))
+    files = [p.read_text().splitlines() for p in (folder / "out").glob("part-*")]
+    files = [f for f in files if f]
+    assert all(f[0] == "h1,h2" and "h1,h2" not in f[1:] for f in files)
+    assert sorted(x for f in files for x in f[1:]) == sorted(f"{i},x" for i in range(40) if f"{i},x" < "3")
