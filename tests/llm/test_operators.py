@@ -583,3 +583,19 @@ def test_pipeline(spark, sf_dir):
     assert rows and max(Counter(r["doc_id"] for r in rows).values()) <= 3
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert not any(brute_contamination(r["text"], items)[-1] for r in rows[:40])
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    from reviewmill.llm import common
+    def sizes(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.small_batches(spark):
+        written = common.materialise(spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    assert max(r["n"] for r in written.collect()) <= common.SLICE
+    assert sum(r["n"] for r in written.collect()) == 1000
+    assert spark.conf.get(name) == before
