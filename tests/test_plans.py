@@ -120,3 +120,24 @@ def test_a_scope_leaves_no_table_behind(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "reviewmill").iterdir()) == []
     materialise(df, "free")
     assert len(list((tmp_path / "reviewmill").iterdir())) == 1
+
+
+def test_new_rows_reach_the_encoder_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from reviewmill.operators import embedding
+    from reviewmill.session import TEXT_ROWS, new_table_path
+    from reviewmill.sources import index_tables
+
+    def sized(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([batch.num_rows] * batch.num_rows, pa.int64())],
+                                             names=[*batch.schema.names, "n"])
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    build = lambda df: df.coalesce(1).mapInArrow(sized, "id long, text string, _digest string, n long")
+    index, n = index_tables.keep_up(spark, new_table_path(spark, "kept"), rows, ["id", "text"], build)
+    assert n == 3000 and index.agg(F.max("n")).first()[0] <= TEXT_ROWS
+    whole = embedding.embed_by_hashing(rows.coalesce(1), "text", 16).select("id", "embedding").collect()
+    parts = embedding.embed_by_hashing(rows.repartition(40), "text", 16).select("id", "embedding").collect()
+    assert len(whole) == 3000 and sorted(map(tuple, whole)) == sorted(map(tuple, parts))
