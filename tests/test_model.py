@@ -326,3 +326,22 @@ def test_fit_ends_where_scales_differ(spark, monkeypatch):
     weight = np.array([[n / (2 * (y == 0).sum()), n / (2 * (y == 1).sum())]])
     w, b = many_models.fit_wave(vectors, many_models.Wave(0, np.array([0, width]), weight, np.array([n])))
     assert [*w, b[0]] == pytest.approx(newton(x, y).tolist(), abs=1e-4)
+
+
+def test_fit_moves_numbers_per_row_in_few_passes(spark, monkeypatch):
+    """Wide vectors: a pass sends one number per row, not one per term, and rows are few."""
+    random = np.random.default_rng(5)
+    n, width, sent = 400, 5_000, []
+    x = (random.random((n, width)) < np.geomspace(0.5, 2e-3, width)) * random.random((n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = (x[:, :40].sum(axis=1) + 0.05 * random.standard_normal(n) > np.median(x[:, :40].sum(axis=1))).astype(int)
+    vectors = spark.createDataFrame([(0, int(l), np.flatnonzero(v).tolist(), v[v != 0].tolist()) for v, l in zip(x, y)],
+                                    "no int, label int, indices array<int>, values array<double>").repartition(2)
+    plain = many_models._sums
+    monkeypatch.setattr(many_models, "_sums", lambda *args: sent.append(len(args[-1])) or plain(*args))
+    weight = np.array([[n / (2 * (y == 0).sum()), n / (2 * (y == 1).sum())]])
+    w, b = many_models.fit_wave(vectors, many_models.Wave(0, np.array([0, width]), weight, np.array([n])))
+    assert set(sent) == {n} and len(sent) < 40
+    p = 1 / (1 + np.exp(-(x @ w + b[0])))
+    miss = weight[0][y] * (p - y)
+    assert np.linalg.norm(x.T @ miss + w) < 1e-5 and abs(miss.sum()) < 1e-6
