@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from test_text import python_terms
-from reviewmill.operators import evaluation, many_models, row_terms, sentiment
+from reviewmill.operators import evaluation, many_models, row_terms, sentiment, tfidf
 from reviewmill.operators.correction import correct_by_rating, with_prediction
 from reviewmill.operators.tfidf import feature_vectors, fit_terms, indexed_terms, weights
 from reviewmill.plans.analysis import analyse
@@ -345,3 +345,44 @@ def test_fit_moves_numbers_per_row_in_few_passes(spark, monkeypatch):
     p = 1 / (1 + np.exp(-(x @ w + b[0])))
     miss = weight[0][y] * (p - y)
     assert np.linalg.norm(x.T @ miss + w) < 1e-5 and abs(miss.sum()) < 1e-6
+
+
+def test_terms_of_a_part_agree_with_counter(spark):
+    import pyarrow as pa
+    lists = [["a", "b", "a", "b"], [], ["c"], ["b", "a", "c", "c", "c"]]
+    row, term, count, names = row_terms.own_terms(pa.array(lists, pa.list_(pa.string())))
+    names = names.to_pylist()
+    want = {(i, t): n for i, l in enumerate(lists) for t, n in Counter(l + [f"{x} {y}" for x, y in zip(l, l[1:])]).items()}
+    assert {(r, names[t]): c for r, t, c in zip(row.tolist(), term.tolist(), count.tolist())} == want
+    some = row_terms.own_terms(pa.array(lists, pa.list_(pa.string())), pa.array(["a", "c"]))[3].to_pylist()
+    assert sorted(some) == ["a", "a c", "b", "c", "c c"]
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_most_frequent_terms_are_exact_without_all_pairs(spark, monkeypatch, most):
+    """Pairs of words that are rarer than the last term are not counted."""
+    random = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{min(int(z), 300):03d}" for z in random.zipf(1.4, 40))) for i in range(300)] + [(300, None)]
+    df, asked, plain = spark.createDataFrame(texts, "id int, t string"), [], tfidf.term_sums
+    monkeypatch.setattr(tfidf, "term_sums", lambda *args: asked.append(args[3:]) or plain(*args))
+    monkeypatch.setattr(tfidf, "MOST_FREQUENT", most)
+    got = [(r["term"], r["df"], r["total"]) for r in tfidf.top_terms(df, "t", 301, max_features=20).collect()]
+    counts = [Counter(python_terms(t or "")) for _, t in texts]
+    df_of = Counter(t for c in counts for t in c)
+    total = sum(counts, Counter())
+    want = sorted((t for t in total if 2 <= df_of[t] <= 0.95 * 301), key=lambda t: (-total[t], t))[:20]
+    assert sorted(got) == sorted((t, df_of[t], total[t]) for t in want)
+    assert len(asked) == 2 and (asked[1] == (None,) if most == 1 else len(asked[1][0]) < 30)
+
+
+def test_blocks_ask_for_a_term_once(spark, labelled):
+    """Beyond the bound a block of texts is one row per term of the join, and every text,
+    null ids and unknown terms too, keeps its own result."""
+    terms, _ = fit_terms(labelled, "id", "t")
+    docs = labelled.unionByName(spark.createDataFrame([(None, "zzz", 0), (None, None, 1), (7, "good fit", 1)], labelled.schema))
+    model = sentiment.SentimentModel(terms.withColumn("coefficient", F.length("term") / 10), 0.1, ())
+    near, far = (sorted((r["id"] or -1, r["t"] or "", round(r["probability"], 9)) for r in sentiment.with_score(
+        docs, "t", model, **bounds).collect()) for bounds in ({}, {"max_rows": 3}))
+    assert near == far and len(far) == 63
+    plan = plan_of(sentiment.with_score(docs, "t", model, max_rows=3))
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
