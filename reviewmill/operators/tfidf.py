@@ -16,10 +16,17 @@ from reviewmill.session import materialise
 MOST_FREQUENT = 100_000
 
 
-def vocabulary(counted: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95,
+def vocabulary(postings: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95,
                max_features: int | None = None) -> DataFrame:
-    """Rows (term, df, total) of all terms within the document-frequency limits; with
-    `max_features` the most frequent terms only."""
+    """Rows (term, df, total): texts with the term and its occurrences, within the
+    document-frequency limits; with `max_features` the most frequent terms only."""
+    counted = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return within_limits(counted, n_docs, min_df, max_df, max_features)
+
+
+def within_limits(counted: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95,
+                  max_features: int | None = None) -> DataFrame:
+    """The rows (term, df, total) that `vocabulary` keeps."""
     kept = counted.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
         kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
@@ -32,11 +39,11 @@ def top_terms(docs: DataFrame, text_col: str, n_docs: int, stop_words: Iterable[
     pair is no more frequent than its words: if so many words are kept, pairs of words
     below the last of them cannot be among the terms."""
     words = materialise(term_sums(docs, text_col, stop_words, []), "words")
-    kept, least = vocabulary(words, n_docs, min_df, max_df, max_features).agg(F.count("*"), F.min("total")).first()
+    kept, least = within_limits(words, n_docs, min_df, max_df, max_features).agg(F.count("*"), F.min("total")).first()
     frequent = words.where(F.col("total") >= F.lit(least)).select("term").limit(MOST_FREQUENT + 1).toArrow().column(
         "term").to_pylist() if kept == max_features else None
     among = None if frequent is None or len(frequent) > MOST_FREQUENT else frequent  # else all pairs are counted
-    return vocabulary(term_sums(docs, text_col, stop_words, among), n_docs, min_df, max_df, max_features)
+    return within_limits(term_sums(docs, text_col, stop_words, among), n_docs, min_df, max_df, max_features)
 
 
 def with_idf(terms: DataFrame, n_docs: int) -> DataFrame:
@@ -56,7 +63,7 @@ def fit_terms(docs: DataFrame, id_col: str, text_col: str, stop_words: Iterable[
     """The written term table (term, df, idf) of a corpus and its row count."""
     n_docs = docs.count()
     if max_features is None:
-        terms = vocabulary(term_sums(docs, text_col, stop_words), n_docs, min_df, max_df)
+        terms = within_limits(term_sums(docs, text_col, stop_words), n_docs, min_df, max_df)
     else:
         terms = top_terms(docs, text_col, n_docs, stop_words, min_df, max_df, max_features)
     terms = terms.select("term", "df")
