@@ -6,16 +6,19 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from reviewmill.llm.common import lists, materialise
+from reviewmill.llm.common import bounded_broadcast, lists, materialise
 from reviewmill.llm.components import connected_components
+from reviewmill.llm.prefixes import EPSILON, rare_prefixes
 
 SEED = 42
 #: Rows of a block that one comparison tile takes; a larger block is cut into tiles.
 CHUNK = 2048
+#: The same for rows that share a rare shingle, whose pairs become rows.
+PAIR_CHUNK = 256
 #: (query, 64-lane word) entries compared in one go, and bits between two clearings.
 ENTRIES, STRIDE = 1 << 16, 12
 #: Rows that a block of the pigeonhole tables should have on average, at most.
@@ -127,11 +130,12 @@ def band_keys(nodes: DataFrame, scheme: list[list[tuple[int, int]]]) -> DataFram
     return nodes.select("__fp").mapInArrow(run, "__table int, __key long, __fp binary")
 
 
-def tiles(blocks: DataFrame, *more: str) -> DataFrame:
+def tiles(blocks: DataFrame, *more: str, chunk: int | None = None) -> DataFrame:
     """Cut blocks above CHUNK rows into tiles: a row goes to the tile of every pair of
     its chunk with a chunk of the block, so that all pairs still meet once."""
-    sizes = blocks.groupBy("__table", "__key").count().where(F.col("count") > CHUNK)
-    chunks = F.coalesce(F.ceil(F.col("count") / CHUNK).cast("int"), F.lit(1))
+    chunk = chunk or CHUNK
+    sizes = blocks.groupBy("__table", "__key").count().where(F.col("count") > chunk)
+    chunks = F.coalesce(F.ceil(F.col("count") / chunk).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("__fp"), F.col("__n")).cast("int")
     dealt = blocks.join(sizes, ["__table", "__key"], "left").withColumn("__n", chunks).withColumn(
         "__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
@@ -452,6 +456,58 @@ def exact_links(tiled: DataFrame, words: int, similarity: float) -> DataFrame:
     return by_tile(tiled, run, "a binary, b binary")
 
 
+def prefix_pairs(tiled: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots that may have the similarity: all that have it, and
+    few others. tiled is (TILE, __mine, __fp, __root, size, last), rows of one rare shingle.
+
+    Sizes must be near enough, and so must the number of shingles that the two prefixes
+    share: beyond the prefix that ends first, a set has at most its other shingles to share.
+    """
+    def side(name: str) -> DataFrame:
+        return tiled.select(*TILE, F.struct("__mine", "__root", "size", "last").alias(f"of_{name}"),
+                            F.col("__fp").alias(name))
+
+    def least(share: float, size: Column) -> Column:
+        return F.ceil(F.lit(share) * size - EPSILON)
+
+    a, b = F.col("of_a"), F.col("of_b")
+    shared = least(similarity / (1 + similarity), a["size"] + b["size"])
+    ends = F.when(a["last"] <= b["last"], a["size"]).otherwise(b["size"])
+    met = side("a").join(side("b"), TILE).where(
+        (F.col("a") < F.col("b")) & (a["__root"] != b["__root"])
+        & ((F.col("__x") == F.col("__y")) | (a["__mine"] != b["__mine"]))
+        & (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - EPSILON))
+    return met.select("a", "b", (shared - least(similarity, ends) + 1).alias("need")).groupBy("a", "b").agg(
+        F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
+
+
+def left_links(keyed: DataFrame, prints: DataFrame, joined: DataFrame, id_col: str, text_col: str, words: int,
+               similarity: float) -> DataFrame:
+    """Links (a, b) of all pairs of the similarity that joined (node, root) does not hold
+    together, exactly: an exact join by prefixes of rare shingles, whatever was found before."""
+    rows = materialise(prints.select("__doc_id", "__text", "__fp").distinct(), "simhash-rows")
+    model, row = F.min(F.struct("__doc_id", "__text")).alias("__model"), F.struct("__doc_id", "__text")
+    spare = materialise(rows.join(rows.groupBy("__fp").agg(model), "__fp").where(
+        ~row.eqNullSafe(F.col("__model"))).select("__doc_id", F.col("__text").alias("__same")), "simhash-spare")
+    # copies of a set are left out; those that slip in only meet their own kind
+    single = keyed.join(bounded_broadcast(spare), F.col(id_col).eqNullSafe(F.col("__doc_id")) & (
+        F.col("__text") == F.col("__same")), "left_anti")
+    letters = keyed.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    found = materialise(rare_prefixes(
+        single.select(F.col(text_col).alias("__body")), "__body",
+        lambda text: np.unique(shingle_hashes(text, words)), similarity, letters // 6).distinct(), "simhash-prefixes")
+    digest = F.expr("substring(__fp, -16, 16)")
+    nodes = rows.select("__fp").distinct().join(joined.withColumnRenamed("node", "__fp"), "__fp", "left").select(
+        digest.alias("digest"), "__fp", F.coalesce("root", "__fp").alias("__root"))
+    listed = materialise(found.join(nodes, "digest").select(
+        F.lit(0).alias("__table"), F.col("token").alias("__key"), "__fp", "__root", "size", "last"), "simhash-listed")
+    mixed = listed.groupBy("__table", "__key").agg(F.min("__root").alias("l"), F.max("__root").alias("m")).where("l < m")
+    tiled = tiles(listed.join(mixed, ["__table", "__key"], "left_semi"), "__root", "size", "last", chunk=PAIR_CHUNK)
+    pairs = materialise(prefix_pairs(tiled, similarity), "simhash-pairs")
+    texts = model_texts(pairs.select(F.explode(F.array("a", "b")).alias("__fp")), keyed, prints, id_col, text_col)
+    return materialise(similar_links(pairs, texts, words, similarity), "simhash-left")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                          similarity: float = 0.8, bits: int = 256, tables: int = 6) -> DataFrame:
     """The documents with their own columns, one of each near-duplicate group: the one
@@ -464,6 +520,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bit-sliced within a radius with room for the spread of the estimate; the shortest
     links that hold its components together are then verified on the whole texts. Of the
     parts that are still apart, all pairs within the radius are compared on whole texts.
+    What blocks or the radius have left out is found by an exact join of all texts by
+    prefixes of rare shingles, of which only pairs of different groups are compared.
 
     Null and blank texts are copies of each other. Repeated rows of one id and text
     leave one; null ids come last, and a group without any id keeps one row per text.
@@ -485,8 +543,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     open_ = materialise(open_rows(tiled, radius, bits // 8), "simhash-open")
     rest = exact_links(open_.join(model_texts(open_, keyed, prints, id_col, text_col), "__fp").select(
         *open_.columns, "__body"), words, similarity)
-    stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = components(prints, stars.unionByName(materialise(rest, "simhash-exact")))
+    def stars(joined: DataFrame) -> DataFrame:
+        return joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    joined = connected_components(stars(joined).unionByName(materialise(rest, "simhash-exact")))
+    found = components(prints, stars(joined).unionByName(
+        left_links(keyed, prints, joined, id_col, text_col, words, similarity)))
     kept = prints.join(found, "__fp").where(F.col("__doc_id").eqNullSafe(F.col("__component"))).select(
         F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
     rows = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (

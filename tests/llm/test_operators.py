@@ -12,8 +12,8 @@ import sentencepiece
 import xxhash
 
 import corpus_pipeline
-from reviewmill.llm import (components, decontamination, exact_dedup, language_id, line_dedup, mixing, sharding,
-                            simhash, token_counts, toxicity, url_filter)
+from reviewmill.llm import (components, decontamination, exact_dedup, language_id, line_dedup, mixing, prefixes,
+                            sharding, simhash, token_counts, toxicity, url_filter)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = " ".join(f"wort{i}" for i in range(120))
@@ -210,6 +210,58 @@ def test_every_open_pair_is_compared(spark):
     assert simhash.open_rows(tiled.drop("__body").where("hex(__fp) < '01'"), 256, 32).count() == 0
 
 
+def test_a_pair_that_shares_no_smallest_hash_is_found(spark):
+    body = [f"n42635w{i}" for i in range(19)]
+    texts = [" ".join(body[:16]), " ".join(body)] + [" ".join(f"o{t}w{i}" for i in range(30)) for t in range(3)]
+    one, two = (simhash.min_shingles(simhash.shingle_hashes(t, 5), 6) for t in texts[:2])
+    assert not set(one) & set(two)
+    kept = simhash.drop_near_duplicates(texts_frame(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(texts) == [0, 2, 3, 4]
+
+
+def test_no_link_is_left_out_beyond_the_radius(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RADIUS_SLACK", -0.9)
+    monkeypatch.setattr(simhash, "PAIR_CHUNK", 3)
+    monkeypatch.setattr(prefixes, "BLOCK", 200)
+    random = np.random.default_rng(14)
+    texts = [None, "", " \t", "a b", "A  b", "a b c"]
+    for t in range(12):
+        body = [f"f{t // 3}w{i}" for i in range(60)] + [f"r{t}w{i}" for i in range(random.integers(0, 30))]
+        texts += [" ".join(body), " ".join(body[:-random.integers(1, 12)]), " ".join(body + ["end"] * 40)]
+        texts.append(" ".join(body[random.integers(1, 20):]))
+    frame = texts_frame(spark, texts)
+    kept = simhash.drop_near_duplicates(frame.unionByName(frame), tables=1).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(texts)
+    empty = simhash.drop_near_duplicates(texts_frame(spark, [None, "", " "])).collect()
+    assert [r["doc_id"] for r in empty] == [0]
+
+
+def test_prefixes_of_similar_sets_meet(spark, monkeypatch):
+    monkeypatch.setattr(prefixes, "BLOCK", 300)
+    monkeypatch.setattr(prefixes, "SEGMENT", 200)
+    random = np.random.default_rng(15)
+    lists_ = [[]]
+    for _ in range(120):
+        base = lists_[random.integers(len(lists_))]
+        old = [x for x in base if random.random() < 0.9] if random.random() < 0.7 else []
+        lists_.append(old + [f"m{random.integers(3000)}" for _ in range(random.integers(0, 12))])
+    lists_ = [sorted(set(x)) for x in lists_ + [["common"] + x for x in lists_]]
+
+    def set_of(text):
+        return np.unique(np.array([xxhash.xxh64_intdigest(w) for w in text.split()], dtype=np.uint64))
+
+    texts = sorted({" ".join(x) for x in lists_})
+    rows = prefixes.rare_prefixes(spark.createDataFrame([(t,) for t in texts], "t string"), "t", set_of, 0.8, 3000).collect()
+    tokens = defaultdict(set)
+    for r in rows:
+        tokens[bytes(r["digest"])].add(r["token"])
+    sets = {xxhash.xxh3_128_digest(set_of(t).tobytes()): set(t.split()) for t in texts if t}
+    assert {bytes(r["digest"]): r["size"] for r in rows}.items() <= {d: len(s) for d, s in sets.items()}.items()
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 50 and all(tokens[a] & tokens[b] for a, b in near)
+    assert all(r["rank"] <= 0.2 * r["size"] + 1e-9 for r in rows)
+
+
 @pytest.mark.parametrize("a,b,shared", [(4, 5, 4), (12, 15, 12), (36, 45, 36), (360, 360, 320)])
 def test_radius_covers_the_spread_of_the_estimate(a, b, shared):
     random = np.random.default_rng(13)
