@@ -6,19 +6,19 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from reviewmill.llm.common import bounded_broadcast, lists, materialise
 from reviewmill.llm.components import connected_components
-from reviewmill.llm.prefixes import EPSILON, rare_prefixes
+from reviewmill.llm.prefixes import EPSILON, least_shared, rare_prefixes
 
 SEED = 42
 #: Rows of a block that one comparison tile takes; a larger block is cut into tiles.
 CHUNK = 2048
-#: The same for rows that share a rare shingle, whose pairs become rows.
-PAIR_CHUNK = 256
+#: Rare shingles that a row carries to be compared with others.
+TOKENS = 64
 #: (query, 64-lane word) entries compared in one go, and bits between two clearings.
 ENTRIES, STRIDE = 1 << 16, 12
 #: Rows that a block of the pigeonhole tables should have on average, at most.
@@ -130,12 +130,11 @@ def band_keys(nodes: DataFrame, scheme: list[list[tuple[int, int]]]) -> DataFram
     return nodes.select("__fp").mapInArrow(run, "__table int, __key long, __fp binary")
 
 
-def tiles(blocks: DataFrame, *more: str, chunk: int | None = None) -> DataFrame:
+def tiles(blocks: DataFrame, *more: str) -> DataFrame:
     """Cut blocks above CHUNK rows into tiles: a row goes to the tile of every pair of
     its chunk with a chunk of the block, so that all pairs still meet once."""
-    chunk = chunk or CHUNK
-    sizes = blocks.groupBy("__table", "__key").count().where(F.col("count") > chunk)
-    chunks = F.coalesce(F.ceil(F.col("count") / chunk).cast("int"), F.lit(1))
+    sizes = blocks.groupBy("__table", "__key").count().where(F.col("count") > CHUNK)
+    chunks = F.coalesce(F.ceil(F.col("count") / CHUNK).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("__fp"), F.col("__n")).cast("int")
     dealt = blocks.join(sizes, ["__table", "__key"], "left").withColumn("__n", chunks).withColumn(
         "__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
@@ -396,20 +395,20 @@ def by_tile(tiled: DataFrame, run, schema: str) -> DataFrame:
     out = [f.name for f in StructType.fromDDL(schema)]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> pa.RecordBatch:
+        def done() -> list[pa.RecordBatch]:
             found = run([list(c) for c in zip(*rows)])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=out)
+            return [] if not found[0] else [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=out)]
 
         rows: list[tuple] = []
         for columns in lists(batches, *names):
             for row in zip(*columns):
                 if rows and row[:4] != rows[0][:4]:
                     if len(rows) > 1:
-                        yield done()
+                        yield from done()
                     rows = []
                 rows.append(row)
         if len(rows) > 1:
-            yield done()
+            yield from done()
 
     return tiled.repartition(*TILE).sortWithinPartitions(*TILE, "__fp").mapInArrow(tasks, schema)
 
@@ -456,29 +455,45 @@ def exact_links(tiled: DataFrame, words: int, similarity: float) -> DataFrame:
     return by_tile(tiled, run, "a binary, b binary")
 
 
-def prefix_pairs(tiled: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different roots that may have the similarity: all that have it, and
-    few others. tiled is (TILE, __mine, __fp, __root, size, last), rows of one rare shingle.
+def sharing_rows(tiled: DataFrame, similarity: float) -> DataFrame:
+    """The rows of each tile (TILE_SCHEMA) that may have the similarity with a row of another
+    root: all that have it, and few others. tiled is (TILE, __mine, __fp, __root, size, last,
+    tokens, more), rows of one rare shingle.
 
     Sizes must be near enough, and so must the number of shingles that the two prefixes
     share: beyond the prefix that ends first, a set has at most its other shingles to share.
+    Of the tokens, the first TOKENS are compared; the `more` that follow may all be shared.
+    A pair is taken where the first of the shared ones is the tile's key.
     """
-    def side(name: str) -> DataFrame:
-        return tiled.select(*TILE, F.struct("__mine", "__root", "size", "last").alias(f"of_{name}"),
-                            F.col("__fp").alias(name))
-
-    def least(share: float, size: Column) -> Column:
-        return F.ceil(F.lit(share) * size - EPSILON)
+    def run(columns: list[list]) -> list[list]:
+        root = np.unique(columns[6], return_inverse=True)[1]
+        if len(root) == 2 and root[0] == root[1]:
+            return [[] for _ in range(7)]
+        side, size, last, more = (np.array(columns[i]) for i in (4, 7, 8, 10))
+        counts = [len(t) for t in columns[9]]
+        owner, ends = np.repeat(np.arange(len(side)), counts), np.cumsum(counts)
+        tokens = np.array([x for t in columns[9] for x in t], dtype=np.int64)
+        kinds, number = np.unique(tokens, return_inverse=True)
+        key = np.searchsorted(kinds, columns[1][0])
+        mine, chosen = np.zeros(len(kinds) + 1, dtype=bool), np.zeros(len(side), dtype=bool)
+        rest = size - least_shared(size, similarity) + 1
+        for row in range(len(side)):
+            own = number[ends[row] - counts[row]:ends[row]]
+            mine[own] = True
+            hit = mine[number]
+            mine[own] = False
+            met = np.bincount(owner[hit], minlength=len(side))
+            first = np.full(len(side), len(kinds))
+            np.minimum.at(first, owner[hit], number[hit])
+            both = least_shared(size + size[row], similarity / (1 + similarity))
+            need = both - np.where(last <= last[row], size - rest, size[row] - rest[row])
+            near = np.minimum(size, size[row]) >= similarity * np.maximum(size, size[row]) - EPSILON
+            here = (first == key) | (first == len(kinds))
+            chosen |= near & here & (met + more + more[row] >= need) & _across(root, side, row)
+        at = np.flatnonzero(chosen).tolist()
+        return [[c[i] for i in at] for c in columns[:7]]
 
-    a, b = F.col("of_a"), F.col("of_b")
-    shared = least(similarity / (1 + similarity), a["size"] + b["size"])
-    ends = F.when(a["last"] <= b["last"], a["size"]).otherwise(b["size"])
-    met = side("a").join(side("b"), TILE).where(
-        (F.col("a") < F.col("b")) & (a["__root"] != b["__root"])
-        & ((F.col("__x") == F.col("__y")) | (a["__mine"] != b["__mine"]))
-        & (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - EPSILON))
-    return met.select("a", "b", (shared - least(similarity, ends) + 1).alias("need")).groupBy("a", "b").agg(
-        F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
+    return by_tile(tiled, run, TILE_SCHEMA)
 
 
 def left_links(keyed: DataFrame, prints: DataFrame, joined: DataFrame, id_col: str, text_col: str, words: int,
@@ -500,12 +515,21 @@ def left_links(keyed: DataFrame, prints: DataFrame, joined: DataFrame, id_col: s
     nodes = rows.select("__fp").distinct().join(joined.withColumnRenamed("node", "__fp"), "__fp", "left").select(
         digest.alias("digest"), "__fp", F.coalesce("root", "__fp").alias("__root"))
     listed = materialise(found.join(nodes, "digest").select(
-        F.lit(0).alias("__table"), F.col("token").alias("__key"), "__fp", "__root", "size", "last"), "simhash-listed")
+        F.lit(0).alias("__table"), F.col("token").alias("__key"), "__fp", "__root", "rank", "size", "last"), "simhash-listed")
     mixed = listed.groupBy("__table", "__key").agg(F.min("__root").alias("l"), F.max("__root").alias("m")).where("l < m")
-    tiled = tiles(listed.join(mixed, ["__table", "__key"], "left_semi"), "__root", "size", "last", chunk=PAIR_CHUNK)
-    pairs = materialise(prefix_pairs(tiled, similarity), "simhash-pairs")
-    texts = model_texts(pairs.select(F.explode(F.array("a", "b")).alias("__fp")), keyed, prints, id_col, text_col)
-    return materialise(similar_links(pairs, texts, words, similarity), "simhash-left")
+    tokens = listed.join(mixed, ["__table", "__key"], "left_semi").groupBy("__fp", "__root", "size", "last").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "__key"))).alias("__all"))
+    blocks = materialise(tokens.select(
+        F.lit(0).alias("__table"), F.explode(F.array_distinct("__all.__key")).alias("__key"), "__fp", "__root", "size", "last",
+        F.slice("__all.__key", 1, TOKENS).alias("tokens"), F.greatest(F.size("__all") - TOKENS, F.lit(0)).alias("more")),
+        "simhash-sharing")
+    tiled = tiles(blocks, "__root", "size", "last", "tokens", "more").select(
+        "__table", "__key", F.col("__x").cast("int").alias("__x"), F.col("__y").cast("int").alias("__y"), "__mine", "__fp",
+        "__root", "size", "last", "tokens", "more")
+    open_ = materialise(sharing_rows(tiled, similarity), "simhash-sharing-open")
+    texts = model_texts(open_, keyed, prints, id_col, text_col)
+    return materialise(exact_links(open_.join(texts, "__fp").select(*open_.columns, "__body"), words, similarity),
+                       "simhash-left")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,

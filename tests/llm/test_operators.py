@@ -221,7 +221,8 @@ def test_a_pair_that_shares_no_smallest_hash_is_found(spark):
 
 def test_no_link_is_left_out_beyond_the_radius(spark, monkeypatch):
     monkeypatch.setattr(simhash, "RADIUS_SLACK", -0.9)
-    monkeypatch.setattr(simhash, "PAIR_CHUNK", 3)
+    monkeypatch.setattr(simhash, "CHUNK", 3)
+    monkeypatch.setattr(simhash, "TOKENS", 4)
     monkeypatch.setattr(prefixes, "BLOCK", 200)
     random = np.random.default_rng(14)
     texts = [None, "", " \t", "a b", "A  b", "a b c"]
