@@ -285,6 +285,16 @@ def test_rare_class_survives_the_row_bound(spark):
     assert own.model("x").terms.where("term = 'bad broke'").count() == 1
 
 
+def test_a_dataset_model_sees_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(sentiment, "_fit_draw", None)  # nothing is drawn
+    n = 2_000
+    df = spark.range(n).select("id", F.when(F.col("id") < 3, "rare find").otherwise("good nice").alias("t"),
+                               F.when(F.col("id") % 50 == 0, "1").otherwise("5").alias("stars"), F.lit("x").alias("ds"))
+    own = sentiment.train_datasets(df, "id", "t", "stars", "ds", max_iter=1)
+    assert own.models.first()["n_train"] + own.cards.first()["n_test"] == n
+    assert own.model("x").terms.where("term = 'rare find'").count() == 1
+
+
 def test_keyed_fit_reaches_the_minimum(spark):
     random = np.random.default_rng(3)
     data, want, offset = [], [], [0]
