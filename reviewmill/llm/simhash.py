@@ -547,8 +547,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     What blocks or the radius have left out is found by an exact join of all texts by
     prefixes of rare shingles, of which only pairs of different groups are compared.
 
-    Null and blank texts are copies of each other. Repeated rows of one id and text
-    leave one; null ids come last, and a group without any id keeps one row per text.
+    Null and blank texts are copies of each other. Rows of the smallest id leave one, that
+    of the smallest text digest if their texts differ; null ids come last.
     """
     keyed = docs.withColumn("__text", F.xxhash64(text_col))
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, bits, tables, sets=True), "simhash")
@@ -571,10 +571,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     joined = connected_components(stars(joined).unionByName(materialise(rest, "simhash-exact")))
-    found = components(prints, stars(joined).unionByName(
+    linked = connected_components(stars(joined).unionByName(
         left_links(keyed, prints, joined, id_col, text_col, words, similarity)))
-    kept = prints.join(found, "__fp").where(F.col("__doc_id").eqNullSafe(F.col("__component"))).select(
-        F.col("__doc_id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
+    first = F.min(F.struct(F.col("__doc_id").isNull().alias("__none"), "__doc_id", "__text")).alias("__first")
+    kept = prints.join(linked.withColumnRenamed("node", "__fp"), "__fp", "left").groupBy(
+        F.coalesce("root", "__fp").alias("__root")).agg(first).select(
+        F.col("__first.__doc_id").alias("__kept_id"), F.col("__first.__text").alias("__kept_text"))
     rows = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (
         F.col("__text") == F.col("__kept_text")))
     nth = F.row_number().over(Window.partitionBy("__kept_id", "__kept_text").orderBy(F.lit(0)))

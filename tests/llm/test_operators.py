@@ -194,6 +194,17 @@ def test_texts_of_one_fingerprint_are_verified(spark):
     assert sorted(r["doc_id"] for r in kept) == brute_kept(texts) == [0, 1, 2, 3]
 
 
+def test_a_group_keeps_one_document_whatever_its_ids(spark):
+    """Near copies of one id, and near copies without any, leave one document too."""
+    body = [[f"g{g}w{i}" for i in range(60)] for g in range(3)]
+    texts = [(i, " ".join(body[g] + more)) for g, ids in enumerate([(7, 7, 8), (None, None, None), (None, 9, 9)])
+             for i, more in zip(ids, ([], ["one"], ["two"]))] + [(7, "another text of the first id")]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], SCHEMA)
+    kept = simhash.drop_near_duplicates(frame.unionByName(frame)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in kept) == [
+        (0, "g1w0"), (7, "another"), (7, "g0w0"), (9, "g2w0")]
+
+
 def test_every_open_pair_is_compared(spark):
     random = np.random.default_rng(12)
     texts = []
