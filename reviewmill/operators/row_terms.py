@@ -119,27 +119,44 @@ def row_terms(terms: DataFrame, *columns: str, **bounds: int) -> RowTerms | None
     # a bounded table
     table = terms.select("term", *columns).toArrow().combine_chunks()
     table = table.sort_by("idx" if "idx" in columns else "term")
-    return from_table(table.column("term").to_pylist(), {
+    return from_table(pa.chunked_array(table.column("term"), pa.string()).combine_chunks(), {
         c: table.column(c).to_numpy() for c in columns})
 
 
-def from_table(names: list[str], values: dict[str, np.ndarray]) -> RowTerms:
-    parts = [n.split(" ") for n in names]
-    number: dict[str, int] = {}
-    for part in parts:
-        for word in part:
-            number.setdefault(word, len(number))
-    single = np.full(len(number), -1, dtype=np.int64)
-    pairs, pair_term = [], []
-    for term, part in enumerate(parts):
-        if len(part) == 1:
-            single[number[part[0]]] = term
-        else:
-            pairs.append(number[part[0]] * len(number) + number[part[1]])
-            pair_term.append(term)
-    order = np.argsort(np.array(pairs, dtype=np.int64))
-    return RowTerms(pa.array(list(number), pa.string()), single, np.array(pairs, dtype=np.int64)[order],
-                    np.array(pair_term, dtype=np.int64)[order], values)
+def from_table(names: list[str] | pa.Array, values: dict[str, np.ndarray]) -> RowTerms:
+    names = names if isinstance(names, pa.Array) else pa.array(names, pa.string())
+    parts = pc.split_pattern(names, " ")
+    coded = parts.flatten().dictionary_encode()
+    number, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    lengths = pc.list_value_length(parts).to_numpy().astype(np.int64)
+    start, term = np.cumsum(lengths) - lengths, np.arange(len(names))
+    single = np.full(size, -1, dtype=np.int64)
+    single[number[start[lengths == 1]]] = term[lengths == 1]
+    first = start[lengths == 2]
+    pairs = number[first] * size + number[first + 1]
+    order = np.argsort(pairs, kind="stable")
+    return RowTerms(coded.dictionary, single, pairs[order], term[lengths == 2][order], values)
+
+
+def of_models(table: pa.Table) -> RowTerms:
+    """Terms of several models (no, term, ..) as one set of terms. The value `key` holds, by
+    the sorted pair of model and term, its place among the other values."""
+    names = table.column("term").cast(pa.string()).combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    found = from_table(names.dictionary, {})
+    key = table.column("no").to_numpy().astype(np.int64) * max(1, len(names.dictionary)) + names.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    values = {c: table.column(c).to_numpy()[order] for c in table.column_names if c not in ("no", "term")}
+    return replace(found, values=values | {"key": key[order], "terms": np.array(len(names.dictionary))})
+
+
+def known_to(t: RowTerms, model: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray):
+    """(row, entry, count) of terms that the row's model knows."""
+    key = model[row] * max(1, int(t.values["terms"])) + term
+    place = np.searchsorted(t.values["key"], key)
+    hit = place < len(t.values["key"])
+    hit[hit] = t.values["key"][place[hit]] == key[hit]
+    return row[hit], place[hit], count[hit]
 
 
 def words_column(text_col: str, stop_words: Iterable[str]) -> Column:
@@ -176,6 +193,16 @@ def map_texts(docs: DataFrame, text_col: str, stop_words: Iterable[str], keep: I
     if found is not None:
         found = replace(found, names=pa.array(_names(found), pa.string())) if names else found
         return map_rows(docs.select(*keep, words_column(text_col, stop_words)), found, each, schema)
+    return map_blocks(docs, text_col, lambda name: words_column(name, stop_words), keep, terms, columns, each, schema, names)
+
+
+def map_blocks(docs: DataFrame, text_col: str, words: Callable[[str], Column], keep: Iterable[str], terms: DataFrame,
+               columns: Iterable[str], each: Callable, schema: str, names: bool = False, model: str | None = None
+               ) -> DataFrame:
+    """`map_rows` over texts in written blocks: the different terms of a block are joined with
+    the term table, and what is found comes back to the block. `words` makes the words of a
+    text column. With `model`, one of `keep`, a row's terms are those of its model (no)."""
+    keep, columns, keys = list(keep), list(columns), ["term"] if model is None else ["no", "term"]
     length = docs.agg(F.avg(F.octet_length(clean_text(F.col(text_col))))).first()[0] or 1.0
     shift = int(np.clip(np.log2(BLOCK_BYTES / max(1.0, length)), 0, BLOCK_ROWS))
     rows = materialise(docs.select(*keep, F.col(text_col).alias("_text"), F.shiftright(
@@ -185,31 +212,41 @@ def map_texts(docs: DataFrame, text_col: str, stop_words: Iterable[str], keep: I
         for part, words in sliced(batches):
             row, term, _, found = own_terms(words)
             block, at = np.unique(part.column("_block").to_numpy(), return_inverse=True)
-            keys = np.unique(at[row] * max(1, len(found)) + term)
-            yield pa.RecordBatch.from_arrays([pa.array(block[keys // max(1, len(found))]),
-                                              found.take(pa.array(keys % max(1, len(found))))], names=["_block", "term"])
-
-    here = rows.select("_block", words_column("_text", stop_words)).mapInArrow(wanted, "_block long, term string")
-    known = here.join(terms.select("term", *columns), "term")
+            number = np.zeros(part.num_rows, dtype=np.int64) if model is None else part.column("_no").to_numpy().astype(np.int64)
+            models = int(number.max(initial=0)) + 1
+            code = np.unique((at * models + number)[row] * max(1, len(found)) + term)
+            code, term = code // max(1, len(found)), code % max(1, len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(block[code // models]), pa.array((code % models).astype(np.int32)),
+                                              found.take(pa.array(term))], names=["_block", "no", "term"])
+
+    number = [] if model is None else [F.col(model).alias("_no")]
+    here = rows.select("_block", *number, words("_text").alias("_words")).mapInArrow(
+        wanted, "_block long, no int, term string").select("_block", F.xxhash64(*keys).alias("_key"))
+    # a block asks by hash: terms of an equal one come along, and are not found in its texts;
+    # written, so that the shuffles of this join are gone before the texts are dealt out
+    known = materialise(here.join(terms.select(*keys, *columns).withColumn("_key", F.xxhash64(*keys)), "_key").drop("_key"),
+                        "block-terms")
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     layout = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.combine_chunks()
-        known = known.sort_by("idx" if "idx" in columns else "term")
         # a block that lies in two tasks asked twice: the first of equal rows is found
-        name = pa.chunked_array(known.column("term"), pa.string()).combine_chunks()
-        table = RowTerms(name, None, None, None, {c: known.column(c).to_numpy() for c in columns}, name)
+        if model is None:
+            known = known.combine_chunks().sort_by("idx" if "idx" in columns else "term")
+            name = pa.chunked_array(known.column("term"), pa.string()).combine_chunks()
+            table = from_table(name, {c: known.column(c).to_numpy() for c in columns})
+            table = replace(table, names=name) if names else table
+        else:
+            table = of_models(known.select([*keys, *columns]))
         out = []
         for part, words in sliced(texts.combine_chunks().to_batches()):
-            row, term, count, found = own_terms(words)
-            place = pc.fill_null(pc.index_in(found, value_set=name), -1).to_numpy().astype(np.int64)[term]
-            order = np.lexsort((place, row))
-            order = order[place[order] >= 0]
-            out.append(pa.RecordBatch.from_pydict(each(table, part, row[order], place[order], count[order]), layout))
+            found = table.find(words)
+            if model is not None:
+                found = known_to(table, part.column(model).to_numpy(), *found)
+            out.append(pa.RecordBatch.from_pydict(each(table, part, *found), layout))
         return pa.Table.from_batches(out, layout)
 
-    dealt = rows.repartition("_block").select("_block", *keep, words_column("_text", stop_words))
+    dealt = rows.repartition("_block").select("_block", *keep, words("_text").alias("_words"))
     return dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, schema)
 
 

@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from reviewmill import session
 from reviewmill.operators import insights
 from reviewmill.operators.evaluation import with_group_split
 from reviewmill.operators.insights import hash_sample
@@ -74,3 +76,13 @@ def test_group_cuts_are_exact(spark):
         F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
     assert got == {"a": (3000, 599), None: (9000, 1799), "b": (18000, 3599)}
     assert with_group_split(df.limit(0), "id", ["k"]).count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    blocks = lambda: set(re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager(
+        ).diskBlockManager().getAllBlocks().mkString(" ")))
+    df, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), blocks()
+    setting = spark.conf.get(session.CLEANUP)
+    table = session.materialise(df, "counted")
+    assert not blocks() - before and spark.conf.get(session.CLEANUP) == setting
+    assert table.count() == df.count() == 7 and table.agg(F.sum("count")).first()[0] == 1000
