@@ -396,3 +396,24 @@ def test_blocks_ask_for_a_term_once(spark, labelled):
     assert near == far and len(far) == 63
     plan = plan_of(sentiment.with_score(docs, "t", model, max_rows=3))
     assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_coefficients_stay_a_table(spark):
+    """Places without an entry are zero, and places count from a given one."""
+    data = [(0, i % 2, [i % 3, 4], [1.0, 0.5 + i % 2]) for i in range(12)]
+    vectors = spark.createDataFrame(data, "no int, label int, indices array<int>, values array<double>").repartition(2)
+    wave = many_models.Wave(0, np.array([0, 7]), np.array([[1.0, 1.0]]), np.array([12]))
+    w, b = many_models.fit_wave(vectors, wave)
+    table, again = many_models.fit_table(vectors, wave, 100)
+    assert table.columns == ["idx", "coefficient"] and again == pytest.approx(b)
+    assert dict(rows(table)) == pytest.approx({100 + i: x for i, x in enumerate(w)}) and not w[[3, 5, 6]].any()
+
+
+def test_models_beyond_the_bound_look_up_terms_in_blocks(spark, labelled):
+    one = sentiment.train(labelled, "id", "t")
+    own = sentiment.DatasetModels(
+        materialise(one.terms.withColumn("no", F.lit(0)), "t"),
+        spark.createDataFrame([(0, "a", one.intercept, 60)], "no int, dataset string, intercept double, n_train long"), None, None)
+    df = labelled.withColumn("ds", F.when(F.col("id") % 2 == 0, "a"))
+    plan = plan_of(sentiment.score_datasets(df, "id", "t", "ds", own, one, max_rows=5))
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
